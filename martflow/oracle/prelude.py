@@ -351,3 +351,18 @@ def with_prelude(select_sql: str, extra: list[tuple[str, str]] | None = None) ->
     parts = CTES + (extra or [])
     body = ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in parts)
     return f"WITH {body}\n{select_sql.strip()}"
+
+
+# ------------------------------------------------------------------ features (default cutoff + snapshots)
+from martflow.oracle.features_sql import feature_ctes  # noqa: E402
+
+SNAPSHOT_CUTOFFS = ["2001-02-01", "2001-03-01", "2001-05-03"]
+for _c in feature_ctes("fs"):
+    cte(*_c)
+for _i, _d in enumerate(SNAPSHOT_CUTOFFS):
+    for _c in feature_ctes(f"snap{_i}", f"DATE '{_d}'"):
+        cte(*_c)
+cte("feature_snapshots", " UNION ALL ".join(f"SELECT * FROM snap{i}_snapshot"
+                                             for i in range(len(SNAPSHOT_CUTOFFS))))
+cte("entity_rows", f"""
+SELECT user_id, {add_days("TIMESTAMP '2001-01-15'", "user_id % 150")} AS event_timestamp FROM customers_clean""")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from martflow.operators import gold
-from martflow.oracle.sqlfn import ddiff
+from martflow.oracle.sqlfn import ddiff, gratio as gratio_sql
 from martflow.plans.registry import register
 
 # ====================================================================== Silver
@@ -109,3 +109,115 @@ def _d17(p):
 @register("funnel_counts", "SELECT * FROM fa_counts")
 def _d20(p):
     return gold.funnel_counts(p.s("events_clean"))
+
+
+# ====================================================================== Features
+from martflow.oracle.features_sql import FEATURE_COLS  # noqa: E402
+from martflow.operators import asof, features  # noqa: E402
+from martflow.functions.exprs import add_days, ntz  # noqa: E402
+
+SNAPSHOT_CUTOFFS = ["2001-02-01", "2001-03-01", "2001-05-03"]
+
+
+@register("feature_boundaries", """
+SELECT max(created_at) AS max_date, CAST(max(created_at) AS DATE) - 90 AS feature_cutoff FROM orders_clean""")
+def _e1(p):
+    return p.features.boundaries()
+
+
+@register("eligible_customers", "SELECT * FROM fs_elig")
+def _e2(p):
+    return p.features.eligible()
+
+
+@register("transactional_features", "SELECT * FROM fs_txn")
+def _e3(p):
+    return p.features.transactional()
+
+
+@register("behavioral_features", "SELECT * FROM fs_beh")
+def _e4(p):
+    return p.features.behavioral()
+
+
+@register("product_features", "SELECT * FROM fs_prod")
+def _e5(p):
+    return p.features.product()
+
+
+@register("demographic_features", "SELECT * FROM fs_demo")
+def _e6(p):
+    return p.features.demographic()
+
+
+@register("churn_labels", "SELECT * FROM fs_labels")
+def _e7(p):
+    return p.features.labels()
+
+
+@register("class_balance", f"""
+SELECT count(*) AS eligible, CAST(sum(churned) AS BIGINT) AS churned,
+       count(*) - CAST(sum(churned) AS BIGINT) AS not_churned,
+       {gratio_sql("CAST(sum(churned) AS BIGINT)", "count(*)", 4)} AS churn_rate
+FROM fs_labels""")
+def _e8(p):
+    return p.features.class_balance()
+
+
+@register("churn_feature_dataset", "SELECT * FROM fs_dataset")
+def _e9(p):
+    return p.features.dataset().drop("pipeline_run_timestamp")
+
+
+def _snapshots(p):
+    return features.multi_cutoff_snapshots(p.silver, SNAPSHOT_CUTOFFS, p.cfg)
+
+
+def _entity_rows(p):
+    return p.s("customers_clean").select(
+        "user_id", add_days(ntz("2001-01-15"), F.col("user_id") % 150).alias("event_timestamp"))
+
+
+@register("feature_view_rows", "SELECT user_id, " + ", ".join(FEATURE_COLS)
+          + ", event_timestamp FROM feature_snapshots")
+def _e10(p):
+    return features.FeatureView().apply(_snapshots(p))
+
+
+def _asof_sql(ttl_days: int) -> str:
+    cols = ", ".join(f"CASE WHEN s.event_timestamp >= e.event_timestamp - INTERVAL {ttl_days} DAY "
+                     f"THEN s.{c} END AS {c}" for c in FEATURE_COLS)
+    return (f"SELECT e.user_id, e.event_timestamp, {cols} FROM entity_rows e "
+            "ASOF LEFT JOIN feature_snapshots s ON e.user_id = s.user_id "
+            "AND e.event_timestamp >= s.event_timestamp")
+
+
+@register("asof_historical_features", _asof_sql(365))
+def _e11(p):
+    return asof.asof_join(_entity_rows(p), _snapshots(p), ttl_days=p.cfg.feature_ttl_days)
+
+
+@register("asof_historical_features_ttl30", _asof_sql(30))
+def _e11_ttl30(p):
+    return asof.asof_join(_entity_rows(p), _snapshots(p), ttl_days=30)
+
+
+@register("materialized_latest_features", "SELECT user_id, " + ", ".join(FEATURE_COLS)
+          + """, event_timestamp FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_timestamp DESC) AS rn
+FROM feature_snapshots WHERE event_timestamp BETWEEN TIMESTAMP '2001-01-01' AND TIMESTAMP '2001-04-01') t
+WHERE rn = 1""")
+def _e12(p):
+    return asof.materialize_latest(_snapshots(p), "2001-01-01", "2001-04-01")
+
+
+ONLINE_FEATURES = ["order_count", "lifetime_spend", "days_since_last_order", "favorite_category"]
+
+
+@register("online_feature_lookup", "SELECT c.user_id, " + ", ".join(f"m.{f}" for f in ONLINE_FEATURES)
+          + """ FROM customers_clean c LEFT JOIN (
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_timestamp DESC) AS rn
+               FROM feature_snapshots) t WHERE rn = 1) m ON c.user_id = m.user_id""")
+def _e13(p):
+    store = asof.materialize_latest(_snapshots(p), "1900-01-01", "2100-01-01")
+    return asof.online_lookup(store, p.s("customers_clean"), ONLINE_FEATURES)
