@@ -366,3 +366,12 @@ cte("feature_snapshots", " UNION ALL ".join(f"SELECT * FROM snap{i}_snapshot"
                                              for i in range(len(SNAPSHOT_CUTOFFS))))
 cte("entity_rows", f"""
 SELECT user_id, {add_days("TIMESTAMP '2001-01-15'", "user_id % 150")} AS event_timestamp FROM customers_clean""")
+
+# ------------------------------------------------------------------ model data, drift, signals, findings
+from martflow.oracle.insight_sql import insight_ctes  # noqa: E402
+from martflow.oracle.model_sql import model_ctes  # noqa: E402
+
+for _c in model_ctes():
+    cte(*_c)
+for _c in insight_ctes():
+    cte(*_c)

@@ -166,7 +166,7 @@ def _e8(p):
 
 @register("churn_feature_dataset", "SELECT * FROM fs_dataset")
 def _e9(p):
-    return p.features.dataset().drop("pipeline_run_timestamp")
+    return p.dataset.drop("pipeline_run_timestamp")
 
 
 def _snapshots(p):
@@ -221,3 +221,124 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_
 def _e13(p):
     store = asof.materialize_latest(_snapshots(p), "1900-01-01", "2100-01-01")
     return asof.online_lookup(store, p.s("customers_clean"), ONLINE_FEATURES)
+
+
+# ====================================================================== Model data
+from martflow.operators import drift, modeldata as md  # noqa: E402
+from martflow.oracle.model_sql import MODEL_FEATURES as _MF  # noqa: E402
+
+
+@register("surrogate_predictions", "SELECT * FROM preds")
+def _preds(p):
+    return p.predictions.drop("prediction_timestamp")
+
+
+@register("training_set", "SELECT * FROM md_train")
+def _f1(p):
+    return md.training_set(p.dataset)
+
+
+@register("null_policy", "SELECT * FROM md_filled")
+def _f2(p):
+    return md.null_policy(md.training_set(p.dataset))
+
+
+@register("encoder_table", 'SELECT col_name AS "column", value, idx AS "index" FROM md_enc')
+def _f3(p):
+    _ = p.model_frame
+    return p.encoders
+
+
+@register("encoded_features", "SELECT * FROM md_encoded")
+def _f3b(p):
+    return p.model_frame.drop("score", "side")
+
+
+@register("train_test_split", "SELECT user_id, churned, split FROM md_split")
+def _f4(p):
+    return md.train_test_split(md.training_set(p.dataset), p.cfg).select("user_id", "churned", "split")
+
+
+@register("class_weights", """
+SELECT churned, count(*) AS n_class,
+       (SELECT count(*) FROM md_split WHERE split = 'train')
+         / ((SELECT count(DISTINCT churned) FROM md_split WHERE split = 'train') * count(*)) AS weight
+FROM md_split WHERE split = 'train' GROUP BY churned""")
+def _f5(p):
+    mf = p.model_frame
+    return md.class_weights(mf.filter(F.col("split") == "train"), "churned")
+
+
+@register("model_metrics", """
+SELECT side, n, positives, auc, precision, recall, f1, log_loss FROM mq_metrics""")
+def _f8(p):
+    return p.monitoring["metrics"]
+
+
+@register("fixed_sample", """
+SELECT user_id, churned FROM fs_dataset
+ORDER BY (((user_id % 1000003) * 7919 + 42) % 1000) * 1000003 + user_id % 1000003, user_id LIMIT 1000""")
+def _f11(p):
+    return md.fixed_sample(p.dataset.select("user_id", "churned"), p.cfg.sample_size)
+
+
+# ====================================================================== Drift
+@register("monitoring_frame", "SELECT user_id, churned, split, side, score, " + ", ".join(_MF) + " FROM md_scored")
+def _g1(p):
+    return p.model_frame.select("user_id", "churned", "split", "side", "score", *_MF)
+
+
+@register("drift_table", "SELECT * FROM drift_table")
+def _g7(p):
+    return p.monitoring["drift_table"]
+
+
+@register("wasserstein_drift", """
+SELECT feature, round(stat_value, 6) AS stat_value FROM dr_wd""")
+def _g3(p):
+    return p.monitoring["drift_table"].filter(F.col("method") == "wasserstein_distance_norm") \
+        .select("feature", "stat_value")
+
+
+@register("jensen_shannon_drift", """
+SELECT feature, round(stat_value, 6) AS stat_value FROM dr_js""")
+def _g4(p):
+    return p.monitoring["drift_table"].filter(F.col("method") == "jensenshannon") \
+        .select("feature", "stat_value")
+
+
+@register("psi_drift", """
+SELECT feature, round(sum((cp - rp) * ln(cp / rp)), 6) AS stat_value FROM (
+  SELECT feature, greatest(r / sum(r) OVER (PARTITION BY feature), 0.0001) AS rp,
+         greatest(c / sum(c) OVER (PARTITION BY feature), 0.0001) AS cp
+  FROM (SELECT feature, bin, CAST(sum(CASE WHEN side = 'ref' THEN 1 ELSE 0 END) AS BIGINT) AS r,
+               CAST(sum(CASE WHEN side = 'cur' THEN 1 ELSE 0 END) AS BIGINT) AS c
+        FROM (SELECT l.feature, l.side, len(list_filter(e.edges, lambda x: x < l.value)) AS bin
+              FROM dr_long l JOIN (
+                SELECT feature, list_distinct(quantile_disc(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))
+                       AS edges
+                FROM dr_long WHERE side = 'ref' AND value IS NOT NULL GROUP BY feature) e
+                ON l.feature = e.feature
+              WHERE l.value IS NOT NULL) b
+        GROUP BY feature, bin) c) x
+GROUP BY feature""")
+def _g5(p):
+    mf = p.model_frame
+    rl = drift.melt(mf.filter(F.col("side") == "ref"), md.MODEL_FEATURES, "ref")
+    cl = drift.melt(mf.filter(F.col("side") == "cur"), md.MODEL_FEATURES, "cur")
+    return drift.psi(rl, cl).select("feature", F.round("stat_value", 6).alias("stat_value"))
+
+
+@register("prediction_drift", "SELECT * FROM prediction_drift")
+def _g8(p):
+    return p.monitoring["prediction_drift"]
+
+
+@register("model_quality", "SELECT * FROM model_quality")
+def _g9(p):
+    return p.monitoring["model_quality"]
+
+
+@register("monitoring_summary", "SELECT * FROM monitoring_summary")
+def _g10(p):
+    return p.monitoring["summary"].drop("timestamp")

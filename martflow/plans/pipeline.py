@@ -7,22 +7,50 @@ lets Catalyst reuse the exchange. Nothing here triggers a job.
 
 from __future__ import annotations
 
+import hashlib
+import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from martflow.config import DEFAULT, FIXTURE_SIGNAL_AS_OF, Config
 from martflow.operators import gold, silver
+from martflow.session import materialize
 from martflow.sources import fixtures
 
 
+CODE_VERSION = "1"
+
+
+def _input_key(sf_dir: str, cfg: Config) -> str:
+    """Stable id of (input files, config) for materialised tables."""
+    h = hashlib.sha1(CODE_VERSION.encode())
+    h.update(os.path.abspath(sf_dir).encode())
+    for name in sorted(fixtures.DRIVER_TABLES):
+        p = os.path.join(sf_dir, f"{name}.parquet")
+        if os.path.exists(p):
+            st = os.stat(p)
+            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
+    h.update(repr(cfg).encode())
+    return h.hexdigest()[:16]
+
+
 class Pipeline:
+    """``materialize=True`` writes Silver and the feature dataset once as
+    parquet under ``spark.checkpoint.dir`` (the medallion layers are tables)
+    and builds everything downstream on those scans."""
+
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT,
-                 silver_tables: dict[str, DataFrame] | None = None):
+                 silver_tables: dict[str, DataFrame] | None = None, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
         self.cfg = cfg
         self._silver = silver_tables
+        self.materialize = materialize
+        self.key = _input_key(sf_dir, cfg) if materialize else ""
+
+    def _table(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(self.spark, df, name, self.key) if self.materialize else df
 
     @classmethod
     def fixture(cls, spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> "Pipeline":
@@ -37,7 +65,10 @@ class Pipeline:
 
     @cached_property
     def silver(self) -> dict[str, DataFrame]:
-        return self._silver if self._silver is not None else silver.silver_layer(self.raw)
+        if self._silver is not None:
+            return self._silver
+        return {name: self._table(df, f"silver_{name}")
+                for name, df in silver.silver_layer(self.raw).items()}
 
     @cached_property
     def gold(self) -> dict[str, DataFrame]:
@@ -55,9 +86,55 @@ class Pipeline:
         from martflow.operators.features import FeatureBuilder
         return FeatureBuilder(self.silver, self.cfg)
 
+    # ---------------------------------------------------------- monitoring
+    @cached_property
+    def model_frame(self) -> DataFrame:
+        """Model-ready rows (F1-F4): null policy, split, encoders fitted on
+        the train split; ``side`` = ref (train) / cur (test) and the score."""
+        from pyspark.sql import functions as F
+        from martflow.operators import modeldata as md
+        df = md.train_test_split(md.null_policy(md.training_set(self.dataset)), self.cfg)
+        self.encoders = md.fit_encoders(df.filter(F.col("split") == "train"))
+        df = md.apply_encoders(df, self.encoders)
+        scores = self.predictions.select("user_id", F.col("churn_probability").alias("score"))
+        return self._table(df.join(scores, "user_id")
+                           .withColumn("side", F.when(F.col("split") == "train", "ref").otherwise("cur")),
+                           "model_frame")
+
+    @cached_property
+    def monitoring(self) -> dict[str, DataFrame]:
+        """G7-G10 on the model frame: drift table, prediction drift, model
+        quality, one-row summary."""
+        from pyspark.sql import functions as F
+        from martflow.operators import drift, modeldata as md
+        mf = self.model_frame
+        ref, cur = mf.filter(F.col("side") == "ref"), mf.filter(F.col("side") == "cur")
+        table = drift.drift_table(ref, cur, md.MODEL_FEATURES, md.MODEL_CATEGORICAL, self.cfg)
+        pdrift = drift.prediction_drift(ref.select(F.col("score").alias("churn_probability")),
+                                        cur.select(F.col("score").alias("churn_probability")),
+                                        cfg=self.cfg)
+        metrics = md.binary_metrics(mf, label="churned", score="score", group=["side"],
+                                    threshold=self.cfg.decision_threshold)
+        quality = drift.model_quality(metrics, self.cfg)
+        summary = drift.monitoring_summary(table, pdrift, quality)
+        return {"drift_table": table, "prediction_drift": pdrift, "metrics": metrics,
+                "model_quality": quality, "summary": summary}
+
+    # ---------------------------------------------------------- insight
+    @cached_property
+    def signals(self) -> DataFrame:
+        from martflow.operators.signals import kpi_signals
+        return kpi_signals(self.gold, self.predictions, self.cfg)
+
     @cached_property
     def predictions(self) -> DataFrame:
         """Churn scores for the eligible population (deterministic surrogate
         score; the MLlib path in ``operators.ml`` produces the same schema)."""
         from martflow.operators.modeldata import surrogate_predictions
-        return surrogate_predictions(self.features.dataset(), self.cfg)
+        return surrogate_predictions(self.dataset, self.cfg)
+
+    @cached_property
+    def dataset(self) -> DataFrame:
+        """The churn feature dataset as a table (the run timestamp column is
+        stamped when the table is written)."""
+        return self._table(self.features.dataset(), "churn_feature_dataset")

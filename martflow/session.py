@@ -66,3 +66,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(spark: SparkSession, df, name: str, key: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    return the re-read table: a lineage cut that survives executor loss
+    (unlike a local checkpoint) and keeps downstream plans small.
+
+    ``key`` identifies the inputs + configuration; an existing complete
+    table (``_SUCCESS`` present) for the same key is reused.
+    """
+    path = os.path.join(checkpoint_dir(spark), "tables", key, name)
+    if not path_exists(spark, os.path.join(path, "_SUCCESS")):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop FileSystem of the path (works for
+    local, HDFS and object-store URIs alike)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))

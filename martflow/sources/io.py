@@ -50,7 +50,8 @@ class Lake:
         return self.spark.read.format(self.fmt).load(self.path(layer, name))
 
     def exists(self, layer: str, name: str) -> bool:
-        return os.path.exists(self.path(layer, name))
+        from martflow.session import path_exists
+        return path_exists(self.spark, self.path(layer, name))
 
     def write(self, df: DataFrame, layer: str, name: str) -> str:
         """Overwrite sink. Schema changes are allowed because each write
