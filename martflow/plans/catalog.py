@@ -342,3 +342,268 @@ def _g9(p):
 @register("monitoring_summary", "SELECT * FROM monitoring_summary")
 def _g10(p):
     return p.monitoring["summary"].drop("timestamp")
+
+
+# ====================================================================== Signals and findings
+from martflow.operators import explorer as ex, findings as fi, signals as sg  # noqa: E402
+from martflow.oracle.insight_sql import AS_OF, PRIOR  # noqa: E402
+
+
+@register("signal_periods", f"SELECT {AS_OF} AS current_period, {PRIOR} AS prior_period")
+def _h1(p):
+    return sg.periods_table(p.g("fulfillment_metrics"), p.cfg)
+
+
+@register("kpi_signals", """
+SELECT metric, domain, current_value, prior_value, delta_pct, direction, severity, signal_order
+FROM kpi_signals""")
+def _h11(p):
+    return p.signals.drop("context")
+
+
+@register("signal_contexts")
+def _h2_text(p):
+    """H2 context strings (formatted text: rows-only check)."""
+    return p.signals.select("metric", "context")
+
+
+@register("drilldowns", "SELECT * FROM drills")
+def _h12(p):
+    return fi.drilldowns(p.gold, p.cfg).drop("evidence")
+
+
+def _findings(p):
+    return fi.findings(p.signals, fi.drilldowns(p.gold, p.cfg), p.monitoring["summary"],
+                       p.g("fulfillment_metrics"), p.cfg)
+
+
+@register("findings", "SELECT * FROM findings")
+def _h15(p):
+    return _findings(p).select("metric", "severity", "confidence", "evidence_count", "priority",
+                               "finding_order")
+
+
+@register("finding_texts")
+def _h15_text(p):
+    """Finding titles, descriptions, evidence and actions (text: rows-only)."""
+    return _findings(p).select("finding_order", "title", "description", "evidence", "recommended_action")
+
+
+@register("scoreboard_status", """
+SELECT metric AS item,
+       CASE WHEN severity = 'critical' THEN 'Declining'
+            WHEN severity = 'notable' THEN CASE WHEN direction = 'up' THEN 'Strong Growth' ELSE 'Notable Change' END
+            WHEN severity = 'warning' THEN 'Watch' ELSE 'Stable' END AS status
+FROM kpi_signals
+UNION ALL
+SELECT 'Operations',
+       CASE WHEN max(CASE WHEN metric = 'Avg Delivery Days' AND severity IN ('critical', 'warning') THEN 1 END) = 1
+            THEN 'Degrading'
+            WHEN max(CASE WHEN metric = 'On-Time Delivery Rate' THEN current_value END) >= 0.95 THEN 'Stable'
+            ELSE 'Watch' END
+FROM kpi_signals
+UNION ALL
+SELECT 'Model', CASE WHEN prediction_drift_detected AND model_degraded THEN 'Degraded'
+                     WHEN prediction_drift_detected OR model_degraded THEN 'Attention Required'
+                     ELSE 'Healthy' END
+FROM monitoring_summary""")
+def _h16(p):
+    return sg.scoreboard_status(p.signals, p.monitoring["summary"])
+
+
+@register("evidence_strength", """
+SELECT finding_order, confidence,
+       CASE WHEN confidence >= 0.8 THEN 'Strong' WHEN confidence >= 0.6 THEN 'Moderate' ELSE 'Limited' END
+           AS evidence_strength
+FROM findings""")
+def _h17(p):
+    f = _findings(p)
+    return f.select("finding_order", "confidence",
+                    sg.evidence_strength(F.col("confidence")).alias("evidence_strength"))
+
+
+# ====================================================================== Explorer
+_CM = "(SELECT max(order_month) FROM fulfillment_metrics)"
+
+
+@register("monthly_revenue", """
+SELECT order_month, CAST(sum(CAST(round(total_revenue * 100) AS BIGINT)) AS BIGINT) / 100.0 AS revenue
+FROM fulfillment_metrics GROUP BY order_month ORDER BY order_month DESC LIMIT 12""")
+def _i1(p):
+    return ex.monthly_revenue(p.g("fulfillment_metrics"))
+
+
+@register("revenue_by_dc", f"""
+SELECT distribution_center_name, CAST(sum(CAST(round(total_revenue * 100) AS BIGINT)) AS BIGINT) / 100.0 AS revenue
+FROM fulfillment_metrics WHERE order_month = {_CM} GROUP BY distribution_center_name""")
+def _i2(p):
+    return ex.revenue_by_dc(p.g("fulfillment_metrics"))
+
+
+@register("top_dcs", f"""
+SELECT distribution_center_name, CAST(sum(CAST(round(total_revenue * 100) AS BIGINT)) AS BIGINT) / 100.0 AS revenue
+FROM fulfillment_metrics WHERE order_month = {_CM} GROUP BY distribution_center_name
+ORDER BY revenue DESC, distribution_center_name LIMIT 3""")
+def _i3(p):
+    return ex.top_dcs(p.g("fulfillment_metrics"))
+
+
+@register("churn_counts", "SELECT * FROM churn_cnt")
+def _i4(p):
+    return ex.churn_counts(p.predictions, p.cfg)
+
+
+@register("churn_histogram", """
+SELECT CAST(least(floor(churn_probability * 30), 29) AS INTEGER) AS bin, count(*) AS customers,
+       CAST(least(floor(churn_probability * 30), 29) AS INTEGER) / 30.0 AS bin_start
+FROM preds GROUP BY 1""")
+def _i5(p):
+    return ex.churn_histogram(p.predictions)
+
+
+@register("high_risk_by_source", """
+SELECT c.traffic_source, count(*) AS high_risk_customers
+FROM preds p JOIN customer_360 c ON p.user_id = c.user_id
+WHERE p.churn_probability > 0.7 GROUP BY c.traffic_source""")
+def _i6(p):
+    return ex.high_risk_by_source(p.predictions, p.g("customer_360"), p.cfg)
+
+
+@register("source_segments", f"""
+SELECT traffic_source, count(*) AS customers,
+       {gratio_sql("CAST(sum(order_count) AS BIGINT)", "count(order_count)", 2)} AS avg_orders,
+       {gratio_sql("CAST(sum(CAST(round(lifetime_spend * 100) AS BIGINT)) AS BIGINT)", "count(lifetime_spend) * 100", 2)} AS avg_spend,
+       {gratio_sql("CAST(sum(CAST(round(return_rate * 10000) AS BIGINT)) AS BIGINT)", "count(return_rate) * 100", 2)} AS avg_return_rate_pct
+FROM customer_360 WHERE order_count > 0 GROUP BY traffic_source""")
+def _i7(p):
+    return ex.source_segments(p.g("customer_360"))
+
+
+@register("top_churn_source", """
+SELECT c.traffic_source, count(*) AS high_risk_customers
+FROM preds p JOIN customer_360 c ON p.user_id = c.user_id
+WHERE p.churn_probability > 0.7 GROUP BY c.traffic_source
+ORDER BY high_risk_customers DESC, c.traffic_source LIMIT 1""")
+def _i8(p):
+    return ex.top_churn_source(p.predictions, p.g("customer_360"), p.cfg)
+
+
+_CATREV = ("SELECT category, CAST(sum(CAST(round(total_revenue * 100) AS BIGINT)) AS BIGINT) / 100.0 AS revenue "
+           "FROM product_performance GROUP BY category ORDER BY revenue DESC NULLS LAST, category")
+
+
+@register("leading_category", _CATREV + " LIMIT 1")
+def _i9(p):
+    return ex.leading_category(p.g("product_performance"))
+
+
+@register("top_categories", _CATREV + " LIMIT 10")
+def _i10(p):
+    return ex.top_categories(p.g("product_performance"))
+
+
+@register("bestseller_return_rates", "SELECT * FROM bestsellers")
+def _i11(p):
+    return ex.bestseller_return_rates(p.g("product_performance"))
+
+
+@register("top_products", """
+SELECT product_id, name, category, brand, units_sold, round(total_revenue, 2) AS total_revenue,
+       round(CAST(round(margin_pct * 10000) AS BIGINT) / 100, 1) AS margin_pct
+FROM product_performance ORDER BY total_revenue DESC NULLS LAST, product_id LIMIT 15""")
+def _i12(p):
+    return ex.top_products(p.g("product_performance"))
+
+
+@register("return_outliers", "SELECT * FROM outliers")
+def _i13(p):
+    return ex.return_outliers(p.g("product_performance"))
+
+
+@register("delivery_by_dc", f"""
+SELECT distribution_center_name, avg_delivery_days FROM fulfillment_metrics WHERE order_month = {_CM}""")
+def _i14(p):
+    return ex.delivery_by_dc(p.g("fulfillment_metrics"))
+
+
+@register("on_time_by_dc", f"""
+SELECT distribution_center_name, {gratio_sql("CAST(round(on_time_rate * 10000) AS BIGINT)", "100", 1)} AS on_time_rate_pct,
+       on_time_deliveries, total_deliveries
+FROM fulfillment_metrics WHERE order_month = {_CM}""")
+def _i15(p):
+    return ex.on_time_by_dc(p.g("fulfillment_metrics"))
+
+
+@register("slowest_dc_days", "SELECT * FROM slowest")
+def _i16(p):
+    return ex.slowest_dc_days(p.g("fulfillment_metrics"))
+
+
+@register("inventory_totals", "SELECT * FROM inv_totals")
+def _i17(p):
+    return ex.inventory_totals(p.g("inventory_health"))
+
+
+@register("dead_stock_by_category", f"""
+SELECT category, count(*) AS total_products, CAST(sum(CAST(is_dead_stock AS BIGINT)) AS BIGINT) AS dead_stock,
+       {gratio_sql("CAST(sum(CAST(is_dead_stock AS BIGINT)) AS BIGINT) * 100", "count(*)", 1)} AS dead_pct
+FROM inventory_health GROUP BY category ORDER BY dead_pct DESC, category LIMIT 10""")
+def _i18(p):
+    return ex.dead_stock_by_category(p.g("inventory_health"))
+
+
+@register("reorder_by_category", """
+SELECT category, CAST(sum(CAST(reorder_signal AS BIGINT)) AS BIGINT) AS reorder_count, count(*) AS total
+FROM inventory_health GROUP BY category HAVING sum(CAST(reorder_signal AS BIGINT)) > 0
+ORDER BY reorder_count DESC, category LIMIT 10""")
+def _i19(p):
+    return ex.reorder_by_category(p.g("inventory_health"))
+
+
+@register("inventory_by_dc", f"""
+SELECT distribution_center_name, count(*) AS products,
+       CAST(sum(CAST(round(stock_value * 100) AS BIGINT)) AS BIGINT) / 100.0 AS stock_value,
+       {gratio_sql("CAST(sum(CAST(round(turnover_rate * 10000) AS BIGINT)) AS BIGINT)", "count(turnover_rate) * 10000", 3)} AS avg_turnover,
+       CAST(sum(CAST(is_dead_stock AS BIGINT)) AS BIGINT) AS dead_stock,
+       CAST(sum(CAST(reorder_signal AS BIGINT)) AS BIGINT) AS reorder_signals
+FROM inventory_health GROUP BY distribution_center_name""")
+def _i20(p):
+    return ex.inventory_by_dc(p.g("inventory_health"))
+
+
+@register("top_reorder_categories", """
+SELECT category, CAST(sum(CAST(reorder_signal AS BIGINT)) AS BIGINT) AS cnt FROM inventory_health
+GROUP BY category ORDER BY cnt DESC, category LIMIT 2""")
+def _i21(p):
+    return ex.top_reorder_categories(p.g("inventory_health"))
+
+
+@register("action_levels", """
+SELECT 'revenue' AS domain, CASE WHEN severity = 'notable' AND direction = 'up' THEN 'green'
+                                 WHEN severity = 'critical' THEN 'orange' ELSE 'yellow' END AS level
+FROM kpi_signals WHERE metric = 'Total Revenue'
+UNION ALL SELECT 'revenue', 'yellow' FROM (SELECT count(*) AS n FROM kpi_signals WHERE metric = 'Total Revenue') t
+          WHERE n = 0
+UNION ALL SELECT 'churn', CASE WHEN high_risk_pct >= 0.5 THEN 'orange' WHEN high_risk_pct >= 0.3 THEN 'yellow'
+                               ELSE 'green' END FROM churn_cnt
+UNION ALL SELECT 'products', CASE WHEN coalesce(max(deviation_pp), 0.0) >= 0.2 THEN 'yellow' ELSE 'green' END
+          FROM outliers
+UNION ALL SELECT 'fulfillment', CASE WHEN coalesce(max_days, 0.0) >= 5 THEN 'orange'
+                                     WHEN coalesce(max_days, 0.0) >= 4 THEN 'yellow' ELSE 'green' END FROM slowest
+UNION ALL SELECT 'inventory', CASE WHEN reorder >= 50 OR dead_pct >= 15 THEN 'orange'
+                                   WHEN reorder > 0 OR dead_pct >= 8 THEN 'yellow' ELSE 'green' END FROM inv_totals""")
+def _i22(p):
+    fm, ih, pp = p.g("fulfillment_metrics"), p.g("inventory_health"), p.g("product_performance")
+    return ex.action_levels(p.signals, ex.churn_counts(p.predictions, p.cfg), ex.return_outliers(pp),
+                            ex.slowest_dc_days(fm), ex.inventory_totals(ih), p.cfg)
+
+
+@register("churn_statistics", """
+SELECT count(*) AS total_customers, avg(churn_probability) AS avg_probability,
+       quantile_cont(churn_probability, 0.5) AS median_probability,
+       quantile_cont(churn_probability, 0.9) AS p90_probability,
+       count(CASE WHEN churn_probability > 0.7 THEN 1 END) AS high_risk_count,
+       count(CASE WHEN churn_probability > 0.9 THEN 1 END) AS very_high_risk_count
+FROM preds""")
+def _i23(p):
+    return ex.churn_statistics(p.predictions)
