@@ -40,13 +40,15 @@ SELECT c.c_custkey AS id, c.c_name AS first_name,
        CASE WHEN c.c_nationkey = 2 THEN 'Brasil' ELSE n.n_name END AS country,
        CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude,
        c.c_mktsegment AS traffic_source,
-       {add_days("TIMESTAMP '1994-06-01'", "c.c_custkey % 180")} AS created_at
+       {add_days("TIMESTAMP '1994-06-01'", "c.c_custkey % 180")} AS created_at,
+       CAST(NULL AS VARCHAR) AS user_geom
 FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey""")
 
 cte("o_st", f"SELECT o_orderkey, o_custkey, o_orderdate, {ORDER_STATUS} AS order_status FROM orders")
 
 cte("b_orders", f"""
 SELECT o.o_orderkey AS order_id, o.o_custkey AS user_id, o.order_status AS status,
+       CASE WHEN o.o_orderkey % 2 = 0 THEN 'M' ELSE 'F' END AS gender,
        o.o_orderdate AS created_at,
        CASE WHEN o.order_status = 'Returned'
             THEN {add_days(add_days("o.o_orderdate", "o.o_orderkey % 3 + o.o_orderkey % 4 + 1"), "3")} END AS returned_at,
@@ -99,7 +101,11 @@ cte("b_inventory_items", f"""
 SELECT item_id AS id, l_partkey AS product_id, o_orderdate AS created_at,
        CASE WHEN (l_orderkey + l_partkey) % 20 = 0 THEN CAST(NULL AS TIMESTAMP)
             ELSE {add_days("o_orderdate", "l_quantity")} END AS sold_at,
-       {COST.replace("p_partkey", "l_partkey")} AS cost
+       {COST.replace("p_partkey", "l_partkey")} AS cost,
+       p_type AS product_category, p_name AS product_name, p_brand AS product_brand,
+       p_retailprice AS product_retail_price,
+       CASE WHEN l_partkey % 2 = 0 THEN 'Men' ELSE 'Women' END AS product_department,
+       'SKU-' || CAST(l_partkey AS VARCHAR) AS product_sku, l_partkey % 10 AS product_distribution_center_id
 FROM lines""")
 
 cte("b_distribution_centers", """
@@ -111,6 +117,7 @@ SELECT event_id AS id, CASE WHEN user_id % 15 = 0 THEN NULL ELSE user_id END AS
        CAST(NULL AS BIGINT) AS sequence_number,
        CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS session_id,
        {add_days("ts", "-8293")} AS created_at,
+       '10.0.' || CAST(user_id % 256 AS VARCHAR) || '.' || CAST(event_id % 256 AS VARCHAR) AS ip_address,
        CAST(NULL AS VARCHAR) AS city, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS VARCHAR) AS postal_code,
        CAST(NULL AS VARCHAR) AS browser, CAST(NULL AS VARCHAR) AS traffic_source, CAST(NULL AS VARCHAR) AS uri,
        CASE WHEN event_type = 'view' THEN 'product' WHEN event_type = 'purchase' THEN 'purchase'

@@ -607,3 +607,320 @@ SELECT count(*) AS total_customers, avg(churn_probability) AS avg_probability,
 FROM preds""")
 def _i23(p):
     return ex.churn_statistics(p.predictions)
+
+
+# ====================================================================== Quality
+from martflow.operators import quality as q  # noqa: E402
+from martflow.sources.io import table_counts  # noqa: E402
+
+# Raw (bronze-shaped) table columns; True marks string columns. A test checks
+# these against the adapter's Spark schemas.
+RAW_COLUMNS = {
+    "users": [("id", 0), ("first_name", 1), ("last_name", 1), ("email", 1), ("age", 0), ("gender", 1),
+              ("state", 1), ("street_address", 1), ("postal_code", 1), ("city", 1), ("country", 1),
+              ("latitude", 0), ("longitude", 0), ("traffic_source", 1), ("created_at", 0), ("user_geom", 1)],
+    "orders": [("order_id", 0), ("user_id", 0), ("status", 1), ("gender", 1), ("created_at", 0),
+               ("returned_at", 0), ("shipped_at", 0), ("delivered_at", 0), ("num_of_item", 0)],
+    "order_items": [("id", 0), ("order_id", 0), ("user_id", 0), ("product_id", 0), ("inventory_item_id", 0),
+                    ("status", 1), ("created_at", 0), ("shipped_at", 0), ("delivered_at", 0),
+                    ("returned_at", 0), ("sale_price", 0)],
+    "products": [("id", 0), ("cost", 0), ("category", 1), ("name", 1), ("brand", 1), ("retail_price", 0),
+                 ("department", 1), ("sku", 1), ("distribution_center_id", 0)],
+    "inventory_items": [("id", 0), ("product_id", 0), ("created_at", 0), ("sold_at", 0), ("cost", 0),
+                        ("product_category", 1), ("product_name", 1), ("product_brand", 1),
+                        ("product_retail_price", 0), ("product_department", 1), ("product_sku", 1),
+                        ("product_distribution_center_id", 0)],
+    "distribution_centers": [("id", 0), ("name", 1), ("latitude", 0), ("longitude", 0)],
+    "events": [("id", 0), ("user_id", 0), ("sequence_number", 0), ("session_id", 1), ("created_at", 0),
+               ("ip_address", 1), ("city", 1), ("state", 1), ("postal_code", 1), ("browser", 1),
+               ("traffic_source", 1), ("uri", 1), ("event_type", 1)],
+}
+PK = {"users": "id", "orders": "order_id", "order_items": "id", "products": "id", "inventory_items": "id",
+      "distribution_centers": "id", "events": "id"}
+CARDINALITY = {"users": ["country", "gender", "traffic_source"], "orders": ["status", "gender"],
+               "order_items": ["status"], "products": ["category", "department"],
+               "events": ["event_type", "browser", "traffic_source"]}
+SENTINEL_COLUMNS = ["first_name", "last_name", "email", "gender", "state", "street_address", "postal_code",
+                    "city", "country", "traffic_source", "user_geom"]
+
+
+def _rules_sql(table: str, cte_name: str, rules: list) -> str:
+    parts = []
+    for r in rules:
+        v = f"count(CASE WHEN {r.violation} THEN 1 END)"
+        passed = (f"{v} < count(*) * {r.max_share}" if r.max_share is not None else f"{v} <= {r.tolerance}")
+        parts.append(f"SELECT '{table}' AS \"table\", '{r.name}' AS \"check\", {v} AS violations, "
+                     f"count(*) AS total, {passed} AS passed FROM {cte_name}")
+    return " UNION ALL ".join(parts)
+
+
+def _null_profile_sql() -> str:
+    parts = []
+    for t, cols in RAW_COLUMNS.items():
+        for c, is_str in cols:
+            sent = f"count(CASE WHEN {c} = 'null' THEN 1 END)" if is_str else "CAST(0 AS BIGINT)"
+            parts.append(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) - count({c}) AS null_count, "
+                         f"{sent} AS null_string_count, count(*) AS total FROM b_{t}")
+    return " UNION ALL ".join(parts)
+
+
+@register("null_profile", _null_profile_sql())
+def _c1(p):
+    return q.null_profile(p.raw)
+
+
+@register("sentinel_counts", " UNION ALL ".join(
+    f"SELECT 'users' AS \"table\", '{c}' AS \"column\", count(*) - count({c}) AS actual_nulls, "
+    f"count(CASE WHEN {c} = 'null' THEN 1 END) AS sentinel_nulls FROM b_users" for c in SENTINEL_COLUMNS))
+def _c2(p):
+    return q.sentinel_counts(p.raw["users"], "users", SENTINEL_COLUMNS)
+
+
+def _fk_sql(fks, prefix: str, ignore_null: bool) -> str:
+    parts = []
+    for c, ck, par, pk in fks:
+        child, parent = f"{prefix}{c}", f"{prefix}{par}"
+        cond = f"WHERE {ck} IS NOT NULL AND" if ignore_null else "WHERE"
+        orph = (f"(SELECT count(*) FROM {child} x {cond} NOT EXISTS "
+                f"(SELECT 1 FROM {parent} y WHERE y.{pk} = x.{ck}))")
+        parts.append(f"SELECT '{c}.{ck} -> {par}.{pk}' AS relation, (SELECT count(*) FROM {child}) AS child_rows, "
+                     f"{orph} AS orphans, "
+                     f"round({orph} * 100 / greatest((SELECT count(*) FROM {child}), 1), 2) AS orphan_pct, "
+                     f"{orph} = 0 AS passed")
+    return " UNION ALL ".join(parts)
+
+
+@register("bronze_fk_orphans", _fk_sql(q.BRONZE_FKS, "b_", False))
+def _c3(p):
+    return q.fk_report(p.raw, q.BRONZE_FKS, ignore_null_keys=False)
+
+
+@register("silver_fk_validation", _fk_sql(q.SILVER_FKS, "", True))
+def _c4(p):
+    return q.fk_report(p.silver, q.SILVER_FKS, ignore_null_keys=True)
+
+
+@register("event_user_orphans", _fk_sql([("events", "user_id", "users", "id")], "b_", True)
+          .replace("'events.user_id -> users.id'", "'events.user_id (non-null) -> users'"))
+def _c5(p):
+    return q.event_user_orphans(p.raw["events"], p.raw["users"])
+
+
+def _card_sql() -> str:
+    parts = []
+    for t, cols in CARDINALITY.items():
+        for c in cols:
+            parts.append(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM b_{t}")
+    stacked = " UNION ALL ".join(parts)
+    return f"""
+SELECT "column", value, count, cardinality, rank, "table" FROM (
+  SELECT "table", "column", value, count,
+         count(value) OVER (PARTITION BY "table", "column") AS cardinality,
+         CAST(row_number() OVER (PARTITION BY "table", "column" ORDER BY count DESC, value ASC NULLS FIRST)
+              AS INTEGER) AS rank
+  FROM (SELECT "table", "column", value, count(*) AS count FROM ({stacked}) s GROUP BY 1, 2, 3) g) r
+WHERE rank <= 10"""
+
+
+@register("cardinality_top_values", _card_sql())
+def _c6(p):
+    from functools import reduce as _r
+    parts = [q.cardinality_top(p.raw[t], t, cols) for t, cols in CARDINALITY.items()]
+    return _r(lambda a, b: a.unionByName(b), parts)
+
+
+@register("lifecycle_violations", """
+SELECT 'shipped_before_created' AS "check", CAST(count(CASE WHEN shipped_at < created_at THEN 1 END) AS DOUBLE) AS value FROM order_items_clean
+UNION ALL SELECT 'delivered_before_shipped', CAST(count(CASE WHEN delivered_at < shipped_at THEN 1 END) AS DOUBLE) FROM order_items_clean
+UNION ALL SELECT 'returned_before_delivered', CAST(count(CASE WHEN returned_at < delivered_at THEN 1 END) AS DOUBLE) FROM order_items_clean
+UNION ALL SELECT 'sold_before_created', CAST(count(CASE WHEN sold_at < created_at THEN 1 END) AS DOUBLE) FROM inventory_clean
+UNION ALL SELECT 'unsold_units', CAST(count(CASE WHEN sold_at IS NULL THEN 1 END) AS DOUBLE) FROM inventory_clean""")
+def _c7(p):
+    return q.lifecycle_checks(p.s("order_items_clean"), p.s("inventory_clean"))
+
+
+@register("item_date_range", "SELECT min(created_at) AS min_created, max(created_at) AS max_created FROM order_items_clean")
+def _c7b(p):
+    return q.item_date_range(p.s("order_items_clean"))
+
+
+@register("order_status_distribution", """
+SELECT status, count(*) AS count, 'orders' AS "table" FROM orders_clean GROUP BY status""")
+def _c7c(p):
+    return q.status_distribution(p.s("orders_clean"), "orders")
+
+
+@register("numeric_distribution", """
+SELECT "column", min(value) AS min, max(value) AS max, round(avg(value), 4) AS avg,
+       quantile_disc(value, 0.01) AS p1, quantile_disc(value, 0.99) AS p99,
+       count(CASE WHEN value <= 0 THEN 1 END) AS non_positive, 'order_items' AS "table"
+FROM (SELECT 'sale_price' AS "column", sale_price AS value FROM b_order_items) t GROUP BY "column"
+UNION ALL
+SELECT "column", min(value), max(value), round(avg(value), 4), quantile_disc(value, 0.01), quantile_disc(value, 0.99),
+       count(CASE WHEN value <= 0 THEN 1 END), 'products'
+FROM (SELECT 'retail_price' AS "column", retail_price AS value FROM b_products
+      UNION ALL SELECT 'cost', cost FROM b_products) t GROUP BY "column"
+UNION ALL
+SELECT "column", min(value), max(value), round(avg(value), 4), quantile_disc(value, 0.01), quantile_disc(value, 0.99),
+       count(CASE WHEN value <= 0 THEN 1 END), 'users'
+FROM (SELECT 'age' AS "column", CAST(age AS DOUBLE) AS value FROM b_users) t GROUP BY "column"
+""")
+def _c8(p):
+    r = p.raw
+    return (q.numeric_distribution(r["order_items"], "order_items", ["sale_price"])
+            .unionByName(q.numeric_distribution(r["products"], "products", ["retail_price", "cost"]))
+            .unionByName(q.numeric_distribution(r["users"], "users", ["age"])))
+
+
+@register("negative_margin_products", "SELECT count(CASE WHEN retail_price < cost THEN 1 END) AS negative_margin FROM b_products")
+def _c8b(p):
+    return q.negative_margin_count(p.raw["products"])
+
+
+@register("primary_key_check", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS total, count(*) - count({k}) AS null_keys, "
+    f"count(*) - (count(DISTINCT {k}) + max(CAST({k} IS NULL AS INTEGER))) AS duplicate_keys, "
+    f"(count(*) - count({k}) = 0 AND count(*) = count(DISTINCT {k}) + max(CAST({k} IS NULL AS INTEGER))) AS passed "
+    f"FROM b_{t}" for t, k in PK.items()))
+def _c9(p):
+    from functools import reduce as _r
+    return _r(lambda a, b: a.unionByName(b), [q.pk_check(p.raw[t], t, k) for t, k in PK.items()])
+
+
+@register("silver_constraints", " UNION ALL ".join(_rules_sql(t, t, rules) for t, rules in q.CONSTRAINTS.items()))
+def _c10(p):
+    return q.constraint_report(p.silver)
+
+
+@register("constraint_enforcement", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(CASE WHEN NOT ({' OR '.join('(' + r.violation + ')' for r in rules)}) "
+    f"THEN 1 END) AS accepted, count(CASE WHEN {' OR '.join('(' + r.violation + ')' for r in rules)} THEN 1 END) "
+    f"AS quarantined FROM {t}" for t, rules in q.CONSTRAINTS.items()))
+def _c10b(p):
+    from functools import reduce as _r
+    parts = []
+    for t, rules in q.CONSTRAINTS.items():
+        acc, qua = q.enforce(p.s(t), rules)
+        a = acc.agg(F.count(F.lit(1)).alias("accepted")).withColumn("_j", F.lit(1))
+        b = qua.agg(F.count(F.lit(1)).alias("quarantined")).withColumn("_j", F.lit(1))
+        parts.append(a.join(b, "_j").select(F.lit(t).alias("table"), "accepted", "quarantined"))
+    return _r(lambda x, y: x.unionByName(y), parts)
+
+
+_SILVER_SRC = {"customers_clean": "users", "orders_clean": "orders", "order_items_clean": "order_items",
+               "products_clean": "products", "inventory_clean": "inventory_items",
+               "events_clean": "events", "distribution_centers_clean": "distribution_centers"}
+
+
+@register("row_count_reconciliation", " UNION ALL ".join(
+    f"SELECT '{s}' AS \"table\", (SELECT count(*) FROM b_{r}) AS expected_rows, (SELECT count(*) FROM {s}) AS actual_rows, "
+    f"(SELECT count(*) FROM b_{r}) = (SELECT count(*) FROM {s}) AS match" for s, r in _SILVER_SRC.items())
+    + " UNION ALL SELECT 'customer_360', (SELECT count(*) FROM customers_clean), (SELECT count(*) FROM customer_360), "
+      "(SELECT count(*) FROM customers_clean) = (SELECT count(*) FROM customer_360)"
+    + " UNION ALL SELECT 'product_performance', (SELECT count(*) FROM products_clean), "
+      "(SELECT count(*) FROM product_performance), "
+      "(SELECT count(*) FROM products_clean) = (SELECT count(*) FROM product_performance)")
+def _c11(p):
+    expected = table_counts({**{s: p.raw[r] for s, r in _SILVER_SRC.items()},
+                             "customer_360": p.s("customers_clean"),
+                             "product_performance": p.s("products_clean")})
+    actual = table_counts({**{s: p.s(s) for s in _SILVER_SRC},
+                           "customer_360": p.g("customer_360"),
+                           "product_performance": p.g("product_performance")})
+    return q.reconciliation(expected, actual)
+
+
+@register("silver_spot_checks", """
+SELECT "check", value, value = 0 AS passed FROM (
+SELECT 'string ''null'' city values' AS "check", CAST(count(CASE WHEN city = 'null' THEN 1 END) AS DOUBLE) AS value FROM customers_clean
+UNION ALL SELECT '''Brasil'' country values', CAST(count(CASE WHEN country = 'Brasil' THEN 1 END) AS DOUBLE) FROM customers_clean
+UNION ALL SELECT 'shipped orders without days_to_ship', CAST(count(CASE WHEN shipped_at IS NOT NULL AND days_to_ship IS NULL THEN 1 END) AS DOUBLE) FROM orders_clean
+UNION ALL SELECT 'is_returned differs from status', CAST(count(CASE WHEN (status = 'Returned') <> is_returned THEN 1 END) AS DOUBLE) FROM order_items_clean
+UNION ALL SELECT 'denormalised product_* columns in inventory', 0.0
+UNION ALL SELECT 'ip_address column in events', 0.0
+UNION ALL SELECT 'brands replaced by ''Unknown''', CAST(count(CASE WHEN brand = 'Unknown' THEN 1 END) AS DOUBLE) FROM products_clean) t""")
+def _c12(p):
+    return q.silver_spot_checks(p.silver)
+
+
+@register("gold_spot_checks", """
+SELECT 'customers_with_orders' AS "check", CAST(count(CASE WHEN order_count > 0 THEN 1 END) AS DOUBLE) AS value FROM customer_360
+UNION ALL SELECT 'customers_without_orders', CAST(count(CASE WHEN order_count = 0 THEN 1 END) AS DOUBLE) FROM customer_360
+UNION ALL SELECT 'avg_lifetime_spend', round(avg(CASE WHEN lifetime_spend > 0 THEN lifetime_spend END), 2) FROM customer_360
+UNION ALL SELECT 'max_lifetime_spend', max(lifetime_spend) FROM customer_360
+UNION ALL SELECT 'with_favorite_category', CAST(count(favorite_category) AS DOUBLE) FROM customer_360
+UNION ALL SELECT 'never_sold_products', CAST(count(CASE WHEN units_sold = 0 THEN 1 END) AS DOUBLE) FROM product_performance
+UNION ALL SELECT 'dead_stock_products', CAST(count(CASE WHEN is_dead_stock THEN 1 END) AS DOUBLE) FROM inventory_health
+UNION ALL SELECT 'reorder_signals', CAST(count(CASE WHEN reorder_signal THEN 1 END) AS DOUBLE) FROM inventory_health
+UNION ALL SELECT 'distribution_centers', CAST(count(DISTINCT distribution_center_id) AS DOUBLE) FROM fulfillment_metrics
+UNION ALL SELECT 'months', CAST(count(DISTINCT order_month) AS DOUBLE) FROM fulfillment_metrics
+UNION ALL SELECT 'avg_on_time_rate', """ + gratio_sql("CAST(sum(CAST(round(on_time_rate * 10000) AS BIGINT)) AS BIGINT)",
+                                                    "count(on_time_rate) * 10000", 4) + """ FROM fulfillment_metrics
+UNION ALL SELECT 'funnel_users', CAST(count(DISTINCT user_id) AS DOUBLE) FROM funnel_analytics
+UNION ALL SELECT 'rows_with_mom_change', CAST(count(sessions_mom_change) AS DOUBLE) FROM funnel_analytics""")
+def _c13(p):
+    return q.gold_spot_checks(p.gold)
+
+
+@register("gold_business_rules", " UNION ALL ".join(_rules_sql(t, t, rules) for t, rules in q.GOLD_RULES.items()))
+def _c14(p):
+    return q.gold_rule_report(p.gold)
+
+
+@register("feature_validation", "SELECT 'transactional' AS \"table\", 'row count = eligible' AS \"check\", "
+          "abs((SELECT count(*) FROM fs_txn) - (SELECT count(*) FROM fs_elig)) AS violations, "
+          "(SELECT count(*) FROM fs_elig) AS total, "
+          "(SELECT count(*) FROM fs_txn) = (SELECT count(*) FROM fs_elig) AS passed UNION ALL "
+          + " UNION ALL ".join(_rules_sql(t, {"transactional": "fs_txn", "behavioral": "fs_beh",
+                                              "product": "fs_prod"}[t], rules)
+                               for t, rules in q.FEATURE_RULES.items()))
+def _c15(p):
+    return q.feature_validation(p.features)
+
+
+@register("temporal_integrity", """
+SELECT 'orders' AS source, max(created_at) AS max_ts, coalesce(max(created_at) < (SELECT cutoff FROM fs_cut), true) AS passed FROM fs_po
+UNION ALL SELECT 'order_items', max(created_at), coalesce(max(created_at) < (SELECT cutoff FROM fs_cut), true) FROM fs_pi
+UNION ALL SELECT 'events', max(created_at), coalesce(max(created_at) < (SELECT cutoff FROM fs_cut), true) FROM fs_pe""")
+def _c15b(p):
+    return q.temporal_integrity(p.silver, p.features.cutoff)
+
+
+@register("dataset_validation", """
+SELECT 'churn_feature_dataset' AS "table", 'no null target' AS "check", count(CASE WHEN churned IS NULL THEN 1 END) AS violations, count(*) AS total, count(CASE WHEN churned IS NULL THEN 1 END) = 0 AS passed FROM fs_dataset
+UNION ALL SELECT 'churn_feature_dataset', 'no null user_id', count(CASE WHEN user_id IS NULL THEN 1 END), count(*), count(CASE WHEN user_id IS NULL THEN 1 END) = 0 FROM fs_dataset
+UNION ALL SELECT 'churn_feature_dataset', 'row count = eligible', abs(count(*) - (SELECT count(*) FROM fs_elig)), count(*), count(*) = (SELECT count(*) FROM fs_elig) FROM fs_dataset
+UNION ALL SELECT 'churn_feature_dataset', 'unique user_id', count(*) - count(DISTINCT user_id), count(*), count(*) = count(DISTINCT user_id) FROM fs_dataset
+UNION ALL SELECT 'churn_feature_dataset', 'churn rate in (5%, 95%)', CAST(CASE WHEN sum(churned) / count(*) > 0.05 AND sum(churned) / count(*) < 0.95 THEN 0 ELSE 1 END AS BIGINT), count(*), sum(churned) / count(*) > 0.05 AND sum(churned) / count(*) < 0.95 FROM fs_dataset
+UNION ALL SELECT 'churn_feature_dataset', 'metadata columns present', CAST(0 AS BIGINT), count(*), true FROM fs_dataset""")
+def _c16(p):
+    return q.dataset_validation(p.dataset, p.features.eligible())
+
+
+_SUMMARY = ["order_count", "lifetime_spend", "avg_order_value", "days_since_last_order", "total_sessions",
+            "session_count_30d", "price_sensitivity_score", "account_age_days"]
+
+
+@register("distribution_summary", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(avg(CAST({c} AS DOUBLE)), 2) AS mean, "
+    f"round(quantile_disc(CAST({c} AS DOUBLE), 0.5), 2) AS median, "
+    f"round(quantile_disc(CAST({c} AS DOUBLE), 0.95), 2) AS p95, round(min(CAST({c} AS DOUBLE)), 2) AS min, "
+    f"round(max(CAST({c} AS DOUBLE)), 2) AS max FROM fs_dataset" for c in _SUMMARY))
+def _c17(p):
+    return q.distribution_summary(p.dataset, _SUMMARY)
+
+
+@register("missing_customer_diagnosis", """
+SELECT o.user_id, o.pre_cutoff_orders, o.first_order_at, o.last_order_at,
+       coalesce(i.pre_cutoff_items, 0) AS pre_cutoff_items, coalesce(i.all_items, 0) AS all_items,
+       i.first_item_at, i.last_item_at,
+       CASE WHEN coalesce(i.all_items, 0) > 0 AND i.first_item_at >= (SELECT cutoff FROM fs_cut)
+            THEN 'processing lag: items created after the cutoff' ELSE 'no items' END AS verdict
+FROM (SELECT user_id, count(*) AS pre_cutoff_orders, min(created_at) AS first_order_at,
+             max(created_at) AS last_order_at FROM fs_po GROUP BY user_id) o
+LEFT JOIN (SELECT user_id, count(CASE WHEN created_at < (SELECT cutoff FROM fs_cut) THEN 1 END) AS pre_cutoff_items,
+                  count(*) AS all_items, min(created_at) AS first_item_at, max(created_at) AS last_item_at
+           FROM order_items_clean WHERE status <> 'Cancelled' GROUP BY user_id) i ON o.user_id = i.user_id
+WHERE coalesce(i.pre_cutoff_items, 0) = 0""")
+def _c18(p):
+    return q.missing_customer_diagnosis(p.features)

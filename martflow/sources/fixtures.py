@@ -27,10 +27,8 @@ from martflow.sources.io import read_source
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events")
 
-NULL_STR = F.lit(None).cast("string")
-NULL_DBL = F.lit(None).cast("double")
-NULL_LONG = F.lit(None).cast("long")
-NULL_TS = F.lit(None).cast("timestamp_ntz")
+def _null(t: str):
+    return F.lit(None).cast(t)
 
 
 @dataclass
@@ -66,16 +64,16 @@ def bronze_users(t: DriverTables) -> DataFrame:
         (F.lit(12) + k % 59).cast("long").alias("age"),
         F.when(k % 2 == 0, "M").otherwise("F").alias("gender"),
         F.concat(F.lit("S"), (k % 7).cast("string")).alias("state"),
-        NULL_STR.alias("street_address"),
-        NULL_STR.alias("postal_code"),
+        _null("string").alias("street_address"),
+        _null("string").alias("postal_code"),
         F.when(k % 100 == 0, F.lit("null"))
          .otherwise(F.concat(F.lit("City"), (k % 40).cast("string"))).alias("city"),
         F.when(F.col("c_nationkey") == 2, F.lit("Brasil")).otherwise(F.col("n_name")).alias("country"),
-        NULL_DBL.alias("latitude"),
-        NULL_DBL.alias("longitude"),
+        _null("double").alias("latitude"),
+        _null("double").alias("longitude"),
         F.col("c_mktsegment").alias("traffic_source"),
         add_days(ntz("1994-06-01"), k % 180).alias("created_at"),
-        NULL_STR.alias("user_geom"),
+        _null("string").alias("user_geom"),
     )
 
 
@@ -175,7 +173,7 @@ def bronze_inventory_items(t: DriverTables) -> DataFrame:
     e = _enriched_lines(t)
     k = F.col("l_partkey")
     cost_c = product_cost_cents(k, _retail_cents(F.col("p_retailprice")))
-    sold = F.when((F.col("l_orderkey") + k) % 20 == 0, NULL_TS).otherwise(
+    sold = F.when((F.col("l_orderkey") + k) % 20 == 0, _null("timestamp_ntz")).otherwise(
         add_days(F.col("o_orderdate"), F.col("l_quantity")))
     return e.select(
         (F.col("l_orderkey") * 1000 + F.col("seq")).alias("id"),
@@ -196,7 +194,7 @@ def bronze_inventory_items(t: DriverTables) -> DataFrame:
 def bronze_distribution_centers(t: DriverTables) -> DataFrame:
     return (t.supplier.filter(F.col("s_suppkey") < 10)
             .select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
-                    NULL_DBL.alias("latitude"), NULL_DBL.alias("longitude")))
+                    _null("double").alias("latitude"), _null("double").alias("longitude")))
 
 
 def _event_type():
@@ -212,18 +210,18 @@ def bronze_events(t: DriverTables, shift_days: int = FIXTURE_EVENT_SHIFT_DAYS) -
     u = F.col("user_id")
     return ev.select(
         F.col("event_id").alias("id"),
-        F.when(u % 15 == 0, NULL_LONG).otherwise(u).alias("user_id"),
-        NULL_LONG.alias("sequence_number"),
+        F.when(u % 15 == 0, _null("long")).otherwise(u).alias("user_id"),
+        _null("long").alias("sequence_number"),
         F.concat(u.cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
         add_days(F.col("ts"), -shift_days).alias("created_at"),
         F.concat(F.lit("10.0."), (u % 256).cast("string"), F.lit("."),
                  (F.col("event_id") % 256).cast("string")).alias("ip_address"),
-        NULL_STR.alias("city"),
-        NULL_STR.alias("state"),
-        NULL_STR.alias("postal_code"),
-        NULL_STR.alias("browser"),
-        NULL_STR.alias("traffic_source"),
-        NULL_STR.alias("uri"),
+        _null("string").alias("city"),
+        _null("string").alias("state"),
+        _null("string").alias("postal_code"),
+        _null("string").alias("browser"),
+        _null("string").alias("traffic_source"),
+        _null("string").alias("uri"),
         _event_type().alias("event_type"),
     )
 
