@@ -36,7 +36,9 @@ def asof_join(entities: DataFrame, features: DataFrame, key: str = "user_id",
     rows = f_rows.unionByName(e_rows).withColumn("_b", F.date_trunc(bucket, "_ts"))
 
     # 1) sweep inside each (key, bucket)
-    w_local = (Window.partitionBy("_k", "_b").orderBy("_ts", "_kind")
+    # ties: several feature rows of one key at the same instant resolve to
+    # the greatest payload (deterministic); entity rows sort after them.
+    w_local = (Window.partitionBy("_k", "_b").orderBy("_ts", "_kind", _PAYLOAD)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     swept = rows.withColumn("_local", F.last(_PAYLOAD, ignorenulls=True).over(w_local))
 
@@ -44,7 +46,7 @@ def asof_join(entities: DataFrame, features: DataFrame, key: str = "user_id",
     #    every bucket that holds rows gets the latest one from a strictly
     #    earlier bucket of the same key.
     last_per_bucket = (rows.filter(F.col("_kind") == 0).groupBy("_k", "_b")
-                       .agg(F.max_by(_PAYLOAD, F.col("_ts")).alias("_last")))
+                       .agg(F.max_by(_PAYLOAD, F.struct("_ts", _PAYLOAD)).alias("_last")))
     buckets = rows.select("_k", "_b").distinct()
     w_prev = (Window.partitionBy("_k").orderBy("_b")
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -68,7 +70,7 @@ def materialize_latest(features: DataFrame, start: str, end: str, key: str = "us
     in_range = features.filter((F.col(ts) >= F.to_timestamp_ntz(F.lit(start)))
                                & (F.col(ts) <= F.to_timestamp_ntz(F.lit(end))))
     latest = (in_range.groupBy(key)
-              .agg(F.max_by(F.struct(*cols), F.col(ts)).alias("_r")))
+              .agg(F.max_by(F.struct(*cols), F.struct(F.col(ts), F.struct(*cols))).alias("_r")))
     return latest.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
