@@ -46,3 +46,28 @@ def running_totals(df: DataFrame, part: list[str], order: str, cols: list[str],
         *[(F.col(f"_off_{c}") + F.sum(c).over(run)).alias(f"cum_{c}") for c in cols],
         F.coalesce(F.lead(order).over(w_in), F.col("_next_bmin")).alias(f"next_{order}"))
     return x
+
+
+def dense_rank_desc(df: DataFrame, part: list[str], order: str, out: str,
+                    buckets: int = 64) -> DataFrame:
+    """``dense_rank() OVER (PARTITION BY part ORDER BY order DESC NULLS LAST)``
+    without a window over whole partitions.
+
+    A partition with few keys (e.g. a handful of categories) would put a
+    large share of all rows into one sort. Instead: distinct (part, value)
+    pairs get their rank from bucketed running counts; NULL values rank
+    after every value of their partition; the ranks join back on
+    (part, value), partition keys matched null-safely.
+    """
+    alias = {c: f"_rk_{c}" for c in part}
+    vals = (df.select(*[F.col(c).alias(alias[c]) for c in part], F.col(order).alias("_v"))
+            .filter(F.col("_v").isNotNull()).distinct()
+            .withColumns({"_neg": -F.col("_v"), "_one": F.lit(1)}))
+    ap = list(alias.values())
+    ranked = running_totals(vals, ap, "_neg", ["_one"], buckets).select(
+        *ap, "_v", F.col("cum__one").cast("int").alias(out))
+    n_vals = vals.groupBy(*ap).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    cond = [F.col(c).eqNullSafe(F.col(alias[c])) for c in part]
+    joined = df.join(ranked, cond + [F.col(order) == F.col("_v")], "left").drop(*ap, "_v")
+    joined = joined.join(n_vals, cond, "left").drop(*ap)
+    return joined.withColumn(out, F.coalesce(F.col(out), F.coalesce(F.col("_n"), F.lit(0)) + 1)).drop("_n")

@@ -57,16 +57,27 @@ def fit_encoders(df: DataFrame, categorical: list[str] = MODEL_CATEGORICAL) -> D
     return stacked.withColumn("index", (F.row_number().over(w) - 1).cast("int"))
 
 
+VOCAB_BROADCAST_MAX_ROWS = 1_000_000
+
+
 def apply_encoders(df: DataFrame, encoders: DataFrame,
-                   categorical: list[str] = MODEL_CATEGORICAL) -> DataFrame:
+                   categorical: list[str] = MODEL_CATEGORICAL,
+                   broadcast_max_rows: int = VOCAB_BROADCAST_MAX_ROWS) -> DataFrame:
     """Replace each categorical by its index; unseen values -> -1.
 
-    One join per column against that column's slice of the encoder table
-    (a vocabulary, normally tiny: Spark broadcasts it by measured size)."""
+    One join per column against that column's vocabulary. Categorical keys
+    have few values, so a shuffle join would crowd each value into one
+    task: the vocabulary is broadcast after a size check (its row count, a
+    tiny job on the fitted encoder table); beyond the bound it falls back
+    to a shuffle join that AQE splits on skew."""
+    sizes = {r["column"]: r["n"] for r in
+             encoders.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
     for c in categorical:
         enc = encoders.filter(F.col("column") == c).select(
             F.col("value").alias(f"_v_{c}"), F.col("index").alias(f"_i_{c}"))
+        if sizes.get(c, 0) <= broadcast_max_rows:
+            enc = F.broadcast(enc)
         out = (out.join(enc, out[c].cast("string") == enc[f"_v_{c}"], "left")
                .withColumn(c, F.coalesce(F.col(f"_i_{c}"), F.lit(-1)))
                .drop(f"_v_{c}", f"_i_{c}"))
@@ -100,8 +111,13 @@ def class_weights(df: DataFrame, label: str = "churned") -> DataFrame:
 
 
 def with_weights(df: DataFrame, label: str = "churned", weight_col: str = "weight") -> DataFrame:
-    w = class_weights(df, label).select(label, F.col("weight").alias(weight_col))
-    return df.join(w, label)
+    """Binary labels: the weight is a column expression over scalar
+    subqueries (no join on a two-valued key, which would put each class in
+    one partition)."""
+    n = df.select(F.count(F.lit(1))).scalar()
+    n_pos = df.select(F.count(F.when(F.col(label) == 1, 1))).scalar()
+    w = F.when(F.col(label) == 1, n / (2 * n_pos)).otherwise(n / (2 * (n - n_pos)))
+    return df.withColumn(weight_col, w)
 
 
 # ----------------------------------------------------------------- F8

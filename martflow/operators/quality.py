@@ -253,11 +253,12 @@ def cardinality_top(df: DataFrame, table: str, columns: list[str], top: int = 10
     st = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                        for c in columns])).alias("r")).select("r.*")
     counts = st.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("column")
-    ranked = counts.withColumns({
-        "cardinality": F.count(F.col("value")).over(w),
-        "rank": F.row_number().over(w.orderBy(F.desc("count"), F.asc_nulls_first("value")))})
-    return ranked.filter(F.col("rank") <= top).withColumn("table", F.lit(table))
+    card = counts.groupBy("column").agg(F.count("value").alias("cardinality"))
+    # row_number <= top alone in its window: planned as WindowGroupLimit,
+    # which also trims to ``top`` rows per column before the shuffle.
+    w = Window.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_first("value"))
+    top_rows = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    return top_rows.join(card, "column").withColumn("table", F.lit(table))
 
 
 # ----------------------------------------------------------------- C7, C8

@@ -115,8 +115,13 @@ class Pipeline:
                                         cfg=self.cfg)
         metrics = md.binary_metrics(mf, label="churned", score="score", group=["side"],
                                     threshold=self.cfg.decision_threshold)
+        # The monitoring outputs are small report tables: written once (like
+        # the reference's JSON summary) so consumers do not recompute drift.
+        table = self._table(table, "drift_table")
+        pdrift = self._table(pdrift, "prediction_drift")
+        metrics = self._table(metrics, "model_metrics")
         quality = drift.model_quality(metrics, self.cfg)
-        summary = drift.monitoring_summary(table, pdrift, quality)
+        summary = self._table(drift.monitoring_summary(table, pdrift, quality), "monitoring_summary")
         return {"drift_table": table, "prediction_drift": pdrift, "metrics": metrics,
                 "model_quality": quality, "summary": summary}
 
