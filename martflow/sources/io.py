@@ -112,8 +112,9 @@ def extract(spark: SparkSession, reader_format: str, options: dict, tables: list
     for name in tables:
         opts = dict(options)
         if reader_format in ("parquet", "csv", "json", "orc"):
+            base = opts.pop("path", None)
             df = spark.read.format(reader_format).options(**opts).load(
-                os.path.join(opts.pop("path", ""), name) if "path" in options else name)
+                os.path.join(base, name) if base else name)
         else:
             opts[table_option] = name
             df = spark.read.format(reader_format).options(**opts).load()
