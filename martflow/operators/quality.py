@@ -321,6 +321,24 @@ def pk_check(df: DataFrame, table: str, key: str) -> DataFrame:
                 ((F.col("null_keys") == 0) & (F.col("total") == F.col("_distinct"))).alias("passed"))
 
 
+# ----------------------------------------------------------------- T25: cast failures
+def cast_failures(raw: DataFrame, table: str, schema, rename: dict[str, str] | None = None) -> DataFrame:
+    """Per Silver column: source values that were non-NULL but became NULL
+    under ``try_cast`` to the declared type (malformed input), one scan.
+    ``rename`` maps Silver names to raw names (e.g. user_id -> id)."""
+    rename = rename or {}
+    pairs = []
+    for f in schema.fields:
+        src = rename.get(f.name, f.name)
+        if src in raw.columns:
+            bad = F.col(src).isNotNull() & F.col(src).try_cast(f.dataType).isNull()
+            pairs.append((f.name, F.count(F.when(bad, 1))))
+    one = raw.agg(*[v.alias(f"_c{i}") for i, (_, v) in enumerate(pairs)])
+    arr = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"_c{i}").alias("cast_failures"))
+                    for i, (n, _) in enumerate(pairs)])
+    return one.select(F.lit(table).alias("table"), F.explode(arr).alias("r")).select("table", "r.*")
+
+
 # ----------------------------------------------------------------- C11
 def reconciliation(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """C11: (table, expected_rows, actual_rows, match) from two count tables

@@ -119,10 +119,13 @@ from martflow.functions.exprs import add_days, ntz  # noqa: E402
 SNAPSHOT_CUTOFFS = ["2001-02-01", "2001-03-01", "2001-05-03"]
 
 
+# Registered outputs carry dates as midnight timestamps so both engines hand
+# the comparison the same value type (the library tables keep DATE).
 @register("feature_boundaries", """
-SELECT max(created_at) AS max_date, CAST(max(created_at) AS DATE) - 90 AS feature_cutoff FROM orders_clean""")
+SELECT max(created_at) AS max_date, CAST(CAST(max(created_at) AS DATE) - 90 AS TIMESTAMP) AS feature_cutoff
+FROM orders_clean""")
 def _e1(p):
-    return p.features.boundaries()
+    return p.features.boundaries().withColumn("feature_cutoff", F.col("feature_cutoff").cast("timestamp_ntz"))
 
 
 @register("eligible_customers", "SELECT * FROM fs_elig")
@@ -164,9 +167,11 @@ def _e8(p):
     return p.features.class_balance()
 
 
-@register("churn_feature_dataset", "SELECT * FROM fs_dataset")
+@register("churn_feature_dataset", "SELECT * REPLACE (CAST(feature_cutoff_date AS TIMESTAMP) AS feature_cutoff_date)"
+          " FROM fs_dataset")
 def _e9(p):
-    return p.dataset.drop("pipeline_run_timestamp")
+    return (p.dataset.drop("pipeline_run_timestamp")
+            .withColumn("feature_cutoff_date", F.col("feature_cutoff_date").cast("timestamp_ntz")))
 
 
 def _snapshots(p):
@@ -1000,3 +1005,22 @@ def _f12(p):
     sample = md.fixed_sample(p.dataset, p.cfg.sample_size)
     feats = md.training_set(sample).drop("churned")
     return ml.batch_score(res.models[best], feats, res.encoders, best, "1", p.cfg)
+
+
+_CUST_TYPES = [("user_id", "id", "BIGINT"), ("first_name", "first_name", "VARCHAR"),
+               ("last_name", "last_name", "VARCHAR"), ("email", "email", "VARCHAR"), ("age", "age", "BIGINT"),
+               ("gender", "gender", "VARCHAR"), ("state", "state", "VARCHAR"),
+               ("street_address", "street_address", "VARCHAR"), ("postal_code", "postal_code", "VARCHAR"),
+               ("city", "city", "VARCHAR"), ("country", "country", "VARCHAR"), ("latitude", "latitude", "DOUBLE"),
+               ("longitude", "longitude", "DOUBLE"), ("traffic_source", "traffic_source", "VARCHAR"),
+               ("created_at", "created_at", "TIMESTAMP")]
+
+
+@register("cast_failures", " UNION ALL ".join(
+    f"SELECT 'customers_clean' AS \"table\", '{c}' AS \"column\", "
+    f"count(CASE WHEN {src} IS NOT NULL AND TRY_CAST({src} AS {t}) IS NULL THEN 1 END) AS cast_failures FROM b_users"
+    for c, src, t in _CUST_TYPES))
+def _t25(p):
+    """Malformed source values turned NULL by try_cast (users -> customers)."""
+    from martflow.operators.silver import SILVER_SCHEMAS
+    return q.cast_failures(p.raw["users"], "customers_clean", SILVER_SCHEMAS["customers_clean"], {"user_id": "id"})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -77,11 +78,22 @@ def materialize(spark: SparkSession, df, name: str, key: str):
     table (``_SUCCESS`` present) for the same key is reused.
     """
     path = os.path.join(checkpoint_dir(spark), "tables", key, name)
-    if not path_exists(spark, os.path.join(path, "_SUCCESS")):
-        df.write.mode("overwrite").parquet(path)
+    with _lock_for(path):
+        if not path_exists(spark, os.path.join(path, "_SUCCESS")):
+            df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+_LOCKS: dict[str, threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
+
+
+def _lock_for(path: str) -> threading.Lock:
+    """One lock per table path: concurrent queries in one driver write once."""
+    with _LOCKS_GUARD:
+        return _LOCKS.setdefault(path, threading.Lock())
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop FileSystem of the path (works for
     local, HDFS and object-store URIs alike)."""
