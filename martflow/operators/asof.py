@@ -21,7 +21,15 @@ _PAYLOAD = "_asof_payload"
 
 def asof_join(entities: DataFrame, features: DataFrame, key: str = "user_id",
               entity_ts: str = "event_timestamp", feature_ts: str = "event_timestamp",
-              ttl_days: int | None = 365, bucket: str = "month") -> DataFrame:
+              ttl_days: int | None = 365, bucket: str = "month",
+              hot_rows: int | None = 2_000_000, hot_bucket: str = "hour") -> DataFrame:
+    """As-of join (see module doc).
+
+    ``hot_rows``: a (key, bucket) group with more rows than this is split
+    into ``hot_bucket`` sub-buckets (the carry-in handles any bucket
+    boundaries), so even one key holding a large share of a month's rows is
+    swept by many tasks. ``None`` disables the check (saves one aggregate).
+    """
     feat_cols = [c for c in features.columns if c not in (key, feature_ts)]
     ent_cols = entities.columns
     # Common row shape: key, ts, kind (0 = feature, 1 = entity), payloads.
@@ -34,6 +42,13 @@ def asof_join(entities: DataFrame, features: DataFrame, key: str = "user_id",
         F.lit(None).cast(f_rows.schema[_PAYLOAD].dataType).alias(_PAYLOAD),
         F.struct(*ent_cols).alias("_ent"))
     rows = f_rows.unionByName(e_rows).withColumn("_b", F.date_trunc(bucket, "_ts"))
+    if hot_rows is not None:
+        hot = (rows.groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_n"))
+               .filter(F.col("_n") > hot_rows).select("_k", "_b", F.lit(True).alias("_hot")))
+        rows = (rows.join(hot, ["_k", "_b"], "left")
+                .withColumn("_b", F.when(F.col("_hot"), F.date_trunc(hot_bucket, "_ts"))
+                            .otherwise(F.col("_b")))
+                .drop("_hot"))
 
     # 1) sweep inside each (key, bucket)
     # ties: several feature rows of one key at the same instant resolve to

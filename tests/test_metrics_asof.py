@@ -70,6 +70,7 @@ def test_asof_join_matches_brute_force_including_hot_key(spark):
     ents = list(dict.fromkeys(ents))
     fdf = spark.createDataFrame(feats, "user_id long, event_timestamp timestamp_ntz, v long")
     edf = spark.createDataFrame(ents, "user_id long, event_timestamp timestamp_ntz")
-    for ttl in (365, 30, None):
-        got = sorted(tuple(r) for r in asof.asof_join(edf, fdf, ttl_days=ttl).collect())
+    for ttl, hot in ((365, None), (30, 5), (None, 5), (365, 5)):
+        got = sorted(tuple(r) for r in asof.asof_join(edf, fdf, ttl_days=ttl, hot_rows=hot,
+                                                      hot_bucket="day").collect())
         assert got == _brute_asof(ents, [(k, t, v) for k, t, v in feats if True], ttl), ttl
