@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,7 @@ class Pipeline:
         self.cfg = cfg
         self._silver = silver_tables
         self.materialize = materialize
+        self.parallel_writes = 4
         self.key = _input_key(sf_dir, cfg) if materialize else ""
 
     def _table(self, df: DataFrame, name: str) -> DataFrame:
@@ -67,8 +69,14 @@ class Pipeline:
     def silver(self) -> dict[str, DataFrame]:
         if self._silver is not None:
             return self._silver
-        return {name: self._table(df, f"silver_{name}")
-                for name, df in silver.silver_layer(self.raw).items()}
+        plans = silver.silver_layer(self.raw)
+        if not self.materialize:
+            return plans
+        # The seven tables are independent: write them as concurrent jobs so
+        # small tables do not leave the cluster idle behind big ones.
+        with ThreadPoolExecutor(max_workers=min(len(plans), self.parallel_writes)) as pool:
+            futs = {n: pool.submit(self._table, df, f"silver_{n}") for n, df in plans.items()}
+            return {n: f.result() for n, f in futs.items()}
 
     @cached_property
     def gold(self) -> dict[str, DataFrame]:
@@ -117,9 +125,11 @@ class Pipeline:
                                     threshold=self.cfg.decision_threshold)
         # The monitoring outputs are small report tables: written once (like
         # the reference's JSON summary) so consumers do not recompute drift.
-        table = self._table(table, "drift_table")
-        pdrift = self._table(pdrift, "prediction_drift")
-        metrics = self._table(metrics, "model_metrics")
+        with ThreadPoolExecutor(max_workers=3) as pool:     # independent report jobs
+            ft = pool.submit(self._table, table, "drift_table")
+            fp = pool.submit(self._table, pdrift, "prediction_drift")
+            fm = pool.submit(self._table, metrics, "model_metrics")
+            table, pdrift, metrics = ft.result(), fp.result(), fm.result()
         quality = drift.model_quality(metrics, self.cfg)
         summary = self._table(drift.monitoring_summary(table, pdrift, quality), "monitoring_summary")
         return {"drift_table": table, "prediction_drift": pdrift, "metrics": metrics,
