@@ -20,7 +20,12 @@ from pyspark.sql import functions as F
 from martflow.config import DEFAULT, Config
 from martflow.functions.windows import running_totals
 
+# Distance-type method names (drift when value > threshold),
+# the reported method names, and the recommendation labels.
 DISTANCE_METHODS = ["wasserstein", "jensen", "jensenshannon", "psi", "earth_mover"]
+WASSERSTEIN_METHOD = "wasserstein_distance_norm"
+JS_METHOD = "jensenshannon"
+RECOMMENDATIONS = ("INVESTIGATE", "CONTINUE_SERVING")
 STD_FLOOR = 0.001
 PSI_FLOOR = 0.0001
 
@@ -108,8 +113,8 @@ def drift_table(ref: DataFrame, cur: DataFrame, features: list[str], discrete: l
     disc_counts = c2.filter(F.col("_disc")).drop("_disc")
     cont_ref = rl.join(kinds.filter(~F.col("_disc")), "feature", "left_semi")
     wd = wasserstein_normed(cont_counts, cont_ref) \
-        .withColumn("method", F.lit("wasserstein_distance_norm"))
-    js = jensen_shannon(disc_counts).withColumn("method", F.lit("jensenshannon"))
+        .withColumn("method", F.lit(WASSERSTEIN_METHOD))
+    js = jensen_shannon(disc_counts).withColumn("method", F.lit(JS_METHOD))
     out = wd.unionByName(js).select(
         "feature", "method", F.round("stat_value", 6).alias("stat_value"),
         F.lit(cfg.drift_threshold).alias("threshold"))
@@ -127,7 +132,7 @@ def prediction_drift(ref_scores: DataFrame, cur_scores: DataFrame, col: str = "c
     """Normed Wasserstein between reference and current score columns."""
     rl, cl = melt(ref_scores, [col], "ref"), melt(cur_scores, [col], "cur")
     w = wasserstein_normed(value_counts(rl, cl), rl)
-    return w.select(F.lit("wasserstein_distance_norm").alias("method"),
+    return w.select(F.lit(WASSERSTEIN_METHOD).alias("method"),
                     F.round("stat_value", 4).alias("score"),
                     F.lit(cfg.drift_threshold).alias("threshold")) \
         .withColumn("drift_detected", is_drift(F.col("method"), F.col("score"), cfg.drift_threshold))
@@ -164,4 +169,4 @@ def monitoring_summary(drift_tbl: DataFrame, pred_drift: DataFrame, quality: Dat
                  F.round(F.col("auc_drop") * 100, 2).alias("auc_drop_pct")))
     alert = F.col("data_drift_detected") | F.col("prediction_drift_detected") | F.col("model_degraded")
     return s.withColumn("recommendation",
-                        F.when(alert, "INVESTIGATE").otherwise("CONTINUE_SERVING"))
+                        F.when(alert, RECOMMENDATIONS[0]).otherwise(RECOMMENDATIONS[1]))

@@ -16,6 +16,12 @@ from martflow.config import DEFAULT, Config
 from martflow.functions.exprs import cents
 
 
+# Action-level thresholds of the explorer sections.
+CHURN_ORANGE_SHARE, CHURN_YELLOW_SHARE = 0.5, 0.3
+RETURN_DEVIATION_YELLOW_PP = 0.2
+REORDER_ORANGE_COUNT, DEAD_ORANGE_PCT, DEAD_YELLOW_PCT = 50, 15, 8
+
+
 def _current_month(fm: DataFrame) -> Column:
     return fm.select(F.max("order_month")).scalar()
 
@@ -216,18 +222,19 @@ def action_levels(signals: DataFrame, churn: DataFrame, outliers: DataFrame,
     rev_default = signals.agg(F.count(F.when(F.col("metric") == "Total Revenue", 1)).alias("n")) \
         .filter(F.col("n") == 0).select(F.lit("revenue").alias("domain"), F.lit("yellow").alias("level"))
     ch = churn.select(F.lit("churn").alias("domain"),
-                      F.when(F.col("high_risk_pct") >= 0.5, "orange")
-                       .when(F.col("high_risk_pct") >= 0.3, "yellow").otherwise("green").alias("level"))
+                      F.when(F.col("high_risk_pct") >= CHURN_ORANGE_SHARE, "orange")
+                       .when(F.col("high_risk_pct") >= CHURN_YELLOW_SHARE, "yellow").otherwise("green").alias("level"))
     prod = outliers.agg(F.coalesce(F.max("deviation_pp"), F.lit(0.0)).alias("d")).select(
         F.lit("products").alias("domain"),
-        F.when(F.col("d") >= 0.2, "yellow").otherwise("green").alias("level"))
+        F.when(F.col("d") >= RETURN_DEVIATION_YELLOW_PP, "yellow").otherwise("green").alias("level"))
     md = F.coalesce(F.col("max_days"), F.lit(0.0))
     ful = slowest.select(F.lit("fulfillment").alias("domain"),
                          F.when(md >= cfg.explorer_sla_days, "orange")
                           .when(md >= cfg.explorer_sla_days - 1, "yellow").otherwise("green").alias("level"))
     inv = inv_totals.select(F.lit("inventory").alias("domain"),
-                            F.when((F.col("reorder") >= 50) | (F.col("dead_pct") >= 15), "orange")
-                             .when((F.col("reorder") > 0) | (F.col("dead_pct") >= 8), "yellow")
+                            F.when((F.col("reorder") >= REORDER_ORANGE_COUNT)
+                                   | (F.col("dead_pct") >= DEAD_ORANGE_PCT), "orange")
+                             .when((F.col("reorder") > 0) | (F.col("dead_pct") >= DEAD_YELLOW_PCT), "yellow")
                              .otherwise("green").alias("level"))
     return rev.unionByName(rev_default).unionByName(ch).unionByName(prod).unionByName(ful).unionByName(inv)
 

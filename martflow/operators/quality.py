@@ -86,6 +86,7 @@ CONSTRAINTS: dict[str, list[Rule]] = {
 }
 
 # ----------------------------------------------------------------- C14 rule lists
+# The reference's Gold business rules (names, predicates, tolerances).
 GOLD_RULES: dict[str, list[Rule]] = {
     "customer_360": [
         Rule("return_rate <= 1", "return_rate > 1"),
@@ -133,6 +134,7 @@ GOLD_RULES: dict[str, list[Rule]] = {
 }
 
 # ----------------------------------------------------------------- C15 / C16 rule lists
+# The reference's feature and dataset validation rules.
 FEATURE_RULES: dict[str, list[Rule]] = {
     "transactional": [
         Rule("no negative spend", "lifetime_spend < 0"),

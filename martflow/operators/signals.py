@@ -146,6 +146,7 @@ def signal_values(fulfillment: DataFrame, funnel: DataFrame, inventory: DataFram
     return out.filter(prior.isNotNull())
 
 
+# The eight signal names in the reference's order.
 SIGNAL_ORDER = ["Total Revenue", "Orders Fulfilled", "Active Users", "Avg Conversion Rate",
                 "Avg Delivery Days", "On-Time Delivery Rate", "Dead Stock Rate",
                 "Churn Risk (Inference Batch)"]
