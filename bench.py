@@ -52,9 +52,7 @@ def main() -> None:
     spark.read.parquet(f"{sf_dir}/region.parquet").write.format("noop").mode("overwrite").save()
 
     run("silver_layer", lambda: (p.silver, None)[1])                  # adapter + 7 Silver writes
-    for name in ("customer_360", "product_performance", "inventory_health",
-                 "fulfillment_metrics", "funnel_analytics"):
-        run(name, lambda n=name: p.g(n))
+    run("gold_layer", lambda: (p.gold, None)[1])                      # 5 Gold tables, written
     run("churn_feature_dataset", lambda: (p.dataset, None)[1])        # features + labels, written
     run("asof_retrieval", lambda: _asof(p))
     run("model_frame", lambda: (p.model_frame, None)[1])

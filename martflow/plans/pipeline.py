@@ -20,7 +20,7 @@ from martflow.session import materialize
 from martflow.sources import fixtures
 
 
-CODE_VERSION = "1"
+CODE_VERSION = "2"
 
 
 def _input_key(sf_dir: str, cfg: Config) -> str:
@@ -80,7 +80,14 @@ class Pipeline:
 
     @cached_property
     def gold(self) -> dict[str, DataFrame]:
-        return gold.gold_layer(self.silver, self.cfg)
+        """The five Gold tables; written once (concurrently) when
+        materialising, so analytics read the Gold layer like snapshots."""
+        plans = gold.gold_layer(self.silver, self.cfg)
+        if not self.materialize:
+            return plans
+        with ThreadPoolExecutor(max_workers=min(len(plans), self.parallel_writes)) as pool:
+            futs = {n: pool.submit(self._table, df, f"gold_{n}") for n, df in plans.items()}
+            return {n: f.result() for n, f in futs.items()}
 
     def s(self, name: str) -> DataFrame:
         return self.silver[name]

@@ -75,7 +75,7 @@ def test_streaming_bronze_ingest_is_incremental(spark):
 
 def test_builders_trigger_no_job_and_use_no_python_udf(spark, pipe, monkeypatch):
     from martflow.operators import explorer as ex, findings as fi
-    _ = pipe.silver, pipe.dataset, pipe.model_frame           # materialised tables exist
+    _ = pipe.silver, pipe.gold, pipe.dataset, pipe.model_frame   # materialised tables exist
 
     def boom(*a, **k):
         raise AssertionError("action while building a plan")
