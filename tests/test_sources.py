@@ -65,3 +65,18 @@ def test_drift_decision_is_method_aware(spark):
                                             .alias("d")).collect()}
     assert got == {"wasserstein_distance_norm": True, "jensenshannon": False,
                    "ks_p_value": True, "chisquare_p_value": False}
+
+
+def test_lake_partitioned_overwrite_and_preview(spark, pipe):
+    lake = io.Lake(spark, tempfile.mkdtemp(prefix="mf-lake-"),
+                   partition_by={"fulfillment_metrics": ["distribution_center_id"]})
+    fm = pipe.g("fulfillment_metrics")
+    lake.write(fm, "gold", "fulfillment_metrics")
+    lake.write(fm, "gold", "fulfillment_metrics")            # overwrite, not append
+    back = lake.table("gold", "fulfillment_metrics")
+    assert back.count() == fm.count() and lake.exists("gold", "fulfillment_metrics")
+    one = back.filter(F.col("distribution_center_id") == 3)
+    assert "PartitionFilters: [isnotnull(distribution_center_id" in \
+        one._jdf.queryExecution().executedPlan().toString()
+    top = io.preview(back, 3, [F.desc("total_revenue"), "order_month"])
+    assert top.count() == 3
