@@ -43,10 +43,10 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(spark: SparkSession, df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def map_arrow(spark: SparkSession, df: DataFrame, fn: Callable, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """``df.mapInArrow`` with small batches, so that texts of any length keep
-    a Python worker's memory low."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    a Python worker's memory low. The setting counts when the result is run."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(fn, schema)
 
 
@@ -65,6 +65,7 @@ def text_chunks(col: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[i
     lo = 0
     while lo < len(col):
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + max_bytes, "right")) - 1)
+        hi = min(hi, lo + BATCH_ROWS)
         yield lo, hi, data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
         lo = hi
 
