@@ -14,8 +14,11 @@ means for their result.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +46,28 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context: they
+    need not have it on their own path."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("to") == sc.applicationId:
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="martflow-code-")) / f"martflow-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    _SHIPPED["to"] = sc.applicationId
+
+
+_SHIPPED: dict[str, str] = {}
+
+
 def map_arrow(spark: SparkSession, df: DataFrame, fn: Callable, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """``df.mapInArrow`` with small batches, so that texts of any length keep
     a Python worker's memory low. The setting counts when the result is run."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(fn, schema)
 

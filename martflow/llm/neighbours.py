@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from martflow.llm.common import read_table, stage
+from martflow.llm.common import read_table, ship_package, stage
 
 TOP = 20
 QUERY_EVERY = 20
@@ -211,6 +211,7 @@ def measure_reach(spark: SparkSession, classes: DataFrame, laid: DataFrame, dim:
 
 def search(spark: SparkSession, vectors: DataFrame, every: int = QUERY_EVERY, reach: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the TOP nearest found of every query."""
+    ship_package(spark)
     rows = valid_vectors(vectors)
     classes, queries = classes_of(spark, rows, every)
     stats = classes.agg(F.max(F.size("vec")), F.max(F.aggregate(

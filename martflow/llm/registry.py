@@ -14,6 +14,7 @@ from martflow.llm.licenses import op9_license_scan
 from martflow.llm.mixing import op8_mixing_weights
 from martflow.llm.neighbours import op10_nearest_neighbours
 from martflow.llm.quality import op3_quality_classifier
+from martflow.llm.substrings import op7_suffix_dedup
 from martflow.llm.tokens import op2_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_language_id": op6_language_id,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mixing_weights": op8_mixing_weights,
     "op9_license_scan": op9_license_scan,
     "op10_nearest_neighbours": op10_nearest_neighbours,
