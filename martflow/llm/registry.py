@@ -7,10 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from martflow.llm.decontaminate import op1_decontamination
 from martflow.llm.jaccard import op4_jaccard_join
 from martflow.llm.langid import op6_language_id
 from martflow.llm.licenses import op9_license_scan
+from martflow.llm.lmscore import op5_lm_scoring
 from martflow.llm.mixing import op8_mixing_weights
 from martflow.llm.neighbours import op10_nearest_neighbours
 from martflow.llm.quality import op3_quality_classifier
@@ -22,11 +24,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_output": op2_token_output,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_language_id": op6_language_id,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mixing_weights": op8_mixing_weights,
     "op9_license_scan": op9_license_scan,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
