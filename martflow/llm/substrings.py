@@ -11,12 +11,14 @@ anywhere else. Three Spark jobs:
 2. Fragments of anchors that have several different ones are cut from the
    texts and gathered by anchor into collections. Each collection's
    Burrows-Wheeler transform and its common prefixes are built column by
-   column: round j inserts the symbol before the j-byte suffix of every
-   fragment, found by last-to-first mapping, and the common prefixes at the
+   column: round j inserts the symbol before the suffix of j symbols of every
+   string, found by last-to-first mapping, and the common prefixes at the
    new places from range minima of the old. Both sequences are read from and
-   written to a sequential file each round, which leaves with the collection.
-   A fragment has fewer than 2 * LENGTH bytes, so there are as many rounds at most,
-   whatever the texts' lengths. Windows with a common prefix of LENGTH with a neighbour are duplicates.
+   written to a sequential file each round (on disk once it is large), which leaves with the collection.
+   A symbol is ``SYMBOL`` bytes; a fragment gives one string for each
+   alignment of its windows to the anchor, which equal windows share. A
+   fragment has fewer than 2 * LENGTH bytes, which bounds the rounds whatever the
+   texts' lengths. Windows whose common prefix with a neighbour is LENGTH bytes are duplicates.
 3. The duplicate windows of each text are joined to it and cut out.
 
 Texts are known by a 64-bit hash of doc_id and text, fragments by 64-bit
@@ -29,8 +31,6 @@ allowed; empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-import os
 import tempfile
 
 import numpy as np
@@ -43,8 +43,10 @@ from martflow.llm.common import ByteHash, map_arrow, mix64, ranges, read_table,
 LENGTH = 200
 ANCHOR = 50
 WINDOWS = LENGTH - ANCHOR + 1       # anchors to choose from, and most windows in a fragment
-COLLECTION_BYTES = 1 << 20
+SYMBOL = 8                          # bytes; divides LENGTH
+COLLECTION_BYTES = 60_000           # whole anchors up to this; few enough for 16-bit symbols
 CHUNK = 1 << 20
+SPOOL_BYTES = 64 << 20
 
 
 # ------------------------------------------------------------------ fragments
@@ -158,35 +160,60 @@ def _step(r, same_run, last, runs, held, end):
 
 
 # ------------------------------------------------------------------ collections
+class SequentialFile:
+    """A temporary file of numbers that is only read and written from its
+    beginning to its end. It reaches the disk beyond SPOOL_BYTES."""
+
+    def __enter__(self):
+        self.file = tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES)
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+    def write(self, values: np.ndarray) -> None:
+        self.kind = values.dtype
+        self.file.seek(0)
+        self.file.write(values.tobytes())
+
+    def read(self) -> np.ndarray:
+        self.file.seek(0)
+        return np.frombuffer(self.file.read(), self.kind)
+
+
 class Collection:
-    """BWT and common prefixes of a collection of byte strings, built column
-    by column through sequential files."""
+    """BWT and common prefixes (up to ``limit``) of a collection of strings of
+    symbols 1.., built column by column through sequential files."""
 
-    def __init__(self, raw: np.ndarray, offs: np.ndarray, limit: int = LENGTH):
+    def __init__(self, symbols: np.ndarray, offs: np.ndarray, limit: int):
         self.limit, self.m = limit, len(offs) - 1
         self.size = np.diff(offs)
-        with tempfile.TemporaryDirectory(prefix="bwt-") as folder:
-            self._build(raw, offs, os.path.join(folder, "bwt"), os.path.join(folder, "lcp"))
+        with SequentialFile() as bwt_file, SequentialFile() as lcp_file:
+            self._build(symbols, offs, bwt_file, lcp_file)
 
-    def _build(self, raw, offs, bwt_file: str, lcp_file: str) -> None:
+    def _build(self, symbols, offs, bwt_file: SequentialFile, lcp_file: SequentialFile) -> None:
         m, size = self.m, self.size
 
         def symbol(i, j):
             """Symbol before the j-suffix of strings i; 0 at their beginning."""
-            return np.where(size[i] > j, raw[np.maximum(offs[i + 1] - 1 - j, 0)] + np.uint8(1), np.uint8(0))
+            got = symbols[np.maximum(offs[i + 1] - 1 - j, 0)]
+            got[size[i] <= j] = 0
+            return got
 
         live = np.arange(m)
-        symbol(live, 0).astype(np.uint8).tofile(bwt_file)
-        np.zeros(m, np.uint8).tofile(lcp_file)
+        bwt_file.write(symbol(live, 0))
+        lcp_file.write(np.zeros(m, np.uint8))
         place = live.copy()
         for j in range(1, int(size.max(initial=0)) + 1):
-            bwt, lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
+            bwt, lcp = bwt_file.read(), lcp_file.read()
             keep = size[live] >= j
             live, place = live[keep], place[keep]
             order, rank = self._mapping(bwt)
             k = rank[place]                                       # among the symbols before a suffix
             # Common prefixes that change: of the new suffix and of its successor.
-            at = np.unique(np.concatenate((k, k[k + 1 < len(order)] + 1)))
+            fresh = np.zeros(m + len(order) + 1, bool)
+            fresh[m + k] = True
+            at = np.flatnonzero(fresh[m:-1] | fresh[m - 1:-2])
             prev = order[np.maximum(at - 1, 0)]
             same = (at > 0) & (bwt[prev] == bwt[order[at]])
             lo, hi = prev[same] + 1, order[at][same] + 1
@@ -198,17 +225,15 @@ class Collection:
                 inner = np.zeros(len(by), np.uint8)
                 inner[by] = np.minimum(got, self.limit - 1) + 1
                 least[same] = inner
-            grown = m + len(order)
-            fresh = np.zeros(grown, bool)
-            fresh[m + k] = True
-            bwt2, lcp2 = np.empty(grown, np.uint8), np.empty(grown, np.uint8)
+            fresh = fresh[:-1]
+            bwt2, lcp2 = np.empty(len(fresh), bwt.dtype), np.empty(len(fresh), np.uint8)
             bwt2[~fresh], lcp2[~fresh] = bwt, lcp
             bwt2[m + k] = symbol(live, j)
             lcp2[m + at] = least
             place = m + k
-            bwt2.tofile(bwt_file)
-            lcp2.tofile(lcp_file)
-        self.bwt, self.lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
+            bwt_file.write(bwt2)
+            lcp_file.write(lcp2)
+        self.bwt, self.lcp = bwt_file.read(), lcp_file.read()
 
     @staticmethod
     def _mapping(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +246,7 @@ class Collection:
         return order, rank
 
     def repeated(self) -> tuple[np.ndarray, np.ndarray]:
-        """(string, start) of every ``limit`` bytes that start elsewhere too,
+        """(string, start) of every ``limit`` symbols that start elsewhere too,
         by walking all strings backwards at once."""
         hit = self.lcp >= self.limit
         hit |= np.append(hit[1:], False)
@@ -240,40 +265,61 @@ class Collection:
         return np.concatenate(strings), np.concatenate(starts)
 
 
+def repeated_windows(raw: np.ndarray, offs: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fragment, start) of the windows that occur in another fragment, sorted."""
+    n = len(offs) - 1
+    owner = np.repeat(np.arange(n), np.diff(offs))
+    at = np.arange(max(len(raw) - ANCHOR + 1, 0))
+    hit = np.flatnonzero(ByteHash(raw).spans(at, at + ANCHOR).view(np.int64) == anchor[owner[at]])
+    place = hit[np.searchsorted(hit, offs[:-1])] - offs[:-1]      # of the anchor; all windows of a fragment share it
+    # One string for each fragment and alignment, of whole symbols.
+    frag = np.repeat(np.arange(n), SYMBOL)
+    first = (np.repeat(place, SYMBOL) - np.tile(np.arange(SYMBOL), n)) % SYMBOL
+    count = (np.diff(offs)[frag] - first) // SYMBOL
+    keep = count >= LENGTH // SYMBOL
+    frag, first, count = frag[keep], first[keep], count[keep]
+    begin = np.repeat(offs[frag] + first, count) + SYMBOL * ranges(np.zeros(len(count), np.int64), count)
+    value = raw[begin[:, None] + np.arange(SYMBOL)].view(np.uint64).ravel()
+    known, code = np.unique(value, return_inverse=True)
+    code = (code + 1).astype(np.uint16 if len(known) < 65535 else np.uint32)
+    string, start = Collection(code, np.concatenate(([0], np.cumsum(count))), LENGTH // SYMBOL).repeated()
+    frag, start = frag[string], first[string] + SYMBOL * start
+    order = np.lexsort((start, frag))
+    return frag[order], start[order]
+
+
 def _collections(batches):
     """Fragments sorted by anchor -> duplicate windows (key, start, w)."""
-    held, size = [], 0
 
     def solve(t: pa.Table):
         raw = t.column("bytes").combine_chunks().cast(pa.large_binary())
         offs = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
         data = np.frombuffer(raw.buffers()[2], np.uint8)[offs[0]:offs[-1]]
-        string, start = Collection(data, offs - offs[0]).repeated()
-        order = np.lexsort((start, string))
-        string, start = string[order], start[order]
-        new = np.flatnonzero(np.concatenate(([True], (string[1:] != string[:-1]) | (start[1:] != start[:-1] + 1)))) \
-            if len(string) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_pydict({
-            "key": t.column("key").combine_chunks().take(pa.array(string[new])),
-            "start": t.column("start").to_numpy()[string[new]] + start[new],
-            "w": np.diff(np.append(new, len(string)))})
-
+        offs = offs - offs[0]
+        a, key, begin = (t.column(x).to_numpy() for x in ("a", "key", "start"))
+        heads = np.append(np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))), len(a))
+        lo = 0
+        while lo < len(heads) - 1:                 # whole anchors, as many as fit
+            hi = max(lo + 1, int(np.searchsorted(offs[heads], offs[heads[lo]] + COLLECTION_BYTES, "right")) - 1)
+            x, y = heads[lo], heads[hi]
+            frag, start = repeated_windows(data[offs[x]:offs[y]], offs[x:y + 1] - offs[x], a[x:y])
+            lo = hi
+            if len(frag):
+                new = np.flatnonzero(np.concatenate(([True], (frag[1:] != frag[:-1]) | (start[1:] != start[:-1] + 1))))
+                yield pa.RecordBatch.from_pydict({"key": key[x + frag[new]], "start": begin[x + frag[new]] + start[new],
+                                                  "w": np.diff(np.append(new, len(frag)))})
+
+    held = None
     for b in batches:
         t = pa.Table.from_batches([b])
-        held.append(t)
-        size += t.column("bytes").nbytes
-        if size >= COLLECTION_BYTES:
-            t = pa.concat_tables(held).combine_chunks()
-            a = t.column("a").to_numpy()
-            cut = int(np.searchsorted(a, a[-1]))             # the last anchor may go on
-            if cut:
-                yield from solve(t.slice(0, cut))
-                t = t.slice(cut)
-                held, size = [t], t.column("bytes").nbytes
-            else:
-                held = [t]
-    if held and sum(t.num_rows for t in held):
-        yield from solve(pa.concat_tables(held).combine_chunks())
+        t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+        a = t.column("a").to_numpy()
+        cut = int(np.searchsorted(a, a[-1])) if len(a) else 0                  # the last anchor may go on
+        if cut:
+            yield from solve(t.slice(0, cut))
+        held = t.slice(cut)
+    if held is not None and held.num_rows:
+        yield from solve(held)
 
 
 # ------------------------------------------------------------------ jobs
