@@ -51,8 +51,9 @@ def main() -> None:
     # warm-up: JVM / codegen on a small query
     spark.read.parquet(f"{sf_dir}/region.parquet").write.format("noop").mode("overwrite").save()
 
-    run("silver_layer", lambda: (p.silver, None)[1])                  # adapter + 7 Silver writes
-    run("gold_layer", lambda: (p.gold, None)[1])                      # 5 Gold tables, written
+    run("bronze_layer", lambda: p.write_layer(p.bronze))                # adapter + 7 Bronze writes
+    run("silver_layer", lambda: p.write_layer(p.silver))                # 7 Silver writes
+    run("gold_layer", lambda: p.write_layer(p.gold))                    # 5 Gold tables, written
     run("churn_feature_dataset", lambda: (p.dataset, None)[1])        # features + labels, written
     run("asof_retrieval", lambda: _asof(p))
     run("model_frame", lambda: (p.model_frame, None)[1])

@@ -4,11 +4,12 @@ E11 ``asof_join``: for every entity row (key, ts) the latest feature row of
 the same key with ``feature_ts <= ts`` and not older than the TTL; left
 semantics (no match or expired -> NULL features).
 
-No pair expansion: entity rows and feature rows are unioned and swept in
-time order with ``last(..., ignorenulls)``. To keep one hot key from
-landing in a single task, the sweep runs per (key, time bucket); the last
-feature row of every earlier bucket is carried in through a small
-(key, bucket) table, so a key's work is spread over its buckets.
+No pair expansion: entity times and feature times of a key are unioned as
+narrow (key, time) rows and swept in time order with ``last(...,
+ignorenulls)``. The sweep runs per (key, day); the last feature time of every
+earlier day is carried in through a small (key, day) table, so a key's work is spread
+over its days whatever its share of the rows. The feature columns are
+fetched once, by (key, matched time), at the end.
 """
 
 from __future__ import annotations
@@ -16,66 +17,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_PAYLOAD = "_asof_payload"
-
 
 def asof_join(entities: DataFrame, features: DataFrame, key: str = "user_id",
               entity_ts: str = "event_timestamp", feature_ts: str = "event_timestamp",
-              ttl_days: int | None = 365, bucket: str = "month",
-              hot_rows: int | None = 2_000_000, hot_bucket: str = "hour") -> DataFrame:
-    """As-of join (see module doc).
-
-    ``hot_rows``: a (key, bucket) group with more rows than this is split
-    into ``hot_bucket`` sub-buckets (the carry-in handles any bucket
-    boundaries), so even one key holding a large share of a month's rows is
-    swept by many tasks. ``None`` disables the check (saves one aggregate).
-    """
+              ttl_days: int | None = 365) -> DataFrame:
+    """As-of join (see module doc). Several feature rows of one key at the same
+    instant count as their greatest (deterministic); an entity row sees feature rows
+    of its own instant; a null key or time matches nothing."""
     feat_cols = [c for c in features.columns if c not in (key, feature_ts)]
-    ent_cols = entities.columns
-    # Common row shape: key, ts, kind (0 = feature, 1 = entity), payloads.
-    f_rows = features.select(
-        F.col(key).alias("_k"), F.col(feature_ts).alias("_ts"), F.lit(0).alias("_kind"),
-        F.struct(F.col(feature_ts).alias("_fts"), *[F.col(c) for c in feat_cols]).alias(_PAYLOAD),
-        F.lit(None).cast(entities.select(F.struct(*ent_cols).alias("e")).schema["e"].dataType).alias("_ent"))
-    e_rows = entities.select(
-        F.col(key).alias("_k"), F.col(entity_ts).alias("_ts"), F.lit(1).alias("_kind"),
-        F.lit(None).cast(f_rows.schema[_PAYLOAD].dataType).alias(_PAYLOAD),
-        F.struct(*ent_cols).alias("_ent"))
-    rows = f_rows.unionByName(e_rows).withColumn("_b", F.date_trunc(bucket, "_ts"))
-    if hot_rows is not None:
-        hot = (rows.groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_n"))
-               .filter(F.col("_n") > hot_rows).select("_k", "_b", F.lit(True).alias("_hot")))
-        rows = (rows.join(hot, ["_k", "_b"], "left")
-                .withColumn("_b", F.when(F.col("_hot"), F.date_trunc(hot_bucket, "_ts"))
-                            .otherwise(F.col("_b")))
-                .drop("_hot"))
+    latest = (features.filter(F.col(key).isNotNull() & F.col(feature_ts).isNotNull())
+              .groupBy(F.col(key).alias("_fk"), F.col(feature_ts).alias("_fts"))
+              .agg(F.max(F.struct(*feat_cols)).alias("_row")))
+    f_rows = features.select(F.col(key).alias("_k"), F.col(feature_ts).alias("_ts"),
+                             F.col(feature_ts).alias("_f"), F.lit(False).alias("_e"))
+    e_rows = entities.select(F.col(key).alias("_k"), F.col(entity_ts).alias("_ts"),
+                             F.lit(None).cast(features.schema[feature_ts].dataType).alias("_f"),
+                             F.lit(True).alias("_e"))
+    rows = (f_rows.unionByName(e_rows).filter(F.col("_k").isNotNull() & F.col("_ts").isNotNull()).distinct()
+            .withColumn("_b", F.to_date("_ts")))
 
-    # 1) sweep inside each (key, bucket)
-    # ties: several feature rows of one key at the same instant resolve to
-    # the greatest payload (deterministic); entity rows sort after them.
-    w_local = (Window.partitionBy("_k", "_b").orderBy("_ts", "_kind", _PAYLOAD)
+    # 1) sweep inside each (key, day); at one instant feature rows come first
+    w_local = (Window.partitionBy("_k", "_b").orderBy("_ts", "_e")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    swept = rows.withColumn("_local", F.last(_PAYLOAD, ignorenulls=True).over(w_local))
-
-    # 2) carry-in: the last feature row of each (key, bucket) -> small table;
-    #    every bucket that holds rows gets the latest one from a strictly
-    #    earlier bucket of the same key.
-    last_per_bucket = (rows.filter(F.col("_kind") == 0).groupBy("_k", "_b")
-                       .agg(F.max_by(_PAYLOAD, F.struct("_ts", _PAYLOAD)).alias("_last")))
-    buckets = rows.select("_k", "_b").distinct()
-    w_prev = (Window.partitionBy("_k").orderBy("_b")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (buckets.join(last_per_bucket, ["_k", "_b"], "left")
-             .select("_k", "_b", F.last("_last", ignorenulls=True).over(w_prev).alias("_carry")))
+    swept = rows.withColumn("_local", F.last("_f", ignorenulls=True).over(w_local))
 
-    ent = (swept.filter(F.col("_kind") == 1)
-           .join(carry, ["_k", "_b"], "left")
-           .withColumn("_hit", F.coalesce(F.col("_local"), F.col("_carry"))))
+    # 2) carry-in: the last feature time of the days before, one row per (key, day)
+    w_prev = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (rows.groupBy(F.col("_k"), F.col("_b")).agg(F.max("_f").alias("_last"))
+             .select(F.col("_k").alias("_ck"), F.col("_b").alias("_cb"), F.max("_last").over(w_prev).alias("_carry")))
+    hit = (swept.filter("_e").join(carry, (F.col("_k") == F.col("_ck")) & (F.col("_b") == F.col("_cb")))
+           .select("_k", "_ts", F.coalesce("_local", "_carry").alias("_hit")))
     if ttl_days is not None:
-        fresh = F.col("_hit._fts") >= F.col("_ts") - F.make_dt_interval(days=F.lit(ttl_days))
-        ent = ent.withColumn("_hit", F.when(fresh, F.col("_hit")))
-    return ent.select(*[F.col(f"_ent.{c}").alias(c) for c in ent_cols],
-                      *[F.col(f"_hit.{c}").alias(c) for c in feat_cols])
+        hit = hit.filter(F.col("_hit") >= F.col("_ts") - F.make_dt_interval(days=F.lit(ttl_days)))
+    found = (hit.join(latest, (F.col("_k") == F.col("_fk")) & (F.col("_hit") == F.col("_fts")))
+             .select("_k", "_ts", *[F.col(f"_row.{c}").alias(f"_v_{c}") for c in feat_cols]))
+    on = (F.col(f"_ent.{key}") == F.col("_k")) & (F.col(f"_ent.{entity_ts}") == F.col("_ts"))
+    ent = entities.select(F.struct(*entities.columns).alias("_ent"))
+    return ent.join(found, on, "left").select(
+        *[F.col(f"_ent.{c}").alias(c) for c in entities.columns], *[F.col(f"_v_{c}").alias(c) for c in feat_cols])
 
 
 def materialize_latest(features: DataFrame, start: str, end: str, key: str = "user_id",

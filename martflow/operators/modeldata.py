@@ -57,27 +57,15 @@ def fit_encoders(df: DataFrame, categorical: list[str] = MODEL_CATEGORICAL) -> D
     return stacked.withColumn("index", (F.row_number().over(w) - 1).cast("int"))
 
 
-VOCAB_BROADCAST_MAX_ROWS = 1_000_000
-
-
 def apply_encoders(df: DataFrame, encoders: DataFrame,
-                   categorical: list[str] = MODEL_CATEGORICAL,
-                   broadcast_max_rows: int = VOCAB_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Replace each categorical by its index; unseen values -> -1.
-
-    One join per column against that column's vocabulary. Categorical keys
-    have few values, so a shuffle join would crowd each value into one
-    task: the vocabulary is broadcast after a size check (its row count, a
-    tiny job on the fitted encoder table); beyond the bound it falls back
-    to a shuffle join that AQE splits on skew."""
-    sizes = {r["column"]: r["n"] for r in
-             encoders.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+                   categorical: list[str] = MODEL_CATEGORICAL) -> DataFrame:
+    """Replace each categorical by its index; unseen values -> -1. One join
+    per column against that column's vocabulary; AQE picks the strategy from
+    its measured size and splits hot values of a shuffle join."""
     out = df
     for c in categorical:
         enc = encoders.filter(F.col("column") == c).select(
             F.col("value").alias(f"_v_{c}"), F.col("index").alias(f"_i_{c}"))
-        if sizes.get(c, 0) <= broadcast_max_rows:
-            enc = F.broadcast(enc)
         out = (out.join(enc, out[c].cast("string") == enc[f"_v_{c}"], "left")
                .withColumn(c, F.coalesce(F.col(f"_i_{c}"), F.lit(-1)))
                .drop(f"_v_{c}", f"_i_{c}"))
@@ -90,15 +78,27 @@ def split_bucket(key: str = "user_id", seed: int = 42) -> F.Column:
     return F.pmod(F.pmod(F.col(key), F.lit(1000003)) * 7919 + seed, F.lit(1000))
 
 
-def train_test_split(df: DataFrame, cfg: Config = DEFAULT, key: str = "user_id") -> DataFrame:
-    """Adds ``split`` = 'test' for ~test_fraction of keys, else 'train'.
+def train_test_split(df: DataFrame, cfg: Config = DEFAULT, key: str = "user_id",
+                     label: str = "churned") -> DataFrame:
+    """Adds ``split``: of every class the share ``test_fraction`` (to the row)
+    with the smallest hash of the key is 'test', the rest 'train'.
 
-    Order-free and reproducible (a hash of the key, not row order, T19);
-    applied per row, so every class keeps its share in expectation.
+    Order-free and reproducible (T19). The place of a row in its class is the
+    count of rows in smaller buckets plus its rank inside its (class, bucket), so
+    no class is sorted in one task.
     """
-    cut = int(round(cfg.test_fraction * 1000))
-    return df.withColumn("split", F.when(split_bucket(key, cfg.split_seed) < cut, "test")
-                         .otherwise("train"))
+    x = df.withColumn("_bk", split_bucket(key, cfg.split_seed))
+    sizes = x.groupBy(F.col(label).alias("_y"), F.col("_bk").alias("_ybk")).agg(F.count(F.lit(1)).alias("_n"))
+    per_class = Window.partitionBy("_y")
+    sizes = sizes.select(
+        "_y", "_ybk",
+        F.coalesce(F.sum("_n").over(per_class.orderBy("_ybk").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_before"),
+        F.floor(F.sum("_n").over(per_class) * F.lit(cfg.test_fraction) + F.lit(0.5)).alias("_n_test"))
+    inside = F.row_number().over(Window.partitionBy(label, "_bk").orderBy(F.pmod(F.col(key), F.lit(1000003)), key))
+    x = x.withColumn("_rk", inside).join(sizes, F.col(label).eqNullSafe(F.col("_y")) & (F.col("_bk") == F.col("_ybk")))
+    return (x.withColumn("split", F.when(F.col("_before") + F.col("_rk") <= F.col("_n_test"), "test").otherwise("train"))
+            .drop("_bk", "_y", "_ybk", "_before", "_n_test", "_rk"))
 
 
 # ----------------------------------------------------------------- F5
@@ -114,8 +114,8 @@ def with_weights(df: DataFrame, label: str = "churned", weight_col: str = "weigh
     """Binary labels: the weight is a column expression over scalar
     subqueries (no join on a two-valued key, which would put each class in
     one partition)."""
-    n = df.select(F.count(F.lit(1))).scalar()
-    n_pos = df.select(F.count(F.when(F.col(label) == 1, 1))).scalar()
+    both = df.select(F.struct(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(label) == 1, 1)).alias("p"))).scalar()
+    n, n_pos = both["n"], both["p"]
     w = F.when(F.col(label) == 1, n / (2 * n_pos)).otherwise(n / (2 * (n - n_pos)))
     return df.withColumn(weight_col, w)
 
@@ -131,10 +131,6 @@ def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score"
     needs all rows in one partition.
     """
     group = list(group or [])
-    if not group:                     # a constant key instead of a keyless join
-        scored, group, drop_key = scored.withColumn("_all", F.lit(1)), ["_all"], True
-    else:
-        drop_key = False
     y = F.col(label).cast("int")
     p_hat = F.col(pred).cast("int") if pred else (F.col(score) >= threshold).cast("int")
     eps = 1e-15
@@ -152,13 +148,13 @@ def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score"
     auc_num = rt.groupBy(*group).agg(
         F.sum((F.col("pos") * (2 * (F.col("cum_neg") - F.col("neg")) + F.col("neg")))
               .cast("decimal(38,0)")).alias("_auc2"))
-    m = conf.join(auc_num, group, "left")
+    m = conf.join(auc_num, group, "left") if group else conf.withColumn("_auc2", auc_num.scalar())
     P, N = F.col("positives"), F.col("n") - F.col("positives")
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0))
     rec = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(F.lit(0.0))
     return m.select(
-        *[g for g in group if not (drop_key and g == "_all")], "n", "positives",
+        *group, "n", "positives",
         F.when((P > 0) & (N > 0), F.col("_auc2").cast("double") / (2.0 * P * N)).alias("auc"),
         prec.alias("precision"), rec.alias("recall"),
         F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(F.lit(0.0)).alias("f1"),
@@ -166,11 +162,16 @@ def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score"
 
 
 # ----------------------------------------------------------------- F11
-def fixed_sample(df: DataFrame, n: int, key: str = "user_id", seed: int = 42) -> DataFrame:
+def sample_hash(key: str = "user_id") -> F.Column:
+    """Portable hash of a key that does not follow ``split_bucket``."""
+    return F.pmod(F.pmod(F.col(key), F.lit(1000003)) * 6007 + 17, F.lit(999983))
+
+
+def fixed_sample(df: DataFrame, n: int, key: str = "user_id") -> DataFrame:
     """Deterministic fixed-size sample: the n keys with the smallest hash
-    (top-k, planned as TakeOrderedAndProject: per-task top-n then merge)."""
-    return (df.withColumn("_h", split_bucket(key, seed) * 1000003 + F.pmod(F.col(key), F.lit(1000003)))
-            .orderBy("_h", key).limit(n).drop("_h"))
+    (top-k, planned as TakeOrderedAndProject: per-task top-n then merge). The hash is
+    independent of the train/test split, so a sample holds both in their shares."""
+    return df.withColumn("_h", sample_hash(key)).orderBy("_h", key).limit(n).drop("_h")
 
 
 # ----------------------------------------------------------------- surrogate scores

@@ -7,6 +7,8 @@ whole job under ANSI mode, and ``quality.cast_failures`` counts them.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DoubleType, IntegerType, LongType,
@@ -147,8 +149,12 @@ SILVER_BUILDERS = {
 }
 
 
-def silver_layer(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def build(name: str, raw: Mapping[str, DataFrame]) -> DataFrame:
+    """One Silver table from the raw (or bronze) tables."""
+    source, make = SILVER_BUILDERS[name]
+    return make(raw[source] if source in raw else raw[f"{source}_raw"])
+
+
+def silver_layer(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """All seven Silver tables from the raw (or bronze) tables."""
-    def src(name):
-        return raw.get(name, raw.get(f"{name}_raw"))
-    return {name: build(src(source)) for name, (source, build) in SILVER_BUILDERS.items()}
+    return {name: build(name, raw) for name in SILVER_BUILDERS}

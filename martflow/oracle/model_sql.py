@@ -22,7 +22,9 @@ def _fill(c: str) -> str:
     return f"coalesce({c}, 0) AS {c}"
 
 
-SPLIT = "CASE WHEN ((user_id % 1000003) * 7919 + 42) % 1000 < 200 THEN 'test' ELSE 'train' END"
+SPLIT = """CASE WHEN row_number() OVER (PARTITION BY churned
+    ORDER BY ((user_id % 1000003) * 7919 + 42) % 1000, user_id % 1000003, user_id)
+  <= floor(count(*) OVER (PARTITION BY churned) * 0.2 + 0.5) THEN 'test' ELSE 'train' END"""
 PROB = rnd("least(days_since_last_order, 400)", "400", 4)
 
 

@@ -94,7 +94,7 @@ cte("b_products", f"""
 SELECT p_partkey AS id, {COST} AS cost, p_type AS category, p_name AS name, p_brand AS brand,
        p_retailprice AS retail_price,
        CASE WHEN p_partkey % 2 = 0 THEN 'Men' ELSE 'Women' END AS department,
-       'SKU-' || CAST(p_partkey AS VARCHAR) AS sku, p_partkey % 10 AS distribution_center_id
+       'SKU-' || CAST(p_partkey AS VARCHAR) AS sku, p_partkey % (SELECT max(s_suppkey) + 1 FROM supplier) AS distribution_center_id
 FROM part""")
 
 cte("b_inventory_items", f"""
@@ -105,12 +105,12 @@ SELECT item_id AS id, l_partkey AS product_id, o_orderdate AS created_at,
        p_type AS product_category, p_name AS product_name, p_brand AS product_brand,
        p_retailprice AS product_retail_price,
        CASE WHEN l_partkey % 2 = 0 THEN 'Men' ELSE 'Women' END AS product_department,
-       'SKU-' || CAST(l_partkey AS VARCHAR) AS product_sku, l_partkey % 10 AS product_distribution_center_id
+       'SKU-' || CAST(l_partkey AS VARCHAR) AS product_sku, l_partkey % (SELECT max(s_suppkey) + 1 FROM supplier) AS product_distribution_center_id
 FROM lines""")
 
 cte("b_distribution_centers", """
 SELECT s_suppkey AS id, s_name AS name, CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude
-FROM supplier WHERE s_suppkey < 10""")
+FROM supplier""")
 
 cte("b_events", f"""
 SELECT event_id AS id, CASE WHEN user_id % 15 = 0 THEN NULL ELSE user_id END AS user_id,

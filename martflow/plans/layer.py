@@ -38,7 +38,7 @@ def run_layer(spark: SparkSession, builders: dict[str, Callable[[], DataFrame]],
 
 
 def export_layer(spark: SparkSession, lake: Lake, layer: str, names: list[str], out_dir: str,
-                 single_file: bool = True) -> dict[str, DataFrame]:
+                 single_file: bool = False) -> dict[str, DataFrame]:
     """A6 + A7 + A8: snapshot every table, write the manifest, verify counts."""
     report, src, back = [], {}, {}
     for name in names:

@@ -2,54 +2,79 @@
 
 ``Pipeline`` memoises DataFrame *objects* (not data): asking twice for a
 table returns the same logical plan, so one query that reads a table twice
-lets Catalyst reuse the exchange. Nothing here triggers a job.
+lets Catalyst reuse the exchange. When materialising, asking for a table writes
+it (and the tables it reads) the first time; nothing else runs a job here.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
+import threading
+from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+import martflow
 from martflow.config import DEFAULT, FIXTURE_SIGNAL_AS_OF, Config
 from martflow.operators import gold, silver
-from martflow.session import materialize
-from martflow.sources import fixtures
+from martflow.session import file_status, materialize
+from martflow.sources import bronze, fixtures
 
 
-CODE_VERSION = "2"
-
-
-def _input_key(sf_dir: str, cfg: Config) -> str:
-    """Stable id of (input files, config) for materialised tables."""
-    h = hashlib.sha1(CODE_VERSION.encode())
-    h.update(os.path.abspath(sf_dir).encode())
+def _input_key(spark: SparkSession, sf_dir: str, cfg: Config, run_id: str | None) -> str:
+    """Id of the tables that a pipeline writes: the run (by default this Spark
+    application, so nothing is taken from an earlier one), the input files as the
+    path's own file system lists them, the configuration and the package's code."""
+    h = hashlib.sha1((run_id or spark.sparkContext.applicationId).encode())
+    h.update(sf_dir.encode())
     for name in sorted(fixtures.DRIVER_TABLES):
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.exists(p):
-            st = os.stat(p)
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
+        h.update(repr((name, file_status(spark, f"{sf_dir}/{name}.parquet"))).encode())
     h.update(repr(cfg).encode())
+    for f in sorted(Path(martflow.__file__).parent.rglob("*.py")):
+        h.update(f.read_bytes())
     return h.hexdigest()[:16]
 
 
+class Tables(Mapping):
+    """Tables of a layer by name, each built (and written, when the pipeline
+    materialises) the first time it is asked for."""
+
+    def __init__(self, names, build):
+        self._names, self._build = list(names), build
+        self._made: dict[str, DataFrame] = {}
+        self._locks = {n: threading.Lock() for n in self._names}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        with self._locks[name]:
+            if name not in self._made:
+                self._made[name] = self._build(name)
+            return self._made[name]
+
+    def __iter__(self):
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+
 class Pipeline:
     """``materialize=True`` writes Silver and the feature dataset once as
     parquet under ``spark.checkpoint.dir`` (the medallion layers are tables)
     and builds everything downstream on those scans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT,
-                 silver_tables: dict[str, DataFrame] | None = None, materialize: bool = True):
+                 silver_tables: dict[str, DataFrame] | None = None, materialize: bool = True,
+                 run_id: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.cfg = cfg
         self._silver = silver_tables
         self.materialize = materialize
         self.parallel_writes = 4
-        self.key = _input_key(sf_dir, cfg) if materialize else ""
+        self.key = _input_key(spark, sf_dir, cfg, run_id) if materialize else ""
 
     def _table(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(self.spark, df, name, self.key) if self.materialize else df
@@ -62,32 +87,42 @@ class Pipeline:
 
     # ---------------------------------------------------------- layers
     @cached_property
-    def raw(self) -> dict[str, DataFrame]:
-        return fixtures.raw_tables(self.spark, self.sf_dir)
+    def bronze(self) -> "Tables":
+        """A3: the raw tables as ingested, with lineage columns."""
+        def build(name: str) -> DataFrame:
+            t = fixtures.DriverTables(self.spark, self.sf_dir)
+            shared = {"lines": self._lines} if name in ("order_items", "inventory_items") else {}
+            return bronze.to_bronze(fixtures.BRONZE_BUILDERS[name](t, **shared), name)
+        return Tables(fixtures.BRONZE_BUILDERS, lambda n: self._table(build(n), f"bronze_{n}"))
+
+    @cached_property
+    def _lines(self) -> DataFrame:
+        """Enriched order lines of the adapter, shared by two Bronze tables."""
+        t = fixtures.DriverTables(self.spark, self.sf_dir)
+        return self._table(fixtures.enriched_lines(t), "fixture_lines")
+
+    @cached_property
+    def raw(self) -> "Tables":
+        """Bronze without its lineage columns: what Silver reads."""
+        return Tables(fixtures.BRONZE_BUILDERS, lambda n: self.bronze[n].drop("_ingested_at", "_source_file"))
 
     @cached_property
-    def silver(self) -> dict[str, DataFrame]:
+    def silver(self) -> "Tables | dict[str, DataFrame]":
         if self._silver is not None:
             return self._silver
-        plans = silver.silver_layer(self.raw)
-        if not self.materialize:
-            return plans
-        # The seven tables are independent: write them as concurrent jobs so
-        # small tables do not leave the cluster idle behind big ones.
-        with ThreadPoolExecutor(max_workers=min(len(plans), self.parallel_writes)) as pool:
-            futs = {n: pool.submit(self._table, df, f"silver_{n}") for n, df in plans.items()}
-            return {n: f.result() for n, f in futs.items()}
+        return Tables(silver.SILVER_BUILDERS,
+                      lambda n: self._table(silver.build(n, self.raw), f"silver_{n}"))
 
     @cached_property
-    def gold(self) -> dict[str, DataFrame]:
-        """The five Gold tables; written once (concurrently) when
-        materialising, so analytics read the Gold layer like snapshots."""
-        plans = gold.gold_layer(self.silver, self.cfg)
-        if not self.materialize:
-            return plans
-        with ThreadPoolExecutor(max_workers=min(len(plans), self.parallel_writes)) as pool:
-            futs = {n: pool.submit(self._table, df, f"gold_{n}") for n, df in plans.items()}
-            return {n: f.result() for n, f in futs.items()}
+    def gold(self) -> "Tables":
+        """The five Gold tables; analytics read them like snapshots."""
+        return Tables(gold.GOLD_BUILDERS,
+                      lambda n: self._table(gold.GOLD_BUILDERS[n](self.silver, self.cfg), f"gold_{n}"))
+
+    def write_layer(self, tables: "Tables") -> None:
+        """Write every table of a layer, independent ones as concurrent jobs."""
+        with ThreadPoolExecutor(max_workers=self.parallel_writes) as pool:
+            list(pool.map(tables.__getitem__, list(tables)))
 
     def s(self, name: str) -> DataFrame:
         return self.silver[name]

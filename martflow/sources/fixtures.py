@@ -46,6 +46,11 @@ def _retail_cents(price):
     return F.round(price * 100).cast("long")
 
 
+def _centers(t: DriverTables):
+    """Number of centres: every supplier is one (keys count from 0)."""
+    return t.supplier.select(F.max("s_suppkey") + 1).scalar()
+
+
 def product_cost_cents(partkey, retail_cents):
     """Cost = retail x (0.40, 0.50, 0.60, 0.70, 0.80 by partkey % 5), half-up to the cent."""
     pct = F.lit(40) + (partkey % 5) * 10
@@ -111,7 +116,7 @@ def bronze_orders(t: DriverTables) -> DataFrame:
     )
 
 
-def _enriched_lines(t: DriverTables) -> DataFrame:
+def enriched_lines(t: DriverTables) -> DataFrame:
     """lineitem numbered per order and joined to its order and part."""
     li = t.lineitem
     order_cols = ["l_linenumber", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity",
@@ -124,8 +129,8 @@ def _enriched_lines(t: DriverTables) -> DataFrame:
               .join(part, F.col("l_partkey") == F.col("p_partkey")))
 
 
-def bronze_order_items(t: DriverTables) -> DataFrame:
-    e = _enriched_lines(t)
+def bronze_order_items(t: DriverTables, lines: DataFrame | None = None) -> DataFrame:
+    e = enriched_lines(t) if lines is None else lines
     ost = F.col("order_status")
     created = add_days(F.col("o_orderdate"), F.col("l_orderkey") % 5)
     status = (F.when(ost == "Cancelled", "Cancelled")
@@ -165,12 +170,12 @@ def bronze_products(t: DriverTables) -> DataFrame:
         F.col("p_retailprice").alias("retail_price"),
         F.when(k % 2 == 0, "Men").otherwise("Women").alias("department"),
         F.concat(F.lit("SKU-"), k.cast("string")).alias("sku"),
-        (k % 10).alias("distribution_center_id"),
+        (k % _centers(t)).alias("distribution_center_id"),
     )
 
 
-def bronze_inventory_items(t: DriverTables) -> DataFrame:
-    e = _enriched_lines(t)
+def bronze_inventory_items(t: DriverTables, lines: DataFrame | None = None) -> DataFrame:
+    e = enriched_lines(t) if lines is None else lines
     k = F.col("l_partkey")
     cost_c = product_cost_cents(k, _retail_cents(F.col("p_retailprice")))
     sold = F.when((F.col("l_orderkey") + k) % 20 == 0, _null("timestamp_ntz")).otherwise(
@@ -187,14 +192,13 @@ def bronze_inventory_items(t: DriverTables) -> DataFrame:
         F.col("p_retailprice").alias("product_retail_price"),
         F.when(k % 2 == 0, "Men").otherwise("Women").alias("product_department"),
         F.concat(F.lit("SKU-"), k.cast("string")).alias("product_sku"),
-        (k % 10).alias("product_distribution_center_id"),
+        (k % _centers(t)).alias("product_distribution_center_id"),
     )
 
 
 def bronze_distribution_centers(t: DriverTables) -> DataFrame:
-    return (t.supplier.filter(F.col("s_suppkey") < 10)
-            .select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
-                    _null("double").alias("latitude"), _null("double").alias("longitude")))
+    return (t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
+                              _null("double").alias("latitude"), _null("double").alias("longitude")))
 
 
 def _event_type():
@@ -237,7 +241,10 @@ BRONZE_BUILDERS = {
 }
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The seven raw retail tables derived (lazily) from the driver tables."""
+def raw_tables(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The seven raw retail tables derived (lazily) from the driver tables.
+    ``lines`` are written enriched lines, shared by the two tables that need them."""
     t = DriverTables(spark, sf_dir)
-    return {name: build(t) for name, build in BRONZE_BUILDERS.items()}
+    shared = {} if lines is None else {"lines": lines}
+    return {name: build(t, **(shared if name in ("order_items", "inventory_items") else {}))
+            for name, build in BRONZE_BUILDERS.items()}

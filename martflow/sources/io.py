@@ -65,9 +65,9 @@ class Lake:
         return p
 
 
-def export_snapshot(df: DataFrame, path: str, single_file: bool = True) -> str:
-    """Snapshot export. ``coalesce(1)`` is only for small Gold tables; large
-    outputs keep their partitioning."""
+def export_snapshot(df: DataFrame, path: str, single_file: bool = False) -> str:
+    """Snapshot export. Outputs keep their partitioning; ``single_file`` is
+    for tables known to be small."""
     out = df.coalesce(1) if single_file else df
     out.write.mode("overwrite").parquet(path)
     return path
