@@ -10,7 +10,7 @@ so the same query gives the same bits on 8 cores or 8,000.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Col = Column | str
@@ -69,3 +69,13 @@ def month_start(ts: Col) -> Column:
 def ntz(literal: str) -> Column:
     """A timestamp_ntz literal from 'YYYY-MM-DD[ HH:MM:SS]'."""
     return F.to_timestamp_ntz(F.lit(literal))
+
+
+def side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row tables as one row: the columns of the others as scalar
+    subqueries of the first (no join)."""
+    out = first
+    for other in others:
+        row = other.select(F.struct(*other.columns).alias("_row")).scalar()
+        out = out.select("*", *[row[name].alias(name) for name in other.columns])
+    return out

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martflow.config import DEFAULT, Config
+from martflow.functions.exprs import side_by_side
 from martflow.functions.windows import running_totals
 
 # Distance-type method names (drift when value > threshold),
@@ -153,10 +154,8 @@ def model_quality(metrics: DataFrame, cfg: Config = DEFAULT, side: str = "side")
 def monitoring_summary(drift_tbl: DataFrame, pred_drift: DataFrame, quality: DataFrame,
                        ts: Column | None = None) -> DataFrame:
     """The one-row monitoring summary with its recommendation (the
-    three inputs are one-row aggregates, joined on a constant key)."""
-    one = F.lit(1).alias("_one")
-    ov = drift_overview(drift_tbl).select("*", one)
-    s = (ov.join(pred_drift.select("*", one), "_one").join(quality.select("*", one), "_one")
+    three inputs are one-row aggregates)."""
+    s = (side_by_side(drift_overview(drift_tbl), pred_drift, quality)
          .select((ts if ts is not None else F.current_timestamp()).alias("timestamp"),
                  (F.col("features_drifted") > 0).alias("data_drift_detected"),
                  "features_drifted", "features_tested",

@@ -9,6 +9,7 @@ are computed from integer units so the rounding is exact.
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -266,6 +267,6 @@ def run_sql(spark: SparkSession, query: str, cap: int = 10) -> dict:
         msg = f"(Showing top {cap} of {total} rows)" if total > cap else ""
         return {"message": msg, "rows": [r.asDict() for r in rows], "total": total,
                 "columns": df.columns}
-    except Exception:  # noqa: BLE001 - the contract is a message, not a raise
+    except PySparkException:          # the contract is a message, not a raise
         return {"message": "Query could not be executed. Please try a simpler query.",
                 "rows": [], "total": 0}

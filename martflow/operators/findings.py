@@ -89,7 +89,7 @@ def priority(severity: Column, conf: Column) -> Column:
 
 
 def _pct1(x: Column) -> Column:
-    return F.concat(F.format_number(x * 100, 1), F.lit("%"))
+    return F.concat(F.regexp_replace(F.format_number(x * 100, 1), ",", ""), F.lit("%"))
 
 
 def _signed_pct1(x: Column) -> Column:

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from martflow.functions.exprs import side_by_side
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -214,8 +216,7 @@ def fk_orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key:
         c = c.filter(F.col("_ck").isNotNull())
     orphans = c.join(keys, c["_ck"] == keys["_pk"], "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
     total = child.agg(F.count(F.lit(1)).alias("child_rows"))
-    one = F.lit(1)
-    return (total.withColumn("_j", one).join(orphans.withColumn("_j", one), "_j")
+    return (side_by_side(total, orphans)
             .select(F.lit(relation).alias("relation"), "child_rows", "orphans",
                     F.round(F.col("orphans") * 100 / F.greatest(F.col("child_rows"), F.lit(1)), 2)
                     .alias("orphan_pct"),
@@ -272,8 +273,7 @@ def lifecycle_checks(items: DataFrame, inventory: DataFrame) -> DataFrame:
         F.count(F.when(F.col("returned_at") < F.col("delivered_at"), 1)).alias("returned_before_delivered"))
     v = inventory.agg(F.count(F.when(F.col("sold_at") < F.col("created_at"), 1)).alias("sold_before_created"),
                       F.count(F.when(F.col("sold_at").isNull(), 1)).alias("unsold_units"))
-    one = F.lit(1)
-    j = i.withColumn("_j", one).join(v.withColumn("_j", one), "_j")
+    j = side_by_side(i, v)
     return _stack(j, [(k, F.col(k)) for k in ("shipped_before_created", "delivered_before_shipped",
                                               "returned_before_delivered", "sold_before_created",
                                               "unsold_units")])
@@ -363,8 +363,7 @@ def silver_spot_checks(s: dict[str, DataFrame]) -> DataFrame:
     p = s["products_clean"].agg(F.count(F.when(F.col("brand") == "Unknown", 1)).alias("v7"))
     has_prod_cols = int(any(x.startswith("product_") and x != "product_id" for x in s["inventory_clean"].columns))
     has_ip = int("ip_address" in s["events_clean"].columns)
-    one = F.lit(1)
-    j = reduce(lambda a, b: a.join(b, "_j"), [d.withColumn("_j", one) for d in (c, o, i, p)])
+    j = side_by_side(c, o, i, p)
     out = _stack(j, [("string 'null' city values", F.col("v1")), ("'Brasil' country values", F.col("v2")),
                      ("shipped orders without days_to_ship", F.col("v3")),
                      ("is_returned differs from status", F.col("v4")),
@@ -393,8 +392,7 @@ def gold_spot_checks(g: dict[str, DataFrame]) -> DataFrame:
                 / (F.count("on_time_rate") * 10000), 4).alias("avg_on_time_rate"))
     a = g["funnel_analytics"].agg(F.count_distinct("user_id").alias("funnel_users"),
                                   F.count("sessions_mom_change").alias("rows_with_mom_change"))
-    one = F.lit(1)
-    j = reduce(lambda x, y: x.join(y, "_j"), [d.withColumn("_j", one) for d in (c, p, i, f, a)])
+    j = side_by_side(c, p, i, f, a)
     names = ["customers_with_orders", "customers_without_orders", "avg_lifetime_spend", "max_lifetime_spend",
              "with_favorite_category", "never_sold_products", "dead_stock_products", "reorder_signals",
              "distribution_centers", "months", "avg_on_time_rate", "funnel_users", "rows_with_mom_change"]
@@ -433,8 +431,7 @@ def feature_validation(fb) -> DataFrame:
         rule_report(prod, "product", FEATURE_RULES["product"])])
     n_txn = txn.agg(F.count(F.lit(1)).alias("n"))
     n_elig = fb.eligible().agg(F.count(F.lit(1)).alias("m"))
-    one = F.lit(1)
-    cnt = (n_txn.withColumn("_j", one).join(n_elig.withColumn("_j", one), "_j")
+    cnt = (side_by_side(n_txn, n_elig)
            .select(F.lit("transactional").alias("table"), F.lit("row count = eligible").alias("check"),
                    F.abs(F.col("n") - F.col("m")).alias("violations"), F.col("m").alias("total"),
                    (F.col("n") == F.col("m")).alias("passed")))
@@ -450,8 +447,7 @@ def dataset_validation(ds: DataFrame, eligible: DataFrame) -> DataFrame:
     m = eligible.agg(F.count(F.lit(1)).alias("m"))
     meta = int(all(c in ds.columns for c in ("feature_cutoff_date", "prediction_window_days",
                                               "feature_version", "pipeline_run_timestamp")))
-    one = F.lit(1)
-    j = agg.withColumn("_j", one).join(m.withColumn("_j", one), "_j")
+    j = side_by_side(agg, m)
     rate = F.col("c") / F.col("n")
     extra = j.select(F.explode(F.array(
         F.struct(F.lit("row count = eligible").alias("check"), F.abs(F.col("n") - F.col("m")).alias("violations"),

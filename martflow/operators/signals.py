@@ -44,7 +44,8 @@ def periods_table(fulfillment: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 # ----------------------------------------------------------------- H2
 def _pct1(x: Column) -> Column:
     """Python's '{:+.1%}' style: sign, one decimal, percent sign."""
-    return F.concat(F.when(x >= 0, "+").otherwise(""), F.format_number(x * 100, 1), F.lit("%"))
+    return F.concat(F.when(x >= 0, "+").otherwise(""),
+                    F.regexp_replace(F.format_number(x * 100, 1), ",", ""), F.lit("%"))
 
 
 def classify(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -169,8 +170,11 @@ def signal_status(severity: Column, direction: Column) -> Column:
              .when(severity == "warning", "Watch").otherwise("Stable"))
 
 
-def scoreboard_status(signals: DataFrame, monitoring: DataFrame, ops_on_time_floor: float = 0.95) -> DataFrame:
-    """(item, status) for every KPI plus the operations and model rows.
+def scoreboard_status(signals: DataFrame, monitoring: DataFrame, findings: DataFrame,
+                      ops_on_time_floor: float = 0.95) -> DataFrame:
+    """(item, status) for every KPI plus the business, operations and model rows.
+
+    Business: At Risk with a critical P1 finding, else Healthy.
 
     Operations: Degrading when delivery days is critical / warning, Stable
     when the on-time rate is >= 0.95, else Watch. Model: Degraded when both
@@ -188,7 +192,10 @@ def scoreboard_status(signals: DataFrame, monitoring: DataFrame, ops_on_time_flo
     model = monitoring.select(F.lit("Model").alias("item"),
                               F.when(pd_ & md, "Degraded").when(pd_ | md, "Attention Required")
                                .otherwise("Healthy").alias("status"))
-    return kpis.unionByName(ops).unionByName(model)
+    at_risk = (F.col("severity") == "critical") & (F.col("priority") == "P1")
+    business = findings.agg(F.count(F.when(at_risk, 1)).alias("_n")).select(
+        F.lit("Business").alias("item"), F.when(F.col("_n") > 0, "At Risk").otherwise("Healthy").alias("status"))
+    return kpis.unionByName(business).unionByName(ops).unionByName(model)
 
 
 def evidence_strength(confidence: Column) -> Column:

@@ -114,7 +114,7 @@ def _d20(p):
 # ====================================================================== Features
 from martflow.oracle.features_sql import FEATURE_COLS  # noqa: E402
 from martflow.operators import asof, features  # noqa: E402
-from martflow.functions.exprs import add_days, ntz  # noqa: E402
+from martflow.functions.exprs import add_days, ntz, side_by_side  # noqa: E402
 
 SNAPSHOT_CUTOFFS = ["2001-02-01", "2001-03-01", "2001-05-03"]
 
@@ -402,6 +402,10 @@ SELECT metric AS item,
             WHEN severity = 'warning' THEN 'Watch' ELSE 'Stable' END AS status
 FROM kpi_signals
 UNION ALL
+SELECT 'Business', CASE WHEN count(CASE WHEN severity = 'critical' AND priority = 'P1' THEN 1 END) > 0
+                        THEN 'At Risk' ELSE 'Healthy' END
+FROM findings
+UNION ALL
 SELECT 'Operations',
        CASE WHEN max(CASE WHEN metric = 'Avg Delivery Days' AND severity IN ('critical', 'warning') THEN 1 END) = 1
             THEN 'Degrading'
@@ -414,7 +418,7 @@ SELECT 'Model', CASE WHEN prediction_drift_detected AND model_degraded THEN 'Deg
                      ELSE 'Healthy' END
 FROM monitoring_summary""")
 def _h16(p):
-    return sg.scoreboard_status(p.signals, p.monitoring["summary"])
+    return sg.scoreboard_status(p.signals, p.monitoring["summary"], _findings(p))
 
 
 @register("evidence_strength", """
@@ -807,9 +811,8 @@ def _c10b(p):
     parts = []
     for t, rules in q.CONSTRAINTS.items():
         acc, qua = q.enforce(p.s(t), rules)
-        a = acc.agg(F.count(F.lit(1)).alias("accepted")).withColumn("_j", F.lit(1))
-        b = qua.agg(F.count(F.lit(1)).alias("quarantined")).withColumn("_j", F.lit(1))
-        parts.append(a.join(b, "_j").select(F.lit(t).alias("table"), "accepted", "quarantined"))
+        a, b = acc.agg(F.count(F.lit(1)).alias("accepted")), qua.agg(F.count(F.lit(1)).alias("quarantined"))
+        parts.append(side_by_side(a, b).select(F.lit(t).alias("table"), "accepted", "quarantined"))
     return _r(lambda x, y: x.unionByName(y), parts)
 
 

@@ -126,12 +126,16 @@ def extract(spark: SparkSession, reader_format: str, options: dict, tables: list
     return table_counts(written, "rows")
 
 
-def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> list[str]:
-    """A10: register DataFrames as temp views (missing inputs fail early)."""
-    for name, df in tables.items():
-        if df is None:
-            raise FileNotFoundError(f"table {name} is missing")
-        df.createOrReplaceTempView(name)
+def register_views(spark: SparkSession, tables: dict[str, DataFrame | str]) -> list[str]:
+    """A10: register DataFrames or snapshot paths as temp views. Missing
+    inputs (None, or a path without files) fail before any view is made."""
+    from martflow.session import path_exists
+    missing = sorted(n for n, t in tables.items()
+                     if t is None or isinstance(t, str) and not path_exists(spark, t))
+    if missing:
+        raise FileNotFoundError(f"missing tables: {missing}")
+    for name, t in tables.items():
+        (spark.read.parquet(t) if isinstance(t, str) else t).createOrReplaceTempView(name)
     return sorted(tables)
 
 
