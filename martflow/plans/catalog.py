@@ -367,9 +367,29 @@ def _h11(p):
     return p.signals.drop("context")
 
 
-@register("signal_contexts")
+@register("signal_periods_newest", """
+SELECT max(order_month) AS current_period,
+       (SELECT max(order_month) FROM fulfillment_metrics
+        WHERE order_month < (SELECT max(order_month) FROM fulfillment_metrics)) AS prior_period
+FROM fulfillment_metrics""")
+def _h1_newest(p):
+    """H1 by its default rule: the newest two months."""
+    return sg.periods_table(p.g("fulfillment_metrics"), p.cfg.with_(signal_as_of=None))
+
+
+@register("signal_contexts", """
+SELECT metric, CASE
+  WHEN metric = 'Dead Stock Rate' THEN 'Dead stock rate: ' || format('{:.1f}', current_value * 100) || '% across '
+       || format('{:,}', (SELECT count(*) FROM inventory_health)) || ' products'
+  WHEN metric = 'Churn Risk (Inference Batch)' THEN 'Churn risk: ' || CAST(CAST(current_value AS BIGINT) AS VARCHAR)
+       || ' of ' || CAST(CAST(prior_value AS BIGINT) AS VARCHAR) || ' customers high-risk (prob > 0.7), avg prob '
+       || format('{:.3f}', (SELECT avg(churn_probability) FROM preds))
+  ELSE metric || ': ' || format('{:,.2f}', current_value) || ' (was ' || format('{:,.2f}', prior_value) || '), '
+       || CASE WHEN delta_pct >= 0 THEN '+' ELSE '' END || format('{:.1f}', delta_pct * 100) || '% ' || direction
+  END AS context
+FROM kpi_signals""")
 def _h2_text(p):
-    """H2 context strings (formatted text: rows-only check)."""
+    """H2 context strings."""
     return p.signals.select("metric", "context")
 
 
