@@ -18,6 +18,22 @@ def test_every_oracle_has_a_query():
         assert text.strip().upper().startswith(("WITH", "SELECT")), name
 
 
-def test_no_query_name_uses_reserved_prefix():
-    for name in E.queries():
+def test_no_retail_query_name_uses_reserved_prefix():
+    from martflow.plans import registry
+    for name in registry.queries():
         assert not name.startswith("op") and name != "pipeline"
+
+
+def test_entry_works_without_the_training_data_operators():
+    """As where their folders are deleted: everything else imports and registers."""
+    import subprocess
+    import sys
+    code = ("import sys, importlib.abc\n"
+            "class Gone(importlib.abc.MetaPathFinder):\n"
+            "    def find_spec(self, name, path, target=None):\n"
+            "        if name.startswith('martflow.llm') or name == 'corpus_pipeline':\n"
+            "            raise ModuleNotFoundError(name=name)\n"
+            "sys.meta_path.insert(0, Gone())\n"
+            "import __spark_entry__ as E\n"
+            "assert E.llm is None and len(E.queries()) > 100 and not any(q.startswith('op') for q in E.queries())\n")
+    subprocess.run([sys.executable, "-c", code], check=True)
