@@ -7,17 +7,21 @@ classes link when 100 * |intersection| >= 75 * |union|. The join is exact:
    occurs in the corpus and then by hash, so shingles of passages that many
    documents share stand last. Classes that link share a shingle among the first
    n - ceil(0.75 n) + 1 of each.
-2. Stars. Of the classes met at its prefix shingles each class is
-   tried with the one it met most often. Links found so far give
-   components; a run of classes at one shingle that is inside one component
-   needs no further pair.
-3. Size-banded tiles. Classes of the other runs are dealt to tiles by
-   (shingle, size band); linked sizes differ by at most 4/3, so only
-   neighbouring bands meet, and a band with more than ``TILE`` classes is split
-   into blocks that meet pairwise. Every class carries a hashed bitmap
-   signature of a width that fits its band; bits set on one side only bound
-   the overlap from above. Pairs that pass the bound and lie in different components
-   are compared exactly as sorted arrays.
+2. Stars. Each class is tried with a hub that it met at its prefix shingles.
+   Links found so far give components; a run of classes at one shingle
+   that is inside one component needs no further pair.
+3. Runs with several components. A component with ``LARGE`` classes or more in
+   a run is tiled as a whole against the classes that met it: blocks of about
+   ``TILE`` members by blocks of those classes. Among the rest of a run, up to
+   ``SHORT_RUN`` classes, pairs of different components are counted, summed over all runs, and
+   kept if they share enough of their prefixes for a link. Longer rests
+   are dealt to size-banded tiles by (shingle, size band); linked sizes differ by at
+   most 4/3, so only neighbouring bands meet, and a band with more than
+   ``TILE`` classes is split into blocks that meet pairwise.
+4. Every class has a hashed bitmap signature of a width that fits its size;
+   bits set on one side only bound the overlap from above. Pairs that pass the bound
+   are compared exactly as sorted arrays: first each class with the likeliest of every
+   other component, then all pairs whose components are still apart.
 
 So components are those of all links, without listing the pairs inside
 groups of copies. Set arrays are made again from the texts for the classes that need
@@ -46,10 +50,13 @@ from martflow.llm.components import components
 SHINGLE = 5
 PERCENT = 75
 TILE = 512
+STARS = 2                 # rounds of stars
+LARGE = 32                # least classes of a component in a run that are tiled as a component
+SHORT_RUN = 64            # most classes of a run whose pairs are counted, not tiled
 SKETCH_BITS = 20          # buckets of the corpus-wide shingle counts
 SKETCH_PART = 4096        # counts in one row
 BLOOM_BITS = 24
-LEAST_WIDTH, MOST_WIDTH = 64, 8192
+LEAST_WIDTH, MOST_WIDTH = 64, 32768
 HASH_BITS = 54
 _LOW = np.uint64((1 << HASH_BITS) - 1)
 
@@ -101,8 +108,9 @@ class Sets:
 
 
 def widths(n: np.ndarray) -> np.ndarray:
-    """Bits of the signature of a set of n shingles: a power of two, at least 2 n."""
-    need = 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64)
+    """Bits of the signature of a set of n shingles: a power of two, at least 8 n
+    (up to MOST_WIDTH), so that few shingles share a bit and the bound is close."""
+    need = 1 << np.ceil(np.log2(np.maximum(8 * n, 1))).astype(np.int64)
     return np.clip(need, LEAST_WIDTH, MOST_WIDTH)
 
 
@@ -136,46 +144,46 @@ def _folded(bits: list[bytes], rows: np.ndarray, width: int) -> np.ndarray:
 
 # ------------------------------------------------------------------ text passes
 def _summary(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, th, n, cid) per document, and the popularity level of each
-    hash bucket over all shingles of the corpus."""
+    """(doc_id, th, n, cid, bits) per document, and the popularity level of
+    each hash bucket over all shingles of the corpus."""
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        empty = [pa.nulls(0, pa.int64())] * 4
+        names = ["doc_id", "th", "n", "cid", "bits", "part"]
         for b in batches:
             for lo, hi, buf, offs in text_chunks(b.column("text")):
                 s = Sets(buf, offs)
                 counts += np.bincount((s.value & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(lo, hi - lo), b.column("th").slice(lo, hi - lo), pa.array(s.n),
-                     pa.array(s.cid), pa.nulls(hi - lo, pa.int64()), pa.nulls(hi - lo, pa.binary())],
-                    names=["doc_id", "th", "n", "cid", "part", "counts"])
+                     pa.array(s.cid), pa.array(s.bitmaps(), pa.binary()), pa.nulls(hi - lo, pa.int64())],
+                    names=names)
         parts = counts.astype("<u4").reshape(-1, SKETCH_PART)
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [*[pa.nulls(len(some), pa.int64())] * 4, pa.array(some), pa.array([parts[k].tobytes() for k in some], pa.binary())],
-            names=["doc_id", "th", "n", "cid", "part", "counts"])
+            [*[pa.nulls(len(some), pa.int64())] * 4, pa.array([parts[k].tobytes() for k in some], pa.binary()),
+             pa.array(some)], names=names)
 
     rows = stage(spark, map_arrow(spark, docs, run,
-                                  "doc_id long, th long, n long, cid long, part long, counts binary"), "jaccard-docs")
+                                  "doc_id long, th long, n long, cid long, bits binary, part long"), "jaccard-docs")
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, c in zip(b.column("part").to_pylist(), b.column("counts").to_pylist()):
+            for k, c in zip(b.column("part").to_pylist(), b.column("bits").to_pylist()):
                 held[k] = held.get(k, 0) + np.frombuffer(c, "<u4").astype(np.int64)
         if held:
-            yield pa.RecordBatch.from_pydict({"part": list(held), "counts": [v.tobytes() for v in held.values()]})
+            yield pa.RecordBatch.from_pydict({"part": list(held), "bits": [v.tobytes() for v in held.values()]})
 
-    summed = map_arrow(spark, rows.where("part is not null").select("part", "counts").repartition("part"), add,
-                       "part long, counts binary")
+    summed = map_arrow(spark, rows.where("part is not null").select("part", "bits").repartition("part"), add,
+                       "part long, bits binary")
     # A fixed number of counts, whatever the corpus: 2**SKETCH_BITS.
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_PART * SKETCH_PART, np.int64).reshape(-1, SKETCH_PART)
     for k, c in summed.collect():
         total[k] = np.frombuffer(c, np.int64)
     total = total.ravel()
     level = np.floor(np.log2(np.maximum(total / max(total.mean(), 1e-9), 1)))
-    return rows.where("part is null").select("doc_id", "th", "n", "cid"), np.minimum(level, 15).astype(np.uint8)
+    return rows.where("part is null").drop("part"), np.minimum(level, 15).astype(np.uint8)
 
 
 def _first_of_each(cid: np.ndarray, ok: np.ndarray) -> np.ndarray:
@@ -185,8 +193,8 @@ def _first_of_each(cid: np.ndarray, ok: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first & ok) if ok.all() else np.flatnonzero(ok)[np.unique(cid[ok], return_index=True)[1]]
 
 
-def _signatures(spark: SparkSession, docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """(cid, n, bits, prefix) of each class."""
+def _prefixes(spark: SparkSession, docs: DataFrame, level: np.ndarray) -> DataFrame:
+    """(h, n, cid): prefix shingles of each class (once or more)."""
     shared = spark.sparkContext.broadcast(level)           # 2**SKETCH_BITS bytes, always
 
     def run(batches):
@@ -194,21 +202,19 @@ def _signatures(spark: SparkSession, docs: DataFrame, level: np.ndarray) -> Data
             for _, _, buf, offs in text_chunks(b.column("text")):
                 s = Sets(buf, offs)
                 prefix, count = s.prefixes(shared.value)
-                bits = s.bitmaps()
                 keep = _first_of_each(s.cid, s.n > 0)
                 at = np.cumsum(count) - count
-                lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(count[keep]))).astype(np.int32),
-                                                 pa.array(prefix[ranges(at[keep], count[keep])]))
+                size = count[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.cid[keep]), pa.array(s.n[keep]), pa.array([bits[k] for k in keep], pa.binary()), lists],
-                    names=["cid", "n", "bits", "prefix"])
+                    [pa.array(prefix[ranges(at[keep], size)]), pa.array(np.repeat(s.n[keep], size)),
+                     pa.array(np.repeat(s.cid[keep], size))], names=["h", "n", "cid"])
 
-    rows = map_arrow(spark, docs.select("text"), run, "cid long, n long, bits binary, prefix array<long>")
-    return stage(spark, rows.dropDuplicates(["cid"]), "jaccard-classes")
+    return map_arrow(spark, docs.select("text"), run, "h long, n long, cid long")
 
 
 def _sets_of(spark: SparkSession, docs: DataFrame, rows: DataFrame, cids: DataFrame) -> DataFrame:
-    """(cid, n, items): sorted set arrays of the asked classes (and of a few others)."""
+    """(cid, items): sorted set arrays of the asked classes (and of a few
+    others, and some more than once)."""
     texts = rows.where("n > 0").groupBy("cid").agg(F.min("th").alias("th")).join(cids, "cid", "left_semi").select("th")
 
     def mark(batches):
@@ -244,12 +250,10 @@ def _sets_of(spark: SparkSession, docs: DataFrame, rows: DataFrame, cids: DataFr
                 keep = _first_of_each(s.cid, s.n > 0)
                 raw = s.value.astype("<u8").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.cid[keep]), pa.array(s.n[keep]),
-                     pa.array([raw[8 * s.at[k]:8 * s.at[k + 1]] for k in keep], pa.binary())], names=["cid", "n", "items"])
+                    [pa.array(s.cid[keep]), pa.array([raw[8 * s.at[k]:8 * s.at[k + 1]] for k in keep], pa.binary())],
+                    names=["cid", "items"])
 
-    made = map_arrow(spark, docs.select("text", "th"), run, "cid long, n long, items binary")
-    made = made.join(cids, "cid", "left_semi").dropDuplicates(["cid"])
-    return stage(spark, made, "jaccard-sets")
+    return map_arrow(spark, docs.select("text", "th"), run, "cid long, items binary")
 
 
 def _bloom(th: np.ndarray) -> list[np.ndarray]:
@@ -259,77 +263,152 @@ def _bloom(th: np.ndarray) -> list[np.ndarray]:
 
 
 # ------------------------------------------------------------------ pairs
-def _runs(spark: SparkSession, classes: DataFrame) -> DataFrame:
-    """(h, n, cid, hub): prefix shingles met in two classes or more; hub is
-    the smallest class of the run (null for itself or where sizes cannot link)."""
+def _runs(spark: SparkSession, met: DataFrame) -> DataFrame:
+    """(h, n, cid): prefix shingles met in two classes or more."""
 
     def run(batches):
-        last = None            # h, hub cid, hub n, and the row itself while it is alone
+        last = None            # the row before, and whether it is still alone at its shingle
         for b in batches:
-            h, n, c = (b.column(x).to_numpy() for x in ("h", "n", "cid"))
-            if not len(h):
+            r = np.stack([b.column(x).to_numpy() for x in ("h", "n", "cid")])
+            new = np.ones(r.shape[1], bool)               # copies of a class stand side by side
+            new[1:] = (r[0, 1:] != r[0, :-1]) | (r[2, 1:] != r[2, :-1])
+            if last is not None and len(new):
+                new[0] = r[0, 0] != last[0][0, 0] or r[2, 0] != last[0][2, 0]
+            r = r[:, new]
+            if not r.shape[1]:
                 continue
-            lone = last is not None and last[3] is not None
-            if lone:
-                h, n, c = np.append(last[0], h), np.append(last[3][0], n), np.append(last[1], c)
-            new = np.concatenate(([True], h[1:] != h[:-1]))
-            goes_on = last is not None and not lone and h[0] == last[0]
-            first = np.flatnonzero(new)
-            which = np.cumsum(new) - 1
-            hub, hub_n = c[first].copy(), n[first].copy()
-            size = np.diff(np.append(first, len(h)))
-            if goes_on:
-                hub[0], hub_n[0] = last[1], last[2]
-            many = (size > 1) | (goes_on & (np.arange(len(size)) == 0))
-            alone = not many[-1]
-            keep = many[which]
-            ok = keep & (100 * hub_n[which] >= PERCENT * n) & (hub[which] != c)
-            last = (h[-1], hub[-1], hub_n[-1], (n[-1],) if alone else None)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[keep]), pa.array(n[keep]), pa.array(c[keep]),
-                     pa.array(hub[which][keep], mask=~ok[keep])], names=["h", "n", "cid", "hub"])
-
-    met = (classes.select(F.explode("prefix").alias("h"), "n", "cid")
-           .repartition("h").sortWithinPartitions("h", "n", "cid"))
-    return stage(spark, map_arrow(spark, met, run, "h long, n long, cid long, hub long", 20_000), "jaccard-runs")
+            if last is not None:
+                r = np.concatenate((last[0], r), axis=1)
+            same = np.concatenate(([False], r[0, 1:] == r[0, :-1], [False]))
+            keep = (same[1:] | same[:-1])[:-1]             # the last row waits for the next batch
+            if last is not None and not last[1]:
+                keep[0] = False                            # it has gone out already
+            out = r[:, :-1][:, keep]
+            alone = not same[-2]
+            if not alone:
+                out = np.concatenate((out, r[:, -1:]), axis=1)
+            last = (r[:, -1:], alone)
+            if out.shape[1]:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["h", "n", "cid"])
+
+    met = met.repartition("h").sortWithinPartitions("h", "n", "cid")
+    return stage(spark, map_arrow(spark, met, run, "h long, n long, cid long", 20_000), "jaccard-runs")
+
+
+def _mixed(spark: SparkSession, runs: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """(h, n, cid, comp, met): rows of runs with several components; met is the run's size."""
+    if comps is None:
+        rows = runs.withColumn("comp", F.col("cid"))
+    else:
+        rows = _with_component(runs, comps)
+    several = (rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("met"))
+               .where("lo < hi").select("h", "met"))
+    return stage(spark, rows.join(several, "h"), "jaccard-mixed")
+
+
+def _stars(mixed: DataFrame) -> DataFrame:
+    """One pair (a, b) per class of a mixed run: with the hub that it met most
+    often. The hub of a run is the class that meets most others at all its
+    shingles, which of near copies is the one with the fewest changes."""
+    weight = mixed.groupBy("cid").agg(F.sum("met").alias("s"))
+    hubs = (mixed.join(weight, "cid").groupBy("h")
+            .agg(F.max_by(F.struct("cid", "n", "comp"), F.struct("s", "cid")).alias("hub"))
+            .select("h", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp")))
+    fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * PERCENT
+    return (mixed.join(hubs, "h").where((F.col("comp") != F.col("hub_comp")) & fits)
+            .groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("c"))
+            .groupBy("cid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+            .select(F.col("hub").alias("a"), F.col("cid").alias("b")))
 
 
 def _passing(spark: SparkSession, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures allow a link."""
+    """Pairs (a, b, most) whose signatures allow a link; most bounds their Jaccard similarity."""
     def run(batches):
         for b in batches:
             n_a, n_b = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            ok = linked(bound(n_a, n_b, b.column("ba").to_pylist(), b.column("bb").to_pylist()), n_a + n_b)
-            yield b.select(["a", "b"]).filter(pa.array(ok))
+            most = bound(n_a, n_b, b.column("ba").to_pylist(), b.column("bb").to_pylist())
+            got = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(most / (n_a + n_b - most))],
+                                             names=["a", "b", "most"])
+            yield got.filter(pa.array(linked(most, n_a + n_b)))
 
     def side(x):
         return classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
 
     return map_arrow(spark, pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ba", "bb"),
-                     run, "a long, b long", 2000)
+                     run, "a long, b long, most double", 2000)
 
 
 def _links(spark: SparkSession, pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link, by exact intersection of their sorted arrays."""
+    """Pairs (a, b) that link, by exact intersection of their sorted arrays.
+    The partners of a class meet its array in groups of about ``TILE``."""
     pairs = stage(spark, pairs, "jaccard-pairs")
-    asked = stage(spark, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "jaccard-asked")
-    sets = _sets_of(spark, docs, rows, asked)
+    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("k"))
+    partner = pairs.join(groups, "a").select(F.col("b").alias("cid"), "a", F.pmod(F.xxhash64("b"), "k").cast("int").alias("g"),
+                                             F.lit(1).alias("side"))
+    own = groups.select(F.col("a").alias("cid"), "a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("g"),
+                        F.lit(0).alias("side"))
+    needed = stage(spark, partner.union(own), "jaccard-needed")
+    sets = _sets_of(spark, docs, rows, needed.select("cid").distinct())
 
     def run(batches):
+        at, own = None, None
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                k = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                ok.append(linked(int((y[k] == x).sum()), len(x) + len(y)))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            keys = zip(*[b.column(x).to_pylist() for x in ("a", "g", "side", "cid", "items")])
+            found_a, found_b, before = [], [], None
+            for a, g, side, cid, items in keys:
+                items = np.frombuffer(items, "<u8")
+                if side == 0:
+                    at, own = (a, g), items
+                elif at == (a, g) and cid != before:
+                    k = np.minimum(np.searchsorted(own, items), len(own) - 1)
+                    if linked(int((own[k] == items).sum()), len(own) + len(items)):
+                        found_a.append(a)
+                        found_b.append(cid)
+                    before = cid
+            yield pa.RecordBatch.from_pydict({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    met = (sets.join(needed, "cid").repartition("a", "g").sortWithinPartitions("a", "g", "side", "cid")
+           .select("a", "g", "side", "cid", "items"))
+    return map_arrow(spark, met, run, "a long, b long", 500).distinct()
+
+
+def _counted(spark: SparkSession, mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share enough prefix shingles,
+    from rows (h, n, cid, comp) of short runs. Of two prefixes the one that ends
+    first holds every shingle they share, so a link leaves at least
+    ``needed - n + prefix`` of them there."""
 
-    def side(x):
-        return sets.select(F.col("cid").alias(x), F.col("items").alias(f"s{x}"))
+    def run(batches):
+        held = None
+        for b in batches:
+            r = np.stack([b.column(x).to_numpy() for x in ("h", "n", "cid", "comp")])
+            r = np.concatenate((held, r), axis=1) if held is not None else r
+            cut = int(np.searchsorted(r[0], r[0, -1])) if r.shape[1] else 0     # the last run may go on
+            held = r[:, cut:]
+            yield pairs_of(r[:, :cut])
+        if held is not None:
+            yield pairs_of(held)
 
-    return map_arrow(spark, pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb"), run,
-                     "a long, b long", 500)
+    def pairs_of(r):
+        h, n, cid, comp = r
+        out, d = [np.zeros((4, 0), np.int64)], 1
+        while d < len(h):
+            i = np.flatnonzero(h[d:] == h[:-d])
+            if not len(i):
+                break
+            i = i[(comp[i] != comp[i + d]) & (100 * n[i] >= PERCENT * n[i + d])]       # n ascends in a run
+            x, y = np.where(cid[i] < cid[i + d], i, i + d), np.where(cid[i] < cid[i + d], i + d, i)
+            out.append(np.stack([cid[x], cid[y], n[x], n[y]]))
+            d += 1
+        got, count = np.unique(np.concatenate(out, axis=1), axis=1, return_counts=True)
+        return pa.RecordBatch.from_arrays([*map(pa.array, got), pa.array(count)], names=["a", "b", "na", "nb", "c"])
+
+    dealt = mixed.repartition("h").sortWithinPartitions("h", "n", "cid")
+    pairs = (map_arrow(spark, dealt, run, "a long, b long, na long, nb long, c long", 20_000)
+             .groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")))
+    needed = F.ceil(F.lit(PERCENT) * (F.col("na") + F.col("nb")) / F.lit(100 + PERCENT))
+    beyond = lambda n: F.ceil(F.col(n) * PERCENT / 100) - 1                 # size less prefix
+    return pairs.where(F.col("c") >= needed - F.greatest(beyond("na"), beyond("nb"))).select("a", "b")
 
 
 def _tiles(spark: SparkSession, mixed: DataFrame) -> DataFrame:
@@ -352,7 +431,37 @@ def _tiles(spark: SparkSession, mixed: DataFrame) -> DataFrame:
         F.transform(each(F.col("k_up")), lambda t: tile(band, 1, own, t, F.lit(0))),
         F.transform(each(F.col("k_down")), lambda t: tile(band - 1, 1, t, own, F.lit(1))))
     dealt = rows.select("h", F.explode(tiles).alias("t"), "n", "cid", "comp", "bits").select("h", "t.*", "n", "cid", "comp", "bits")
-    key = ["h", "band", "kind", "x", "y"]
+    return _compared(spark, dealt, ["h", "band", "kind", "x", "y"])
+
+
+def _large(spark: SparkSession, mixed: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a class and the members of another component that holds
+    LARGE classes or more of a run, if their signatures allow a link. The
+    members of a component are dealt once, in blocks, whatever the number of
+    runs; ``mixed`` has (h, cid, comp, large) with large the run's large components."""
+    touch = (mixed.select("cid", "comp", "large", F.explode("large").alias("with"))
+             .where((F.col("comp") != F.col("with")) & (~F.array_contains("large", F.col("comp")) | (F.col("comp") < F.col("with"))))
+             .select("cid", "with").distinct())
+    touch = stage(spark, touch, "jaccard-touch")
+    blocks = lambda n: F.ceil(n / F.lit(TILE)).cast("int")
+    asked = touch.groupBy("with").agg(blocks(F.count(F.lit(1))).alias("kx"))
+    nodes = comps.select(F.col("a").alias("cid"), F.col("b").alias("with")).union(
+        comps.select(F.col("b").alias("cid"), F.col("b").alias("with")).distinct())
+    members = nodes.join(asked, "with")
+    sizes = members.groupBy("with").agg(blocks(F.count(F.lit(1))).alias("ky"), F.first("kx").alias("kx"))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    own = lambda k: F.pmod(F.xxhash64("cid"), F.col(k)).cast("int")
+    dealt = (members.drop("kx").join(sizes, "with")
+             .select("with", own("ky").alias("y"), each("kx").alias("x"), "cid", F.lit(0).alias("side"), F.col("with").alias("comp"))
+             .unionByName(touch.join(sizes, "with")
+                          .select("with", own("kx").alias("x"), each("ky").alias("y"), "cid", F.lit(1).alias("side"),
+                                  F.lit(0).cast("long").alias("comp"))))
+    return _compared(spark, dealt.join(classes, "cid"), ["with", "x", "y"])
+
+
+def _compared(spark: SparkSession, dealt: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs (a, b) of the rows of each tile (key, n, cid, comp, side, bits) of
+    different sides (2: any) and components whose signatures allow a link."""
 
     def compare(tile_no, n, cid, comp, side, bits):
         d = 1
@@ -361,13 +470,15 @@ def _tiles(spark: SparkSession, mixed: DataFrame) -> DataFrame:
             if not len(i):
                 return
             j = i + d
-            ok = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
+            ok = (comp[i] != comp[j]) & (cid[i] != cid[j]) & ((side[i] != side[j]) | (side[i] == 2))
             ok &= 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
             i, j = i[ok], j[ok]
             if len(i):
-                good = linked(bound(n[i], n[j], [bits[k] for k in i], [bits[k] for k in j]), n[i] + n[j])
-                i, j = i[good], j[good]
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(cid[i], cid[j]), "b": np.maximum(cid[i], cid[j])})
+                most = bound(n[i], n[j], [bits[k] for k in i], [bits[k] for k in j])
+                good = linked(most, n[i] + n[j])
+                i, j, most = i[good], j[good], most[good]
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(cid[i], cid[j]), "b": np.maximum(cid[i], cid[j]),
+                                                  "most": most / (n[i] + n[j] - most)})
             d += 1
 
     def run(batches):
@@ -389,8 +500,9 @@ def _tiles(spark: SparkSession, mixed: DataFrame) -> DataFrame:
             yield from compare(no, *[t.column(x).to_numpy() for x in ("n", "cid", "comp", "side")],
                                t.column("bits").to_pylist())
 
-    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
-    return map_arrow(spark, dealt, run, "a long, b long", 5000)
+    dealt = (dealt.repartition(*key).sortWithinPartitions(*key)
+             .select(*key, "n", "cid", "comp", "side", "bits"))
+    return map_arrow(spark, dealt, run, "a long, b long, most double", 5000)
 
 
 def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -398,27 +510,59 @@ def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
             .withColumn("comp", F.coalesce("root", "cid")).drop("root"))
 
 
+def _ends(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """``pairs`` with the components of both ends (ca, cb), where they differ."""
+    out = pairs
+    for x in ("a", "b"):
+        side = comps.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        out = (out.join(side, F.col(x) == F.col("node"), "left").withColumn(f"c{x}", F.coalesce("root", x))
+               .drop("node", "root"))
+    return out.where("ca <> cb")
+
+
+def _likeliest(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Of the pairs of a class with a component, the one whose bound is highest."""
+    ends = _ends(pairs, comps)
+    one = ends.groupBy("a", "cb").agg(F.max_by("b", F.struct("most", "b")).alias("b")).select("a", "b")
+    other = ends.groupBy("b", "ca").agg(F.max_by("a", F.struct("most", "a")).alias("a")).select("a", "b")
+    return one.union(other).distinct()
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    return _ends(pairs, comps).select("a", "b")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, th, n_shingles, cid, comp) per document; th is a hash of its
     text, cid its class of equal sets, comp its component (null without shingles)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     rows, level = _summary(spark, docs)
-    classes = _signatures(spark, docs, level)
-    runs = _runs(spark, classes)
-
-    star = (runs.where("hub is not null").groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("c"))
-            .groupBy("cid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")))
-    first = star.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
-    links = stage(spark, _links(spark, _passing(spark, first, classes), docs, rows), "jaccard-links")
-    comps = components(spark, links)
-
-    with_comp = _with_component(runs.select("h", "n", "cid"), comps)
-    mixed = with_comp.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    mixed = (with_comp.join(mixed, "h").join(classes.select("cid", "bits"), "cid")
-             .select("h", "n", "cid", "comp", "bits"))
-    more = _links(spark, _tiles(spark, mixed).distinct(), docs, rows)
-    comps = components(spark, links.union(more))
-    return (_with_component(rows, comps)
+    runs = _runs(spark, _prefixes(spark, docs, level))
+    classes = stage(spark, rows.where("n > 0").select("cid", "n", "bits").dropDuplicates(["cid"]), "jaccard-classes")
+
+    comps = None
+    for _ in range(STARS):
+        found = _links(spark, _passing(spark, _stars(_mixed(spark, runs, comps)), classes).drop("most"), docs, rows)
+        comps = components(spark, found if comps is None else comps.union(found))
+
+    mixed = _mixed(spark, runs, comps)
+    large = (mixed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= LARGE)
+             .groupBy("h").agg(F.collect_list("comp").alias("large")))             # at most met / LARGE
+    some = stage(spark, mixed.where(F.col("met") > LARGE).join(large, "h"), "jaccard-large")
+    # The rest of those runs, and the runs without a large component.
+    rest = (mixed.where(F.col("met") > LARGE).join(large, "h", "left_anti").drop("met")
+            .unionByName(some.where(~F.array_contains("large", F.col("comp"))).select("h", "n", "cid", "comp")))
+    rest = stage(spark, rest.join(rest.groupBy("h").agg(F.count(F.lit(1)).alias("met")), "h"), "jaccard-rest")
+    short = mixed.where(F.col("met") <= LARGE).unionByName(rest.where(F.col("met") <= SHORT_RUN))
+    pairs = (_passing(spark, _counted(spark, short.drop("met")), classes)
+             .union(_tiles(spark, rest.where(F.col("met") > SHORT_RUN).join(classes.select("cid", "bits"), "cid")))
+             .union(_large(spark, some, comps, classes)))
+    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("most").alias("most"))
+    pairs = stage(spark, pairs, "jaccard-passing")
+    # First the likeliest partner in every other component, then what is still apart.
+    for find in (_likeliest, _apart):
+        comps = components(spark, comps.union(_links(spark, find(pairs, comps), docs, rows)))
+    return (_with_component(rows.drop("bits"), comps)
             .withColumn("comp", F.when(F.col("n") > 0, F.col("comp"))).withColumnRenamed("n", "n_shingles"))
 
 

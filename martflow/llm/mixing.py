@@ -100,34 +100,34 @@ def mix(spark: SparkSession, rows: DataFrame, classes_from: DataFrame | None = N
             .withColumn("mx_rate", F.when(F.abs(rate - near) < 1e-7, near).otherwise(rate))
             .withColumn("mx_take", (F.round((F.col("mx_before") + F.col("mx_n")) * F.col("mx_rate"))
                                     - F.round(F.col("mx_before") * F.col("mx_rate"))).cast("long"))
-            .select(F.col("mx_source").alias("ks"), F.col("mx_size").alias("kz"), "mx_n", "mx_total", "mx_target",
+            .select(F.col("mx_source").alias("mx_ks"), F.col("mx_size").alias("mx_kz"), "mx_n", "mx_total", "mx_target",
                     "mx_rate", F.least("mx_take", F.col("mx_n") * int(MAX_REPEAT)).alias("mx_take")))
     plan = stage(spark, plan, "mix-take")
     made_up = made_up_copies(plan)
-    plan = (plan.join(made_up, F.col("ks").eqNullSafe(F.col("as")) & (F.col("kz") == F.col("az")), "left")
+    plan = (plan.join(made_up, F.col("mx_ks").eqNullSafe(F.col("as")) & (F.col("mx_kz") == F.col("az")), "left")
             .withColumn("mx_take", F.col("mx_take") + F.coalesce("more", F.lit(0)))
             .withColumn("mx_buckets", F.ceil(F.col("mx_n") / F.lit(BUCKET_ROWS)).cast("long"))
             .drop("as", "az", "more"))
     plan = stage(spark, plan, "mix-plan")
-    on = F.col("mx_source").eqNullSafe(F.col("ks")) & (F.col("mx_size") == F.col("kz"))
+    on = F.col("mx_source").eqNullSafe(F.col("mx_ks")) & (F.col("mx_size") == F.col("mx_kz"))
     bucket = F.pmod("mx_hash", "mx_buckets")
 
     # Counts of each bucket, hence the rank at which the bucket begins.
     counted = ((classes_from if classes_from is not None else rows)
                .select("mx_source", "mx_size", "mx_hash").join(plan.where("mx_buckets > 1"), on)
-               .groupBy("ks", "kz", bucket.alias("kb")).agg(F.count(F.lit(1)).alias("c")))
+               .groupBy("mx_ks", "mx_kz", bucket.alias("mx_kb")).agg(F.count(F.lit(1)).alias("c")))
     begins = (counted.withColumn("mx_begin", F.coalesce(F.sum("c").over(
-        Window.partitionBy("ks", "kz").orderBy("kb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select(F.col("ks").alias("bs"), F.col("kz").alias("bz"), "kb", "mx_begin"))
+        Window.partitionBy("mx_ks", "mx_kz").orderBy("mx_kb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .select(F.col("mx_ks").alias("mx_bs"), F.col("mx_kz").alias("mx_bz"), "mx_kb", "mx_begin"))
     in_bucket = Window.partitionBy("mx_source", "mx_size", "mx_bucket").orderBy("mx_hash")
     upto = lambda i: F.expr(f"({i} * mx_take) div mx_n")
-    return (rows.join(plan, on).drop("ks", "kz")
+    return (rows.join(plan, on).drop("mx_ks", "mx_kz")
             .withColumn("mx_bucket", bucket)
-            .join(begins, F.col("mx_source").eqNullSafe(F.col("bs")) & (F.col("mx_size") == F.col("bz"))
-                  & (F.col("mx_bucket") == F.col("kb")), "left")
+            .join(begins, F.col("mx_source").eqNullSafe(F.col("mx_bs")) & (F.col("mx_size") == F.col("mx_bz"))
+                  & (F.col("mx_bucket") == F.col("mx_kb")), "left")
             .withColumn("mx_i", F.coalesce("mx_begin", F.lit(0)) + F.row_number().over(in_bucket))
             .withColumn("mx_copies", (upto("mx_i") - upto("(mx_i - 1)")).cast("int"))
-            .drop("bs", "bz", "kb", "mx_begin", "mx_bucket", "mx_buckets", "mx_n", "mx_take", "mx_i"))
+            .drop("mx_bs", "mx_bz", "mx_kb", "mx_begin", "mx_bucket", "mx_buckets", "mx_n", "mx_take", "mx_i"))
 
 
 def made_up_copies(plan: DataFrame) -> DataFrame:
@@ -135,20 +135,20 @@ def made_up_copies(plan: DataFrame) -> DataFrame:
     words still lack or exceed, from the largest class that fits downwards.
     Folds each source's distinct sizes, which are far fewer than its rows."""
     most = int(MAX_REPEAT)
-    per = (plan.where("kz > 0").groupBy("ks")
-           .agg(F.first("mx_target").alias("target"), F.sum(F.col("kz") * F.col("mx_take")).alias("taken"),
-                F.sort_array(F.collect_list(F.struct("kz", "mx_n", "mx_take")), asc=False).alias("classes")))
+    per = (plan.where("mx_kz > 0").groupBy("mx_ks")
+           .agg(F.first("mx_target").alias("target"), F.sum(F.col("mx_kz") * F.col("mx_take")).alias("taken"),
+                F.sort_array(F.collect_list(F.struct("mx_kz", "mx_n", "mx_take")), asc=False).alias("classes")))
     none = F.array().cast("array<struct<az:bigint,more:bigint>>")
 
     def step(acc, c):
-        fit = (acc["rest"] / c["kz"]).cast("long")                   # towards 0
+        fit = (acc["rest"] / c["mx_kz"]).cast("long")                   # towards 0
         more = F.greatest(-c["mx_take"], F.least(fit, c["mx_n"] * most - c["mx_take"]))
         return F.when(more == 0, acc).otherwise(F.struct(
-            (acc["rest"] - more * c["kz"]).alias("rest"),
-            F.concat(acc["made"], F.array(F.struct(c["kz"].alias("az"), more.alias("more")))).alias("made")))
+            (acc["rest"] - more * c["mx_kz"]).alias("rest"),
+            F.concat(acc["made"], F.array(F.struct(c["mx_kz"].alias("az"), more.alias("more")))).alias("made")))
 
     start = F.struct((F.col("target") - F.col("taken")).alias("rest"), none.alias("made"))
-    return (per.select(F.col("ks").alias("as"), F.explode(F.aggregate("classes", start, step)["made"]).alias("m"))
+    return (per.select(F.col("mx_ks").alias("as"), F.explode(F.aggregate("classes", start, step)["made"]).alias("m"))
             .select("as", "m.az", "m.more"))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from martflow.llm import oracle
 from martflow.llm.decontaminate import op1_decontamination
 from martflow.llm.jaccard import op4_jaccard_join
 from martflow.llm.langid import op6_language_id
@@ -33,4 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": oracle.DECONTAMINATION,
+    "op4_jaccard_join": oracle.JACCARD,
+    "op7_suffix_dedup": oracle.SUFFIX_DEDUP,
+}

@@ -21,7 +21,7 @@ def schema(*fields):
 
 
 # Columns beyond those of the tables, with names that operators use themselves.
-CLASH = [(n, StringType()) for n in ("key", "n", "size", "score", "label", "target", "cid", "part", "rank", "th", "k")]
+CLASH = [(n, StringType()) for n in ("key", "n", "size", "score", "label", "target", "cid", "part", "rank", "th", "k", "ks", "kb")]
 DOCUMENTS = schema(("doc_id", LongType()), ("text", StringType()), ("lang", StringType()), ("source", StringType()),
                    ("n_chars", LongType()), *CLASH)
 BENCHMARK = schema(("item_id", LongType()), ("text", StringType()), *CLASH)

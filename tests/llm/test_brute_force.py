@@ -233,3 +233,38 @@ def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i + 1, i) for i in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(7, 7)]
     got = {r.a: r.b for r in components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{100 + k: 100 for k in range(1, 60)}}
+
+
+def test_jaccard_of_groups_with_small_tiles(spark, monkeypatch):
+    """Groups of near copies, shared passages and every way through the runs."""
+    import random
+
+    from martflow.llm import jaccard
+    for name, value in (("TILE", 3), ("LARGE", 3), ("SHORT_RUN", 4), ("STARS", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    texts, shared = [], [word() for _ in range(30)]
+    for _ in range(4):
+        base = [word() for _ in range(60)]
+        for _ in range(14):
+            copy = list(base)
+            for _ in range(rnd.randrange(5)):
+                copy[rnd.randrange(60)] = word()
+            texts.append(" ".join(copy[:rnd.randrange(52, 61)]))
+    texts += [" ".join([*shared, *[word() for _ in range(rnd.randrange(3, 12))]]) for _ in range(24)]
+    docs = spark.createDataFrame([(1000 - k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    group = [{k} for k in range(len(texts))]
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and group[a] is not group[b]:
+                both = group[a] | group[b]
+                for k in both:
+                    group[k] = both
+    want = {frozenset(1000 - k for k in g) for g in group}
+    got = defaultdict(set)
+    for r in jaccard.near_duplicates(spark, docs).collect():
+        got[r.comp].add(r.doc_id)
+    assert {frozenset(g) for g in got.values()} == want
+    assert 10 < len(want) < 70
