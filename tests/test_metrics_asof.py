@@ -15,7 +15,7 @@ def test_running_totals_equal_a_plain_window(spark):
     rnd = random.Random(7)
     rows = [(p, float(v), rnd.randint(0, 5)) for p in ("a", "b") for v in rnd.sample(range(2000), 300)]
     df = spark.createDataFrame(rows, "p string, v double, c long")
-    got = running_totals(df, ["p"], "v", ["c"], buckets=8)
+    got = running_totals(df, ["p"], "v", ["c"], bucket_rows=9)
     w = Window.partitionBy("p").orderBy("v")
     ref = df.select("p", "v", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum_c"),
                     F.lead("v").over(w).alias("next_v"))
@@ -70,9 +70,8 @@ def test_asof_join_matches_brute_force_including_hot_key(spark):
     ents = list(dict.fromkeys(ents))
     fdf = spark.createDataFrame(feats, "user_id long, event_timestamp timestamp_ntz, v long")
     edf = spark.createDataFrame(ents, "user_id long, event_timestamp timestamp_ntz")
-    for ttl, hot in ((365, None), (30, 5), (None, 5), (365, 5)):
-        got = sorted(tuple(r) for r in asof.asof_join(edf, fdf, ttl_days=ttl, hot_rows=hot,
-                                                      hot_bucket="day").collect())
+    for ttl in (365, 30, None):
+        got = sorted(tuple(r) for r in asof.asof_join(edf, fdf, ttl_days=ttl).collect())
         assert got == _brute_asof(ents, [(k, t, v) for k, t, v in feats if True], ttl), ttl
 
 
