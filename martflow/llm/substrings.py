@@ -6,7 +6,7 @@ anywhere else. Three Spark jobs:
 1. Every window of LENGTH bytes has an anchor, the least hash of its
    ``ANCHOR``-byte strings, so equal windows have equal anchors wherever they are.
    Neighbouring windows with one anchor form a fragment. Fragments (anchor, digest, place;
-   no bytes) are dealt out by anchor. Anchors that occur once need nothing more; copies of
+   no bytes) are dealt out by anchor, of copies inside one chunk of texts only two. Anchors that occur once need nothing more; copies of
    one fragment are duplicates as a whole and go on as one with that count.
 2. Fragments of anchors that have several different ones are cut from the
    texts and gathered by anchor into collections. Each collection's
@@ -95,6 +95,18 @@ def _batch(rows: np.ndarray, **more) -> pa.RecordBatch:
                                       names=[*more, *_COLUMNS])
 
 
+def _local(rows: np.ndarray):
+    """Sorted rows of one chunk: those with copies here (kind 0), and up to two
+    of each fragment to be dealt out (kind 2)."""
+    new = np.flatnonzero(np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))) \
+        if rows.shape[1] else np.zeros(0, np.int64)
+    size = np.diff(np.append(new, rows.shape[1]))
+    some = ranges(new, np.minimum(size, 2))
+    copies = np.flatnonzero(np.repeat(size > 1, size))
+    for kind, at in ((0, copies), (2, some)):
+        yield _batch(rows[:, at], kind=np.full(len(at), kind))
+
+
 def _classify(batches):
     """Rows sorted by anchor, digest and size -> ``whole`` rows (fragments with
     copies) and one row per distinct fragment of anchors that have several.
@@ -349,13 +361,14 @@ def duplicate_windows(spark: SparkSession, docs: DataFrame) -> DataFrame:
         for b in batches:
             for lo, hi, buf, offs in text_chunks(b.column("text"), CHUNK):
                 doc, start, w, a, f = fragments(buf, offs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(f), pa.array(w), b.column("key").slice(lo, hi - lo).take(pa.array(doc)),
-                     pa.array(start)], names=_COLUMNS)
-
-    places = map_arrow(spark, docs.select("key", "text"), run, _ROW)
-    met = stage(spark, map_arrow(spark, places.repartition("a").sortWithinPartitions("a", "f", "w"), _classify,
-                                 f"kind long, {_ROW}"), "substring-fragments")
+                rows = np.stack([a, f, w, b.column("key").slice(lo, hi - lo).to_numpy()[doc], start])
+                yield from _local(rows[:, np.lexsort(rows[2::-1])])
+
+    # kind 0: copies met already in one chunk. kind 2: to be dealt out, two at most of each.
+    places = stage(spark, map_arrow(spark, docs.select("key", "text"), run, f"kind long, {_ROW}"), "substring-places")
+    dealt = places.where("kind = 2").drop("kind").repartition("a").sortWithinPartitions("a", "f", "w")
+    met = stage(spark, map_arrow(spark, dealt, _classify, f"kind long, {_ROW}", 20_000), "substring-fragments")
+    met = met.union(places.where("kind = 0"))
     asked = (met.where("kind = 1").groupBy("key")
              .agg(F.collect_list(F.struct("a", "start", "w")).alias("asked")))     # bounded by the text's length
     cut = map_arrow(spark, docs.select("key", "text").join(asked, "key"), _cut, "a long, key long, start long, bytes binary")
