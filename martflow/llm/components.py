@@ -27,13 +27,16 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(a, b): b is the least node that a can reach; least nodes are left out.
-    ``links`` has columns a and b of any order; loops are ignored."""
+    ``links`` has columns a and b of any order; loops are ignored. The result of an
+    earlier call may stand for the links that it came from."""
     e = stage(spark, links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
               .distinct(), "links")
-    seen = None
-    while True:
+    mark = lambda t: tuple(t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    seen = mark(e)
+    while seen[0]:
         e = stage(spark, _small_star(_large_star(e)), "links")
-        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == seen or not now[0]:
-            return e
+        now = mark(e)
+        if now == seen:
+            break
         seen = now
+    return e
