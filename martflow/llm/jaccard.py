@@ -351,15 +351,15 @@ def _links(spark: SparkSession, pairs: DataFrame, docs: DataFrame, rows: DataFra
     sets = _sets_of(spark, docs, rows, needed.select("cid").distinct())
 
     def run(batches):
-        at, own = None, None
+        at, own, before = None, None, None
         for b in batches:
             keys = zip(*[b.column(x).to_pylist() for x in ("a", "g", "side", "cid", "items")])
-            found_a, found_b, before = [], [], None
+            found_a, found_b = [], []
             for a, g, side, cid, items in keys:
                 items = np.frombuffer(items, "<u8")
                 if side == 0:
-                    at, own = (a, g), items
-                elif at == (a, g) and cid != before:
+                    at, own, before = (a, g), items, None
+                elif at == (a, g) and cid != before:              # a set may come more than once
                     k = np.minimum(np.searchsorted(own, items), len(own) - 1)
                     if linked(int((own[k] == items).sum()), len(own) + len(items)):
                         found_a.append(a)

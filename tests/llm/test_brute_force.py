@@ -268,3 +268,23 @@ def test_jaccard_of_groups_with_small_tiles(spark, monkeypatch):
         got[r.comp].add(r.doc_id)
     assert {frozenset(g) for g in got.values()} == want
     assert 10 < len(want) < 70
+
+
+def test_jaccard_links_of_one_common_partner(spark):
+    """Several classes whose only partner is the same class, in one partition."""
+    from pyspark.sql import functions as F
+
+    from martflow.llm import jaccard
+    texts = [f"{' '.join(f'w{i}' for i in range(60))} end{k}" for k in range(6)] * 2
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        F.lit(1).cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    rows = jaccard._summary(spark, docs)[0]
+    cids = sorted({r.cid for r in rows.select("cid").collect()})
+    want = [(a, cids[-1]) for a in cids[:-1]]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        got = jaccard._links(spark, spark.createDataFrame(want, "a long, b long"), docs, rows).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert sorted(map(tuple, got)) == want
