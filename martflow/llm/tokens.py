@@ -22,7 +22,8 @@ unlisted file. Files go through ``pyarrow.fs`` to the shared folder.
 Ids come from the tokenizers library. Texts are split at single spaces and
 newlines between solid signs and between a letter and a sign, where the
 vocabulary's own pre-tokenizer always splits, and each distinct piece is encoded once while a bounded cache
-remembers it; the concatenation equals encoding the whole text (tested).
+remembers it; the concatenation equals encoding the whole text (tested). No text is
+split inside an added token of the vocabulary, such as ``<|endoftext|>``, which the library finds first.
 
 Defined cases: null text is empty (one end id); null doc_id comes first;
 repeated rows are separate documents; an empty table gives no files and an
@@ -90,6 +91,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
+        added = self.tok.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that depend on the signs beside them are not supported")
+        self.added = [t.content.encode() for t in added]
         self._forget()
 
     def _forget(self) -> None:
@@ -118,6 +123,16 @@ class PieceEncoder:
         order = np.argsort(key)
         self.key, self.at, self.size = key[order], at[order], size[order]
 
+    def _added_spans(self, buf: np.ndarray) -> list[tuple[int, int]]:
+        """Start and end of each place that spells an added token."""
+        raw, out = buf.tobytes(), []
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                out.append((at, at + len(token)))
+                at = raw.find(token, at + 1)
+        return out
+
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (END_ID after each) and their counts per text."""
         prev = np.concatenate(([0], buf[:-1])) if len(buf) else buf
@@ -132,6 +147,9 @@ class PieceEncoder:
         cut[:-1] |= gap                                        # before a space or newline,
         cut[1:] |= gap & (buf == 10)                           # after a newline,
         cut[1:-1] |= letter[:-1] & _ASCII_SIGN[buf[1:]]        # between a letter and a sign
+        for x, y in self._added_spans(buf):
+            cut[x + 1:y] = False
+            letter[x:y] = False                                # not for the model alone
         cut[offs] = True
         cut[len(buf)] = False
         s = np.flatnonzero(cut)

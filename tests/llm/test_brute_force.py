@@ -288,3 +288,16 @@ def test_jaccard_links_of_one_common_partner(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
     assert sorted(map(tuple, got)) == want
+
+
+def test_added_tokens_are_encoded_as_in_the_whole_text():
+    from martflow.llm.tokens import END_ID, PieceEncoder, vocabulary_path
+    enc, end = PieceEncoder(vocabulary_path()), "<|endoftext|>"
+    texts = [f"one {end} two", f"a{end}b", f"x\n{end}\ny", f"{end}{end} {end}", end, f"é {end}é 1{end}2 don't{end}!", "",
+             "<|endof", "text|> <|endoftext| one", f"<|endoftext {end}|>", f"  {end}  two words", "<|endoftext|", "> next"]
+    raw = [t.encode() for t in texts]
+    offs = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    ids, counts = enc.encode(np.frombuffer(b"".join(raw), np.uint8), offs)
+    at = np.concatenate(([0], np.cumsum(counts)))
+    for k, t in enumerate(texts):
+        assert ids[at[k]:at[k + 1]].tolist() == enc.tok.encode(t, add_special_tokens=False).ids + [END_ID], t
