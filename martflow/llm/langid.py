@@ -77,18 +77,12 @@ def ranked_grams(buf: np.ndarray, offs: np.ndarray, group: np.ndarray | None = N
         return none, none, none, none, has_letter
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     count = np.diff(np.append(at, len(key)))
-    most = (1 << 20) - 1
-    low = np.uint64((1 << 32) - 1)
-    # owner (11 bits and more), descending count, gram: one sortable key
     key = key[at]
-    order_key = np.sort((key >> half) << np.uint64(52)
-                        | (most - np.minimum(count, most)).astype(np.uint64) << half | key & low) \
-        if (key[-1] >> half) < 4096 else None
-    assert order_key is not None, "too many texts in a chunk"
-    who = (order_key >> np.uint64(52)).astype(np.int64)
-    count = most - ((order_key >> half) & np.uint64(most)).astype(np.int64)
+    who = (key >> half).astype(np.int64)
+    order = np.lexsort((-count, who))                          # stable: ties stay in the order of grams
+    who, count, gram = who[order], count[order], (key[order] & np.uint64((1 << 32) - 1)).astype(np.int64)
     begin = np.searchsorted(who, np.arange(who[-1] + 1))
-    return who, (order_key & low).astype(np.int64), count, np.arange(len(who)) - begin[who], has_letter
+    return who, gram, count, np.arange(len(who)) - begin[who], has_letter
 
 
 def learn(spark: SparkSession, docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:

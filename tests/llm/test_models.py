@@ -97,3 +97,11 @@ def test_pipeline_stages(spark):
     assert abs(sum(len(SOLID.findall(r.text)) for r in mixed) - total) < 0.05 * total
     whole = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in run(spark, "op2_token_output", SMALL)}
     assert len(tokens) == len(mixed) and all(whole[r.doc_id] == (r.n_tokens, r.ids_crc32) for r in tokens)
+
+
+def test_language_grams_of_a_long_text_rank_by_their_whole_counts():
+    from martflow.llm.langid import ranked_grams
+    raw = ("t " * 1_200_000 + "e " * 1_100_000).encode()
+    _, _, n, rank, _ = ranked_grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert {1_200_000, 1_100_000} <= set(n.tolist())
+    assert n.tolist() == sorted(n.tolist(), reverse=True) and rank.tolist() == list(range(len(n)))
