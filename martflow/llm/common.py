@@ -72,6 +72,19 @@ def map_arrow(spark: SparkSession, df: DataFrame, fn: Callable, schema: str, row
     return df.mapInArrow(fn, schema)
 
 
+def staged_map(spark: SparkSession, df: DataFrame, fn: Callable, schema: str, rows: int, name: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of ``rows``, written and reread at once, so
+    that the session keeps its own batch size."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        return stage(spark, df.mapInArrow(fn, schema), name)
+    finally:
+        spark.conf.set(key, before)
+
+
 # ---------------------------------------------------------------- text chunks
 def text_chunks(col: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Whole texts of an Arrow column, some at a time: (first row, end row,

@@ -69,3 +69,39 @@ cut AS (SELECT doc_id, sum(hi - lo) AS n, count(*) AS spans FROM span GROUP BY d
 SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed,
        CAST(coalesce(c.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.x, d.x))) AS kept_sha256
 FROM doc d LEFT JOIN cut c ON c.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
+LEXICAL_SEARCH = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+term AS (SELECT r, doc_id, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+         FROM (SELECT r, doc_id, unnest(w) AS t FROM doc) u),
+size AS (SELECT r, count(*) AS n FROM term GROUP BY r),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_all FROM size),
+tf AS (SELECT r, any_value(doc_id) AS doc_id, t, count(*) AS tf FROM term GROUP BY r, t),
+weight AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+           FROM tf, whole GROUP BY t),
+item AS (
+  SELECT DISTINCT item_id, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+        FROM benchmark WHERE item_id IS NOT NULL) u),
+score AS (
+  SELECT i.item_id, f.r, f.doc_id,
+         CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * (100 - 50 + (50 * s.n * z.n_docs) // z.n_all)))) AS BIGINT) AS score
+  FROM item i JOIN tf f ON f.t = i.t JOIN weight w ON w.t = i.t JOIN size s ON s.r = f.r, whole z
+  GROUP BY i.item_id, f.r, f.doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+      FROM score WHERE score > 0) t
+WHERE rank <= 50"""
+
+EXACT_TOPK = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+pair AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+         FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pair) t
+WHERE rank <= 5"""

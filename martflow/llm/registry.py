@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from martflow.llm import oracle
 from martflow.llm.decontaminate import op1_decontamination
+from martflow.llm.impactsearch import op13_exact_topk
 from martflow.llm.jaccard import op4_jaccard_join
 from martflow.llm.langid import op6_language_id
+from martflow.llm.lexical import op12_lexical_search
 from martflow.llm.licenses import op9_license_scan
 from martflow.llm.lmscore import op5_lm_scoring
 from martflow.llm.mixing import op8_mixing_weights
@@ -31,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_weights": op8_mixing_weights,
     "op9_license_scan": op9_license_scan,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_exact_topk": op13_exact_topk,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -38,4 +42,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": oracle.DECONTAMINATION,
     "op4_jaccard_join": oracle.JACCARD,
     "op7_suffix_dedup": oracle.SUFFIX_DEDUP,
+    "op12_lexical_search": oracle.LEXICAL_SEARCH,
+    "op13_exact_topk": oracle.EXACT_TOPK,
 }
