@@ -4,10 +4,8 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-SF_SMALL = "/root/testdata/sf0.001"
-
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,11 +20,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def pipe(spark):
+    from helpers import SF_SMALL
+
     from martflow.plans.pipeline import Pipeline
     return Pipeline.fixture(spark, SF_SMALL)
-
-
-def rows(df, *cols):
-    """Rows as sorted list of tuples (optionally projected)."""
-    d = df.select(*cols) if cols else df
-    return sorted(tuple(r) for r in d.collect())

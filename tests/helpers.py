@@ -1,9 +1,17 @@
-"""Hand-written Silver rows for trap tests."""
+"""Paths, row helpers and hand-written Silver rows shared by the tests."""
 
 from datetime import datetime as dt
 
 from martflow.operators.silver import SILVER_SCHEMAS
 
+SF_SMALL = "/root/testdata/sf0.001"
+
+
+def rows(df, *cols):
+    """Rows as sorted list of tuples (optionally projected)."""
+    d = df.select(*cols) if cols else df
+    return sorted(tuple(r) for r in d.collect())
+
 
 def silver_df(spark, name, rows):
     schema = SILVER_SCHEMAS[name]

@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from martflow.operators import drift, explorer
 from martflow.sources import io
 

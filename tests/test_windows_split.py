@@ -6,7 +6,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from martflow.config import DEFAULT
 from martflow.functions.windows import dense_rank_desc, running_totals
 from martflow.operators import modeldata as md
