@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from martflow.llm import oracle
+from martflow.llm.convrepair import op11_conversation_repair
 from martflow.llm.decontaminate import op1_decontamination
 from martflow.llm.impactsearch import op13_exact_topk
 from martflow.llm.jaccard import op4_jaccard_join
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_weights": op8_mixing_weights,
     "op9_license_scan": op9_license_scan,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_lexical_search": op12_lexical_search,
     "op13_exact_topk": op13_exact_topk,
     "pipeline": corpus_pipeline.run,

@@ -1,6 +1,7 @@
 """Small table folders for the training-data operators."""
 
 import os
+import random
 import re
 
 import pytest
@@ -21,12 +22,14 @@ def schema(*fields):
 
 
 # Columns beyond those of the tables, with names that operators use themselves.
-CLASH = [(n, StringType()) for n in ("key", "n", "size", "score", "label", "target", "cid", "part", "rank", "th", "k", "ks", "kb")]
+CLASH = [(n, StringType()) for n in ("key", "n", "size", "score", "label", "target", "cid", "part", "rank", "th", "k", "ks", "kb", "ck", "rid",
+                                         "first", "kind", "copy", "blank", "audit", "terms", "vec", "item")]
 DOCUMENTS = schema(("doc_id", LongType()), ("text", StringType()), ("lang", StringType()), ("source", StringType()),
                    ("n_chars", LongType()), *CLASH)
 BENCHMARK = schema(("item_id", LongType()), ("text", StringType()), *CLASH)
 LABELS = schema(("doc_id", LongType()), ("quality", IntegerType()), ("toxic", IntegerType()), *CLASH)
 EMBEDDINGS = schema(("vec_id", LongType()), ("embedding", ArrayType(FloatType())), ("label", IntegerType()))
+CONVERSATIONS = schema(("conv_id", LongType()), ("turn", LongType()), ("role", StringType()), ("text", StringType()), *CLASH)
 
 BASE = " ".join(f"word{i} and{i % 7}" for i in range(120))
 LONG = " ".join(f"w{i * i % 9973} of the" for i in range(9000))
@@ -47,9 +50,20 @@ def odd_documents():
     return [(i, t, lang, src, len(t) if t else None, *["x"] * len(CLASH)) for i, t, lang, src in texts]
 
 
-def write(spark, path, documents=(), benchmark=(), labels=(), embeddings=()):
+def odd_conversations(seed=5, many=60, longest=300):
+    """Every role and fault, nulls, equal turns, repeated rows and one long conversation."""
+    rnd = random.Random(seed)
+    roles, often = ["user", "assistant", "system", "tool", None, "", "User", "u"], [8, 8, 3, 1, 1, 1, 1, 1]
+    texts = ["a.", "b!", "c?", "cut", "dots. no", "", "  ", "e. ", "x.\n", None, "long. one.", "é…", "naïve?\x0b"]
+    rows = [(c, rnd.choice([k, k, k, k, k + rnd.randint(0, 3), None]), rnd.choices(roles, often)[0], rnd.choice(texts))
+            for c in [*range(many), None] for k in range(rnd.choice([1, 1, 2, 3, 5, 9, 14]))]
+    return rows + [(999, k, rnd.choice(roles[:3]), f"t{k % 90}.") for k in range(longest)]
+
+
+def write(spark, path, documents=(), benchmark=(), labels=(), embeddings=(), conversations=()):
     for name, rows, kind in (("documents", documents, DOCUMENTS), ("benchmark", benchmark, BENCHMARK),
-                             ("labels", labels, LABELS), ("embeddings", embeddings, EMBEDDINGS)):
+                             ("labels", labels, LABELS), ("embeddings", embeddings, EMBEDDINGS),
+                             ("conversations", conversations, CONVERSATIONS)):
         spark.createDataFrame(list(rows), kind).write.mode("overwrite").parquet(os.path.join(path, f"{name}.parquet"))
     return path
 
@@ -65,7 +79,8 @@ def odd(spark, tmp_path_factory):
     vectors += [(60, None, 0), (61, [0.0, 0.0, 0.0], 0), (62, [1.0, None, 2.0], 0), (63, [float("nan"), 1.0, 1.0], 0),
                 (64, [float("inf"), 1.0, 1.0], 0), (65, [1.0, 2.0], 0), (None, [1.0, 1.0, 1.0], 0), (20, [3.0, 2.0, 1.0], None),
                 (40, vectors[40][1], 1)]
-    return write(spark, str(tmp_path_factory.mktemp("odd")), odd_documents(), benchmark, labels, vectors)
+    return write(spark, str(tmp_path_factory.mktemp("odd")), odd_documents(), benchmark, labels, vectors,
+                 [(*r, *pad) for r in odd_conversations()])
 
 
 @pytest.fixture(scope="session")
