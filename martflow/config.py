@@ -45,6 +45,7 @@ class Config:
     split_seed: int = 42
     test_fraction: float = 0.2
     sample_size: int = 1000
+    batch_size: int | None = None      # customers in a scored batch; None: all
 
     # --- sinks ---
     table_format: str = "parquet"

@@ -1,15 +1,7 @@
-"""Drift and model monitoring (G1-G10) as grouped Spark jobs.
-
-All features are melted to long form ``(feature, value, side)`` once, so the
-whole drift table is one grouped computation instead of one job per column.
-
-Statistics (definitions from the literature):
-* Wasserstein-1, normed: integral of |F_ref - F_cur| over the value axis,
-  divided by max(std_ref, 0.001) (population std).
-* Jensen-Shannon distance: sqrt of the JS divergence (natural log) of the
-  two category frequency vectors.
-* PSI: sum over reference-quantile bins of (cur% - ref%) * ln(cur% / ref%),
-  with empty bins floored at 0.0001.
+"""Drift and model monitoring (G6-G10) on profiles.
+
+The statistics come from value counts (``profiles``): the reference side is a stored
+profile, the current side the profile of the batch, so a run reads no training rows.
 """
 
 from __future__ import annotations
@@ -19,76 +11,13 @@ from pyspark.sql import functions as F
 
 from martflow.config import DEFAULT, Config
 from martflow.functions.exprs import side_by_side
-from martflow.functions.windows import running_totals
+from martflow.operators import profiles
+from martflow.operators.profiles import WASSERSTEIN_METHOD
 
-# Distance-type method names (drift when value > threshold),
-# the reported method names, and the recommendation labels.
+# Distance-type method names (drift when value > threshold)
+# and the recommendation labels.
 DISTANCE_METHODS = ["wasserstein", "jensen", "jensenshannon", "psi", "earth_mover"]
-WASSERSTEIN_METHOD = "wasserstein_distance_norm"
-JS_METHOD = "jensenshannon"
 RECOMMENDATIONS = ("INVESTIGATE", "CONTINUE_SERVING")
-STD_FLOOR = 0.001
-PSI_FLOOR = 0.0001
-
-
-def melt(df: DataFrame, features: list[str], side: str) -> DataFrame:
-    """(feature, value double, side) rows for every (row, feature)."""
-    arr = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
-                    for f in features])
-    return (df.select(F.explode(arr).alias("kv"))
-            .select("kv.feature", "kv.value", F.lit(side).alias("side")))
-
-
-def value_counts(ref_long: DataFrame, cur_long: DataFrame) -> DataFrame:
-    """(feature, value, n_ref, n_cur) from both sides in one aggregate."""
-    both = ref_long.unionByName(cur_long).filter(F.col("value").isNotNull())
-    return (both.groupBy("feature", "value")
-            .agg(F.sum((F.col("side") == "ref").cast("long")).alias("n_ref"),
-                 F.sum((F.col("side") == "cur").cast("long")).alias("n_cur")))
-
-
-def wasserstein_normed(counts: DataFrame, ref_long: DataFrame) -> DataFrame:
-    """(feature, wasserstein) per feature."""
-    tot = counts.groupBy("feature").agg(F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"))
-    rt = running_totals(counts, ["feature"], "value", ["n_ref", "n_cur"]).join(tot, "feature")
-    gap = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
-    term = F.abs(F.col("cum_n_ref") / F.col("tot_ref") - F.col("cum_n_cur") / F.col("tot_cur")) * gap
-    w = rt.groupBy("feature").agg(F.sum(term).alias("w1"))
-    std = (ref_long.filter(F.col("value").isNotNull()).groupBy("feature")
-           .agg(F.stddev_pop("value").alias("std_ref")))
-    return (w.join(std, "feature")
-            .select("feature", (F.col("w1") / F.greatest(F.col("std_ref"), F.lit(STD_FLOOR)))
-                    .alias("stat_value")))
-
-
-def jensen_shannon(counts: DataFrame) -> DataFrame:
-    """(feature, JS distance) from category frequencies (full outer by value)."""
-    tot = counts.groupBy("feature").agg(F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"))
-    x = counts.join(tot, "feature")
-    p, q = F.col("n_ref") / F.col("tot_ref"), F.col("n_cur") / F.col("tot_cur")
-    m = (p + q) / 2
-
-    def kl(a: Column) -> Column:
-        return F.when(a > 0, a * F.log(a / m)).otherwise(F.lit(0.0))
-    return (x.groupBy("feature").agg(F.sum(0.5 * kl(p) + 0.5 * kl(q)).alias("js"))
-            .select("feature", F.sqrt(F.greatest(F.col("js"), F.lit(0.0))).alias("stat_value")))
-
-
-def psi(ref_long: DataFrame, cur_long: DataFrame, bins: int = 10) -> DataFrame:
-    """Population stability index on reference-quantile bins."""
-    qs = [i / bins for i in range(1, bins)]
-    edges = (ref_long.filter(F.col("value").isNotNull()).groupBy("feature")
-             .agg(F.array_distinct(F.percentile_approx("value", qs, 10000)).alias("_edges")))
-    both = ref_long.unionByName(cur_long).filter(F.col("value").isNotNull()).join(edges, "feature")
-    both = both.withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col("value"))))
-    c = (both.groupBy("feature", "_bin")
-         .agg(F.sum((F.col("side") == "ref").cast("long")).alias("n_ref"),
-              F.sum((F.col("side") == "cur").cast("long")).alias("n_cur")))
-    tot = c.groupBy("feature").agg(F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"))
-    x = c.join(tot, "feature")
-    rp = F.greatest(F.col("n_ref") / F.col("tot_ref"), F.lit(PSI_FLOOR))
-    cp = F.greatest(F.col("n_cur") / F.col("tot_cur"), F.lit(PSI_FLOOR))
-    return x.groupBy("feature").agg(F.sum((cp - rp) * F.log(cp / rp)).alias("stat_value"))
 
 
 def is_drift(method: Column, value: Column, threshold: Column | float) -> Column:
@@ -98,27 +27,10 @@ def is_drift(method: Column, value: Column, threshold: Column | float) -> Column
     return F.when(distance, value > thr).otherwise(value < thr)
 
 
-def drift_table(ref: DataFrame, cur: DataFrame, features: list[str], discrete: list[str],
-                cfg: Config = DEFAULT) -> DataFrame:
-    """(feature, method, stat_value, threshold, drifted) for every feature.
-
-    Continuous features use normed Wasserstein, discrete ones (categorical
-    or <= 5 distinct reference values) Jensen-Shannon."""
-    rl, cl = melt(ref, features, "ref"), melt(cur, features, "cur")
-    counts = value_counts(rl, cl)
-    kinds = (counts.filter(F.col("n_ref") > 0).groupBy("feature")
-             .agg(F.count(F.lit(1)).alias("_k"))
-             .select("feature", (F.col("feature").isin(*discrete) | (F.col("_k") <= 5)).alias("_disc")))
-    c2 = counts.join(kinds, "feature")
-    cont_counts = c2.filter(~F.col("_disc")).drop("_disc")
-    disc_counts = c2.filter(F.col("_disc")).drop("_disc")
-    cont_ref = rl.join(kinds.filter(~F.col("_disc")), "feature", "left_semi")
-    wd = wasserstein_normed(cont_counts, cont_ref) \
-        .withColumn("method", F.lit(WASSERSTEIN_METHOD))
-    js = jensen_shannon(disc_counts).withColumn("method", F.lit(JS_METHOD))
-    out = wd.unionByName(js).select(
-        "feature", "method", F.round("stat_value", 6).alias("stat_value"),
-        F.lit(cfg.drift_threshold).alias("threshold"))
+def drift_table(ref: DataFrame, cur: DataFrame, discrete: list[str], cfg: Config = DEFAULT) -> DataFrame:
+    """(feature, method, stat_value, threshold, drifted) for every feature of the
+    reference profile."""
+    out = profiles.drift(ref, cur, discrete, cfg)
     return out.withColumn("drifted", is_drift(F.col("method"), F.col("stat_value"), cfg.drift_threshold))
 
 
@@ -128,24 +40,22 @@ def drift_overview(table: DataFrame) -> DataFrame:
                      F.count(F.lit(1)).alias("features_tested"))
 
 
-def prediction_drift(ref_scores: DataFrame, cur_scores: DataFrame, col: str = "churn_probability",
-                     cfg: Config = DEFAULT) -> DataFrame:
-    """Normed Wasserstein between reference and current score columns."""
-    rl, cl = melt(ref_scores, [col], "ref"), melt(cur_scores, [col], "cur")
-    w = wasserstein_normed(value_counts(rl, cl), rl)
+def prediction_drift(ref: DataFrame, cur: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Normed Wasserstein between the profiles of two score columns."""
+    counts = profiles.paired(ref, cur)
+    w = profiles.wasserstein(counts, profiles.totals(counts))
     return w.select(F.lit(WASSERSTEIN_METHOD).alias("method"),
                     F.round("stat_value", 4).alias("score"),
                     F.lit(cfg.drift_threshold).alias("threshold")) \
         .withColumn("drift_detected", is_drift(F.col("method"), F.col("score"), cfg.drift_threshold))
 
 
-def model_quality(metrics: DataFrame, cfg: Config = DEFAULT, side: str = "side") -> DataFrame:
-    """Reference vs current AUC / F1 / precision / recall from one metrics
-    table keyed by ``side`` ('ref' / 'cur'); degraded when the relative AUC
-    drop exceeds the threshold."""
+def model_quality(metrics: DataFrame, ref: str, cur: str, cfg: Config = DEFAULT) -> DataFrame:
+    """AUC / F1 / precision / recall of two populations from a metrics table, side by
+    side; degraded when the relative AUC drop exceeds the threshold."""
     cols = ("auc", "f1", "precision", "recall")
-    pick = [F.max(F.when(F.col(side) == s_, F.col(c))).alias(f"{c}_{s_}")
-            for s_ in ("ref", "cur") for c in cols]
+    pick = [F.max(F.when(F.col("population") == pop, F.col(c))).alias(f"{c}_{side}")
+            for side, pop in (("ref", ref), ("cur", cur)) for c in cols]
     drop = (F.col("auc_ref") - F.col("auc_cur")) / F.col("auc_ref")
     return (metrics.agg(*pick).withColumn("auc_drop", drop)
             .withColumn("model_degraded", F.col("auc_drop") > cfg.auc_drop_threshold))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from martflow.config import DEFAULT, Config
-from martflow.functions.exprs import cents
+from martflow.functions.exprs import cents, side_by_side
+from martflow.functions.quantiles import interpolated_quantiles
 
 
 # Action-level thresholds of the explorer sections.
@@ -244,13 +245,12 @@ def action_levels(signals: DataFrame, churn: DataFrame, outliers: DataFrame,
 def churn_statistics(pred: DataFrame) -> DataFrame:
     """Count, mean, interpolated median / p90, > 0.7 and > 0.9 counts."""
     p = F.col("churn_probability")
-    return pred.agg(
-        F.count(F.lit(1)).alias("total_customers"),
-        F.avg(p).alias("avg_probability"),
-        F.percentile(p, 0.5).alias("median_probability"),
-        F.percentile(p, 0.9).alias("p90_probability"),
+    rows = pred.agg(
+        F.count(F.lit(1)).alias("total_customers"), F.avg(p).alias("avg_probability"),
         F.count(F.when(p > 0.7, 1)).alias("high_risk_count"),
         F.count(F.when(p > 0.9, 1)).alias("very_high_risk_count"))
+    middle = interpolated_quantiles(pred, [], "churn_probability", {"median_probability": 0.5, "p90_probability": 0.9})
+    return side_by_side(rows, middle)
 
 
 # ----------------------------------------------------------------- I24

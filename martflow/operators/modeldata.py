@@ -174,17 +174,11 @@ def fixed_sample(df: DataFrame, n: int, key: str = "user_id") -> DataFrame:
     return df.withColumn("_h", sample_hash(key)).orderBy("_h", key).limit(n).drop("_h")
 
 
-# ----------------------------------------------------------------- surrogate scores
-def surrogate_predictions(dataset: DataFrame, cfg: Config = DEFAULT,
-                          ts: F.Column | None = None) -> DataFrame:
-    """Deterministic stand-in for model scores, used where an oracle needs
-    fixed predictions: round(least(days_since_last_order, 400) / 400, 4)."""
-    prob = F.round(F.least(F.col("days_since_last_order"), F.lit(400)) / F.lit(400.0), 4)
-    return dataset.select(
-        "user_id", prob.alias("churn_probability"),
-        (prob >= cfg.decision_threshold).cast("int").alias("predicted_label"),
-        (ts if ts is not None else F.current_timestamp()).alias("prediction_timestamp"),
-        F.lit("surrogate_recency").alias("model_name"), F.lit("0").alias("model_version"))
+# ----------------------------------------------------------------- surrogate score
+def surrogate_score() -> F.Column:
+    """Deterministic stand-in for a model's score, used where a check needs fixed
+    predictions: round(least(days_since_last_order, 400) / 400, 4)."""
+    return F.round(F.least(F.col("days_since_last_order"), F.lit(400)) / F.lit(400.0), 4)
 
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from martflow.functions.exprs import side_by_side
+from martflow.functions.quantiles import exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -289,21 +290,18 @@ def status_distribution(df: DataFrame, table: str) -> DataFrame:
     return df.groupBy("status").agg(F.count(F.lit(1)).alias("count")).withColumn("table", F.lit(table))
 
 
-def numeric_distribution(df: DataFrame, table: str, columns: list[str],
-                         accuracy: int = 1_000_000) -> DataFrame:
-    """Min, max, avg, p1, p99 and non-positive count per numeric column.
-
-    Percentiles are approximate (a bounded-memory sketch per column); the
-    accuracy is high because there are only a handful of groups."""
+def numeric_distribution(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    """Min, max, avg, p1, p99 and non-positive count per numeric column; the
+    percentiles are exact, from refined histograms."""
     st = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
                                        for c in columns])).alias("r")).select("r.*")
+    edges = exact_quantiles(st, ["column"], "value", {"p1": 0.01, "p99": 0.99})
     return (st.groupBy("column")
             .agg(F.min("value").alias("min"), F.max("value").alias("max"),
                  F.round(F.avg("value"), 4).alias("avg"),
-                 F.percentile_approx("value", 0.01, accuracy).alias("p1"),
-                 F.percentile_approx("value", 0.99, accuracy).alias("p99"),
                  F.count(F.when(F.col("value") <= 0, 1)).alias("non_positive"))
-            .withColumn("table", F.lit(table)))
+            .join(edges, "column", "left")
+            .select("column", "min", "max", "avg", "p1", "p99", "non_positive", F.lit(table).alias("table")))
 
 
 def negative_margin_count(products: DataFrame) -> DataFrame:
@@ -468,11 +466,11 @@ def distribution_summary(ds: DataFrame, features: list[str]) -> DataFrame:
     """C17: mean, median, p95, min, max per feature (long form, one job)."""
     st = ds.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
                                        for c in features])).alias("r")).select("r.*")
-    return st.groupBy("feature").agg(
-        F.round(F.avg("value"), 2).alias("mean"),
-        F.round(F.percentile_approx("value", 0.5, 10000), 2).alias("median"),
-        F.round(F.percentile_approx("value", 0.95, 10000), 2).alias("p95"),
-        F.round(F.min("value"), 2).alias("min"), F.round(F.max("value"), 2).alias("max"))
+    middle = exact_quantiles(st, ["feature"], "value", {"median": 0.5, "p95": 0.95})
+    ends = st.groupBy("feature").agg(F.round(F.avg("value"), 2).alias("mean"), F.round(F.min("value"), 2).alias("min"),
+                                     F.round(F.max("value"), 2).alias("max"))
+    return ends.join(middle, "feature", "left").select(
+        "feature", "mean", F.round("median", 2).alias("median"), F.round("p95", 2).alias("p95"), "min", "max")
 
 
 # ----------------------------------------------------------------- C18

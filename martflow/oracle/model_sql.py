@@ -75,36 +75,41 @@ SELECT col_name, value, CAST(row_number() OVER (PARTITION BY col_name ORDER BY v
 FROM ({enc_src}) t"""),
         ("md_encoded", f"""
 SELECT s.user_id, s.churned, s.split, {enc_cols} FROM md_split s {enc_joins}"""),
+        # train and test rows, and the scored batch (every customer) with its known outcomes
         ("md_scored", f"""
-SELECT e.*, p.churn_probability AS score, CASE WHEN e.split = 'train' THEN 'ref' ELSE 'cur' END AS side
-FROM md_encoded e JOIN preds p ON e.user_id = p.user_id"""),
-        # ---- binary metrics per side (surrogate score vs label)
+SELECT e.split AS population, e.user_id, e.churned, p.churn_probability AS score, {', '.join('e.' + c for c in MODEL_FEATURES)}
+FROM md_encoded e JOIN preds p ON e.user_id = p.user_id
+UNION ALL
+SELECT 'batch', p.user_id, a.churned, p.churn_probability, {', '.join('e.' + c for c in MODEL_FEATURES)}
+FROM preds p JOIN md_encoded e ON e.user_id = p.user_id LEFT JOIN fs_dataset a ON a.user_id = p.user_id"""),
+        # ---- binary metrics per population (score vs known outcome)
         ("mq_conf", """
-SELECT side, count(*) AS n, CAST(sum(churned) AS BIGINT) AS positives,
+SELECT population, count(*) AS n, CAST(sum(churned) AS BIGINT) AS positives,
        CAST(sum(churned * CAST(score >= 0.5 AS INTEGER)) AS BIGINT) AS tp,
        CAST(sum((1 - churned) * CAST(score >= 0.5 AS INTEGER)) AS BIGINT) AS fp,
        CAST(sum(churned * (1 - CAST(score >= 0.5 AS INTEGER))) AS BIGINT) AS fn,
        round(-avg(churned * ln(least(greatest(score, 1e-15), 1 - 1e-15))
                   + (1 - churned) * ln(1 - least(greatest(score, 1e-15), 1 - 1e-15))), 6) AS log_loss
-FROM md_scored GROUP BY side"""),
+FROM md_scored WHERE churned IS NOT NULL GROUP BY population"""),
         ("mq_auc", """
-SELECT side, sum(CAST(pos AS HUGEINT) * (2 * (cum_neg - neg) + neg)) AS auc2 FROM (
-  SELECT side, score, pos, neg, sum(neg) OVER (PARTITION BY side ORDER BY score) AS cum_neg
-  FROM (SELECT side, score, CAST(sum(churned) AS BIGINT) AS pos, CAST(sum(1 - churned) AS BIGINT) AS neg
-        FROM md_scored GROUP BY side, score) a) b
-GROUP BY side"""),
+SELECT population, sum(CAST(pos AS HUGEINT) * (2 * (cum_neg - neg) + neg)) AS auc2 FROM (
+  SELECT population, score, pos, neg, sum(neg) OVER (PARTITION BY population ORDER BY score) AS cum_neg
+  FROM (SELECT population, score, CAST(sum(churned) AS BIGINT) AS pos, CAST(sum(1 - churned) AS BIGINT) AS neg
+        FROM md_scored WHERE churned IS NOT NULL GROUP BY population, score) a) b
+GROUP BY population"""),
         ("mq_metrics", f"""
-SELECT c.side, c.n, c.positives,
+SELECT c.population, c.n, c.positives,
        CASE WHEN c.positives > 0 AND c.n - c.positives > 0
             THEN CAST(a.auc2 AS DOUBLE) / (2.0 * c.positives * (c.n - c.positives)) END AS auc,
        CASE WHEN c.tp + c.fp > 0 THEN c.tp / (c.tp + c.fp) ELSE 0.0 END AS precision,
        CASE WHEN c.tp + c.fn > 0 THEN c.tp / (c.tp + c.fn) ELSE 0.0 END AS recall,
        CASE WHEN 2 * c.tp + c.fp + c.fn > 0 THEN 2 * c.tp / (2 * c.tp + c.fp + c.fn) ELSE 0.0 END AS f1,
        c.log_loss, a.auc2, 2 * c.positives * (c.n - c.positives) AS auc_den
-FROM mq_conf c LEFT JOIN mq_auc a ON c.side = a.side"""),
-        # ---- data drift (reference = train split, current = test split)
-        ("dr_long", _melt("(SELECT *, CASE WHEN split = 'train' THEN 'ref' ELSE 'cur' END AS side "
-                          "FROM md_encoded)", MODEL_FEATURES)),
+FROM mq_conf c LEFT JOIN mq_auc a ON c.population = a.population"""),
+        # ---- data drift (reference = train rows, current = batch)
+        ("dr_rows", "SELECT *, CASE WHEN population = 'train' THEN 'ref' ELSE 'cur' END AS side "
+                    "FROM md_scored WHERE population <> 'test'"),
+        ("dr_long", _melt("dr_rows", MODEL_FEATURES)),
         ("dr_counts", """
 SELECT feature, value, CAST(sum(CASE WHEN side = 'ref' THEN 1 ELSE 0 END) AS BIGINT) AS n_ref,
        CAST(sum(CASE WHEN side = 'cur' THEN 1 ELSE 0 END) AS BIGINT) AS n_cur
@@ -128,8 +133,9 @@ SELECT feature, method, round(stat_value, 6) AS stat_value, 0.1 AS threshold,
        round(stat_value, 6) > 0.1 AS drifted
 FROM (SELECT feature, 'wasserstein_distance_norm' AS method, stat_value FROM dr_wd
       UNION ALL SELECT feature, 'jensenshannon' AS method, stat_value FROM dr_js) t"""),
-        # ---- prediction drift (surrogate scores, train vs test)
-        ("pd_long", "SELECT 'churn_probability' AS feature, score AS value, side FROM md_scored"),
+        # ---- prediction drift (scores of the test rows and of the batch)
+        ("pd_long", "SELECT 'score' AS feature, score AS value, CASE WHEN population = 'test' THEN 'ref' ELSE 'cur' END AS side "
+                    "FROM md_scored WHERE population <> 'train'"),
         ("pd_counts", """
 SELECT feature, value, CAST(sum(CASE WHEN side = 'ref' THEN 1 ELSE 0 END) AS BIGINT) AS n_ref,
        CAST(sum(CASE WHEN side = 'cur' THEN 1 ELSE 0 END) AS BIGINT) AS n_cur
@@ -139,16 +145,16 @@ FROM pd_long WHERE value IS NOT NULL GROUP BY feature, value"""),
 SELECT 'wasserstein_distance_norm' AS method, round(stat_value, 4) AS score, 0.1 AS threshold,
        round(stat_value, 4) > 0.1 AS drift_detected FROM pd_w"""),
         ("model_quality", f"""
-SELECT max(CASE WHEN side = 'ref' THEN auc END) AS auc_ref, max(CASE WHEN side = 'ref' THEN f1 END) AS f1_ref,
-       max(CASE WHEN side = 'ref' THEN precision END) AS precision_ref,
-       max(CASE WHEN side = 'ref' THEN recall END) AS recall_ref,
-       max(CASE WHEN side = 'cur' THEN auc END) AS auc_cur, max(CASE WHEN side = 'cur' THEN f1 END) AS f1_cur,
-       max(CASE WHEN side = 'cur' THEN precision END) AS precision_cur,
-       max(CASE WHEN side = 'cur' THEN recall END) AS recall_cur,
-       (max(CASE WHEN side = 'ref' THEN auc END) - max(CASE WHEN side = 'cur' THEN auc END))
-           / max(CASE WHEN side = 'ref' THEN auc END) AS auc_drop,
-       (max(CASE WHEN side = 'ref' THEN auc END) - max(CASE WHEN side = 'cur' THEN auc END))
-           / max(CASE WHEN side = 'ref' THEN auc END) > 0.05 AS model_degraded
+SELECT max(CASE WHEN population = 'test' THEN auc END) AS auc_ref, max(CASE WHEN population = 'test' THEN f1 END) AS f1_ref,
+       max(CASE WHEN population = 'test' THEN precision END) AS precision_ref,
+       max(CASE WHEN population = 'test' THEN recall END) AS recall_ref,
+       max(CASE WHEN population = 'batch' THEN auc END) AS auc_cur, max(CASE WHEN population = 'batch' THEN f1 END) AS f1_cur,
+       max(CASE WHEN population = 'batch' THEN precision END) AS precision_cur,
+       max(CASE WHEN population = 'batch' THEN recall END) AS recall_cur,
+       (max(CASE WHEN population = 'test' THEN auc END) - max(CASE WHEN population = 'batch' THEN auc END))
+           / max(CASE WHEN population = 'test' THEN auc END) AS auc_drop,
+       (max(CASE WHEN population = 'test' THEN auc END) - max(CASE WHEN population = 'batch' THEN auc END))
+           / max(CASE WHEN population = 'test' THEN auc END) > 0.05 AS model_degraded
 FROM mq_metrics"""),
         ("monitoring_summary", """
 SELECT d.features_drifted > 0 AS data_drift_detected, d.features_drifted, d.features_tested,

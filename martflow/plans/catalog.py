@@ -230,7 +230,7 @@ def _e13(p):
 
 
 # ====================================================================== Model data
-from martflow.operators import drift, modeldata as md  # noqa: E402
+from martflow.operators import drift, profiles, modeldata as md  # noqa: E402
 from martflow.oracle.model_sql import MODEL_FEATURES as _MF  # noqa: E402
 
 
@@ -251,13 +251,12 @@ def _f2(p):
 
 @register("encoder_table", 'SELECT col_name AS "column", value, idx AS "index" FROM md_enc')
 def _f3(p):
-    _ = p.model_frame
     return p.encoders
 
 
 @register("encoded_features", "SELECT * FROM md_encoded")
 def _f3b(p):
-    return p.model_frame.drop("score", "side")
+    return p.model_frame
 
 
 @register("train_test_split", "SELECT user_id, churned, split FROM md_split")
@@ -276,7 +275,7 @@ def _f5(p):
 
 
 @register("model_metrics", """
-SELECT side, n, positives, auc, precision, recall, f1, log_loss FROM mq_metrics""")
+SELECT population, n, positives, auc, precision, recall, f1, log_loss FROM mq_metrics""")
 def _f8(p):
     return p.monitoring["metrics"]
 
@@ -289,9 +288,24 @@ def _f11(p):
 
 
 # ====================================================================== Drift
-@register("monitoring_frame", "SELECT user_id, churned, split, side, score, " + ", ".join(_MF) + " FROM md_scored")
+@register("monitoring_frame", "SELECT population, user_id, churned, score, " + ", ".join(_MF) + " FROM md_scored")
 def _g1(p):
-    return p.model_frame.select("user_id", "churned", "split", "side", "score", *_MF)
+    """G1 + G2: train rows, test rows and the scored batch with its known outcomes."""
+    return p.monitoring_frame
+
+
+@register("inference_snapshot", "SELECT user_id, " + ", ".join(_MF) + " FROM md_scored WHERE population = 'batch'")
+def _f12_snapshot(p):
+    """the features that the batch was scored from."""
+    return p.snapshot.drop("prediction_timestamp")
+
+
+@register("baseline_profile", """
+SELECT feature, value, n_ref AS n FROM dr_counts WHERE n_ref > 0
+UNION ALL SELECT feature, value, n_ref FROM pd_counts WHERE n_ref > 0""")
+def _g_baseline(p):
+    """The reference side as stored at training."""
+    return p.baseline
 
 
 @register("drift_table", "SELECT * FROM drift_table")
@@ -329,10 +343,8 @@ SELECT feature, round(sum((cp - rp) * ln(cp / rp)), 6) AS stat_value FROM (
         GROUP BY feature, bin) c) x
 GROUP BY feature""")
 def _g5(p):
-    mf = p.model_frame
-    rl = drift.melt(mf.filter(F.col("side") == "ref"), md.MODEL_FEATURES, "ref")
-    cl = drift.melt(mf.filter(F.col("side") == "cur"), md.MODEL_FEATURES, "cur")
-    return drift.psi(rl, cl).select("feature", F.round("stat_value", 6).alias("stat_value"))
+    return profiles.stability_index(*p.profile_pair(scores=False)).select(
+        "feature", F.round("stat_value", 6).alias("stat_value"))
 
 
 @register("prediction_drift", "SELECT * FROM prediction_drift")
@@ -1002,6 +1014,7 @@ def _a13(p):
 
 # ====================================================================== MLlib
 _TRAINED: dict = {}
+_MODEL = "churn_prediction"
 
 
 def _trained(p):
@@ -1014,35 +1027,104 @@ def _trained(p):
     return _TRAINED[p.key]
 
 
+def _serving(p):
+    """The pipeline with the champion as its scorer, read back from the model folder."""
+    from martflow.operators import ml, serving
+    from martflow.session import scratch_path
+    from martflow.sources.models import ModelFolder
+    res = _trained(p)
+    folder = ModelFolder(p.spark, scratch_path(p.spark, f"models/{p.key}"), _MODEL)
+    if res.served is None:
+        best = ml.best_run(res.metrics).first()
+        folder.promote(folder.register(best["run"], res.models[best["run"]], res.encoders, best["auc"]))
+        res.served = folder
+    return p.with_scorer(serving.champion(folder))
+
+
 @register("model_comparison")
 def _f6_f7(p):
     """F6 + F7: logistic regression and the boosted-tree grid, test metrics."""
     return _trained(p).metrics
 
 
+@register("model_test_rows", """
+SELECT run, count(*) AS n, CAST(sum(churned) AS BIGINT) AS positives, true AS metrics_in_range
+FROM md_split, (VALUES ('lr_baseline'), ('gbt_0.05lr_4d_100est'), ('gbt_0.05lr_6d_200est'), ('gbt_0.1lr_4d_100est'),
+                       ('gbt_0.1lr_6d_200est')) c(run)
+WHERE split = 'test' GROUP BY run""")
+def _f9_rows(p):
+    """every candidate is measured once, on all test rows; AUC, precision, recall and F1 are shares."""
+    shares = [F.col(c).between(0, 1) for c in ("auc", "precision", "recall", "f1")]
+    return _trained(p).metrics.select("run", "n", "positives", (shares[0] & shares[1] & shares[2] & shares[3])
+                                      .alias("metrics_in_range"))
+
+
 @register("best_model")
 def _f9(p):
     from martflow.operators import ml
     return ml.best_run(_trained(p).metrics)
 
 
+@register("champion_entry")
+def _f9_champion(p):
+    """the entry of the version that serves."""
+    _serving(p)
+    return _trained(p).served.champion()
+
+
 @register("feature_importance")
 def _f10(p):
+    """importances of the best boosted tree."""
     from martflow.operators import ml
     res = _trained(p)
-    gbt = sorted(k for k in res.models if k.startswith("gbt_"))[0]
-    return ml.feature_importance(p.spark, res.models[gbt])
+    best = ml.best_run(res.metrics, "gbt_").first()["run"]
+    return ml.feature_importance(p.spark, res.models[best])
 
 
-@register("batch_scores")
+@register("champion_predictions")
 def _f12(p):
-    """score a fixed-size sample of customers with the best model."""
-    from martflow.operators import ml
-    res = _trained(p)
-    best = ml.best_run(res.metrics).select("run").first()[0]
-    sample = md.fixed_sample(p.dataset, p.cfg.sample_size)
-    feats = md.training_set(sample).drop("churned")
-    return ml.batch_score(res.models[best], feats, res.encoders, best, "1", p.cfg)
+    """every customer scored by the champion."""
+    return _serving(p).predictions
+
+
+@register("scored_batch_check", """
+SELECT count(*) AS customers, count(DISTINCT user_id) AS distinct_customers, CAST(0 AS BIGINT) AS not_in_dataset,
+       CAST(0 AS BIGINT) AS probability_out_of_range, CAST(0 AS BIGINT) AS label_off, count(*) AS snapshot_rows,
+       count(churned) AS outcomes_known, 1::BIGINT AS models FROM fs_dataset""")
+def _f12_check(p):
+    """what must hold for any model: each customer scored once, from a recorded snapshot."""
+    from martflow.functions.exprs import side_by_side
+    served = _serving(p)
+    known = p.dataset.select(F.col("user_id").alias("known"), "churned")
+    rows = served.predictions.join(known, F.col("user_id") == F.col("known"), "left").agg(
+        F.count(F.lit(1)).alias("customers"), F.count_distinct("user_id").alias("distinct_customers"),
+        F.count_if(F.col("known").isNull()).alias("not_in_dataset"),
+        F.count_if(~F.col("churn_probability").between(0, 1)).alias("probability_out_of_range"),
+        F.count_if(F.col("predicted_label") != (F.col("churn_probability") >= p.cfg.decision_threshold).cast("int"))
+        .alias("label_off"), F.count("churned").alias("outcomes_known"),
+        F.count_distinct(F.struct("model_name", "model_version")).alias("models"))
+    return side_by_side(rows, served.snapshot.agg(F.count(F.lit(1)).alias("snapshot_rows")))
+
+
+@register("batch_scores")
+def _f12_sample(p):
+    """a fixed-size sample of customers scored by the champion."""
+    from martflow.operators import serving
+    served = _serving(p)
+    rows = md.training_set(md.fixed_sample(p.dataset, p.cfg.sample_size)).drop("churned")
+    return serving.predictions(serving.inference_snapshot(rows, served.scorer.encoders), served.scorer, p.cfg)
+
+
+@register("champion_monitoring")
+def _g10_champion(p):
+    """G7-G10 on the champion's batch."""
+    return _serving(p).monitoring["summary"].drop("timestamp")
+
+
+@register("champion_signals")
+def _h11_champion(p):
+    """H3-H11 with the champion's batch as predictions."""
+    return _serving(p).signals
 
 
 _CUST_TYPES = [("user_id", "id", "BIGINT"), ("first_name", "first_name", "VARCHAR"),

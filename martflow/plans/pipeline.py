@@ -8,6 +8,7 @@ it (and the tables it reads) the first time; nothing else runs a job here.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import threading
 from collections.abc import Mapping
@@ -67,12 +68,13 @@ class Pipeline:
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT,
                  silver_tables: dict[str, DataFrame] | None = None, materialize: bool = True,
-                 run_id: str | None = None):
+                 run_id: str | None = None, scorer=None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.cfg = cfg
         self._silver = silver_tables
         self.materialize = materialize
+        self._scorer = scorer
         self.parallel_writes = 4
         self.key = _input_key(spark, sf_dir, cfg, run_id) if materialize else ""
 
@@ -136,44 +138,104 @@ class Pipeline:
         from martflow.operators.features import FeatureBuilder
         return FeatureBuilder(self.silver, self.cfg)
 
-    # ---------------------------------------------------------- monitoring
+    # ---------------------------------------------------------- model rows and serving
+    def with_scorer(self, scorer) -> "Pipeline":
+        """This pipeline with another scorer: same layers and dataset, own batch and monitoring."""
+        other = copy.copy(self)
+        other._scorer = scorer
+        for name in ("scorer", "snapshot", "predictions", "monitoring_frame", "baseline", "batch_profile", "monitoring", "signals"):
+            other.__dict__.pop(name, None)
+        return other
+
+    @cached_property
+    def scorer(self):
+        from martflow.operators import serving
+        return self._scorer or serving.surrogate()
+
+    @cached_property
+    def encoders(self) -> DataFrame:
+        """encoder table fitted on the train split."""
+        from martflow.operators import modeldata as md
+        return self._table(md.fit_encoders(self._split.filter("split = 'train'")), "encoders")
+
+    @cached_property
+    def _split(self) -> DataFrame:
+        from martflow.operators import modeldata as md
+        return md.train_test_split(md.null_policy(md.training_set(self.dataset)), self.cfg)
+
     @cached_property
     def model_frame(self) -> DataFrame:
-        """Model-ready rows (F1-F4): null policy, split, encoders fitted on
-        the train split; ``side`` = ref (train) / cur (test) and the score."""
-        from pyspark.sql import functions as F
+        """Model-ready rows (F1-F4): null policy, ``split``, encoded categories."""
         from martflow.operators import modeldata as md
-        df = md.train_test_split(md.null_policy(md.training_set(self.dataset)), self.cfg)
-        self.encoders = md.fit_encoders(df.filter(F.col("split") == "train"))
-        df = md.apply_encoders(df, self.encoders)
-        scores = self.predictions.select("user_id", F.col("churn_probability").alias("score"))
-        return self._table(df.join(scores, "user_id")
-                           .withColumn("side", F.when(F.col("split") == "train", "ref").otherwise("cur")),
-                           "model_frame")
+        return self._table(md.apply_encoders(self._split, self.encoders), "model_frame")
 
     @cached_property
-    def monitoring(self) -> dict[str, DataFrame]:
-        """G7-G10 on the model frame: drift table, prediction drift, model
-        quality, one-row summary."""
+    def snapshot(self) -> DataFrame:
+        """The batch's features as the model gets them, written before scoring. A batch is
+        every customer of the dataset, or ``cfg.batch_size`` of them."""
+        from martflow.operators import modeldata as md, serving
+        rows = self.dataset if self.cfg.batch_size is None else md.fixed_sample(self.dataset, self.cfg.batch_size)
+        encoders = self.encoders if self.scorer.encoders is None else self.scorer.encoders
+        return self._table(serving.inference_snapshot(md.training_set(rows).drop("churned"), encoders),
+                           f"inference_features_{self.scorer.key}")
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        """the scored batch, a table that monitoring, signals and explorer read."""
+        from martflow.operators import serving
+        return self._table(serving.predictions(self.snapshot, self.scorer, self.cfg), f"predictions_{self.scorer.key}")
+
+    # ---------------------------------------------------------- monitoring
+    @cached_property
+    def monitoring_frame(self) -> DataFrame:
+        """Train, test and batch rows, scored, with the outcomes known."""
+        from martflow.operators import serving
+        return self._table(serving.monitoring_frame(self.model_frame, self.scorer, self.snapshot, self.predictions,
+                                                    self.dataset.select("user_id", "churned")),
+                           f"monitoring_frame_{self.scorer.key}")
+
+    def _population(self, name: str) -> DataFrame:
         from pyspark.sql import functions as F
-        from martflow.operators import drift, modeldata as md
-        mf = self.model_frame
-        ref, cur = mf.filter(F.col("side") == "ref"), mf.filter(F.col("side") == "cur")
-        table = drift.drift_table(ref, cur, md.MODEL_FEATURES, md.MODEL_CATEGORICAL, self.cfg)
-        pdrift = drift.prediction_drift(ref.select(F.col("score").alias("churn_probability")),
-                                        cur.select(F.col("score").alias("churn_probability")),
-                                        cfg=self.cfg)
-        metrics = md.binary_metrics(mf, label="churned", score="score", group=["side"],
-                                    threshold=self.cfg.decision_threshold)
+        return self.monitoring_frame.filter(F.col("population") == name)
+
+    @cached_property
+    def baseline(self) -> DataFrame:
+        """Profile of the train rows' features and of the test rows' scores, stored at training."""
+        from martflow.operators import modeldata as md, profiles, serving
+        return self._table(profiles.profile(self._population(serving.TRAIN), md.MODEL_FEATURES)
+                           .unionByName(profiles.profile(self._population(serving.TEST), ["score"])),
+                           f"baseline_profile_{self.scorer.key}")
+
+    @cached_property
+    def batch_profile(self) -> DataFrame:
+        from martflow.operators import modeldata as md, profiles, serving
+        return self._table(profiles.profile(self._population(serving.BATCH), [*md.MODEL_FEATURES, "score"]),
+                           f"batch_profile_{self.scorer.key}")
+
+    def profile_pair(self, scores: bool) -> tuple[DataFrame, DataFrame]:
+        """Stored reference profile and batch profile: of the scores or of the features."""
+        from pyspark.sql import functions as F
+        wanted = F.col("feature") == "score" if scores else F.col("feature") != "score"
+        return self.baseline.filter(wanted), self.batch_profile.filter(wanted)
+
+    @cached_property
+    def monitoring(self) -> dict[str, DataFrame]:
+        """Drift of the batch's features against train, of its scores against
+        test, model quality on test and batch, one-row summary."""
+        from martflow.operators import drift, modeldata as md, serving
+        key = self.scorer.key
+        table = drift.drift_table(*self.profile_pair(scores=False), md.MODEL_CATEGORICAL, self.cfg)
+        pdrift = drift.prediction_drift(*self.profile_pair(scores=True), self.cfg)
+        metrics = serving.quality_metrics(self.monitoring_frame, self.cfg)
         # The monitoring outputs are small report tables: written once (like
         # the reference's JSON summary) so consumers do not recompute drift.
         with ThreadPoolExecutor(max_workers=3) as pool:     # independent report jobs
-            ft = pool.submit(self._table, table, "drift_table")
-            fp = pool.submit(self._table, pdrift, "prediction_drift")
-            fm = pool.submit(self._table, metrics, "model_metrics")
+            ft = pool.submit(self._table, table, f"drift_table_{key}")
+            fp = pool.submit(self._table, pdrift, f"prediction_drift_{key}")
+            fm = pool.submit(self._table, metrics, f"model_metrics_{key}")
             table, pdrift, metrics = ft.result(), fp.result(), fm.result()
-        quality = drift.model_quality(metrics, self.cfg)
-        summary = self._table(drift.monitoring_summary(table, pdrift, quality), "monitoring_summary")
+        quality = drift.model_quality(metrics, serving.TEST, serving.BATCH, self.cfg)
+        summary = self._table(drift.monitoring_summary(table, pdrift, quality), f"monitoring_summary_{key}")
         return {"drift_table": table, "prediction_drift": pdrift, "metrics": metrics,
                 "model_quality": quality, "summary": summary}
 
@@ -183,13 +245,6 @@ class Pipeline:
         from martflow.operators.signals import kpi_signals
         return kpi_signals(self.gold, self.predictions, self.cfg)
 
-    @cached_property
-    def predictions(self) -> DataFrame:
-        """Churn scores for the eligible population (deterministic surrogate
-        score; the MLlib path in ``operators.ml`` produces the same schema)."""
-        from martflow.operators.modeldata import surrogate_predictions
-        return surrogate_predictions(self.dataset, self.cfg)
-
     @cached_property
     def dataset(self) -> DataFrame:
         """The churn feature dataset as a table (the run timestamp column is
