@@ -408,16 +408,16 @@ def constraint_report(s: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [rule_report(s[t], t, rules) for t, rules in CONSTRAINTS.items()])
 
 
-def temporal_integrity(silver: dict[str, DataFrame], cutoff: Column) -> DataFrame:
-    """C15 (7): the newest row feeding each feature group is before the cutoff."""
-    o = silver["orders_clean"].filter((F.col("status") != "Cancelled") & (F.col("created_at") < cutoff)) \
-        .agg(F.max("created_at").alias("max_ts")).select(F.lit("orders").alias("source"), "max_ts")
-    i = silver["order_items_clean"].filter((F.col("status") != "Cancelled") & (F.col("created_at") < cutoff)) \
-        .agg(F.max("created_at").alias("max_ts")).select(F.lit("order_items").alias("source"), "max_ts")
-    e = silver["events_clean"].filter(~F.col("is_anonymous") & (F.col("created_at") < cutoff)) \
-        .agg(F.max("created_at").alias("max_ts")).select(F.lit("events").alias("source"), "max_ts")
-    return o.unionByName(i).unionByName(e).withColumn(
-        "passed", F.coalesce(F.col("max_ts") < cutoff, F.lit(True)))
+def temporal_integrity(stamped) -> DataFrame:
+    """C15 (7): of the rows that the feature groups really read (``Stamped``), the newest
+    per source lies before its cutoff (T17)."""
+    def newest(df: DataFrame, source: str) -> DataFrame:
+        late = F.max(F.col("created_at") >= F.col("cutoff"))
+        return df.agg(F.max("created_at").alias("max_ts"), late.alias("late")).select(
+            F.lit(source).alias("source"), "max_ts", (~F.coalesce("late", F.lit(False))).alias("passed"))
+
+    return (newest(stamped.orders, "orders").unionByName(newest(stamped.items, "order_items"))
+            .unionByName(newest(stamped.events, "events")))
 
 
 def feature_validation(fb) -> DataFrame:
@@ -484,7 +484,7 @@ def missing_customer_diagnosis(fb) -> DataFrame:
         F.count(F.when(F.col("created_at") < cutoff, 1)).alias("pre_cutoff_items"),
         F.count(F.lit(1)).alias("all_items"),
         F.min("created_at").alias("first_item_at"), F.max("created_at").alias("last_item_at"))
-    orders = fb.pre_orders.groupBy("user_id").agg(
+    orders = fb.stamped.orders.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("pre_cutoff_orders"),
         F.min("created_at").alias("first_order_at"), F.max("created_at").alias("last_order_at"))
     d = orders.join(items, "user_id", "left").fillna({"pre_cutoff_items": 0, "all_items": 0})

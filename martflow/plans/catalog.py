@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from martflow.operators import gold
+from martflow.operators import facts, gold
 from martflow.oracle.sqlfn import ddiff, gratio as gratio_sql
 from martflow.plans.registry import register
 
@@ -34,32 +34,65 @@ for _name in gold.GOLD_TABLES:
     register(_name, f"SELECT * FROM {_name}")(lambda p, _n=_name: p.g(_n))
 
 
+def _kept(p, name):
+    return facts.kept(p.s(name), p.cfg)
+
+
 @register("order_aggregate", "SELECT * FROM c360_oa")
 def _d2(p):
-    return gold.order_aggregate(p.s("orders_clean"), p.cfg)
+    return gold.ordering(_kept(p, "orders_clean"))
+
+
+@register("purchase_facts", """
+SELECT user_id, product_id, count(order_item_id) AS units, count(sale_price) AS priced,
+       CAST(sum(CAST(round(sale_price * 100) AS BIGINT)) AS BIGINT) AS cents,
+       CAST(sum(CASE WHEN is_returned THEN 1 ELSE 0 END) AS BIGINT) AS returned,
+       min(created_at) AS first_at, max(created_at) AS last_at
+FROM order_items_clean WHERE status <> 'Cancelled' GROUP BY user_id, product_id""")
+def _d3_facts(p):
+    return p.facts["purchases"]
+
+
+@register("session_facts", """
+SELECT user_id, date_trunc('month', created_at)::TIMESTAMP AS event_month, session_id, count(event_id) AS events,
+       min(created_at) AS first_at, max(created_at) AS last_at,
+       count(CASE WHEN event_type = 'home' THEN 1 END) AS home_events,
+       count(CASE WHEN event_type = 'department' THEN 1 END) AS department_events,
+       count(CASE WHEN event_type = 'product' THEN 1 END) AS product_view_events,
+       count(CASE WHEN event_type = 'cart' THEN 1 END) AS cart_events,
+       count(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchase_events,
+       count(CASE WHEN event_type = 'cancel' THEN 1 END) AS cancel_events
+FROM events_clean WHERE NOT is_anonymous GROUP BY user_id, date_trunc('month', created_at), session_id""")
+def _d6_facts(p):
+    return p.facts["session_months"]
 
 
 @register("item_aggregate", """
-SELECT user_id, spend_cents, avg_item_sale_price, distinct_products_purchased,
-       distinct_orders_with_items, returned_item_count, total_items_purchased FROM c360_ia""")
+SELECT user_id, spend_cents AS cents, avg_item_sale_price AS average_price, distinct_products_purchased AS products,
+       distinct_orders_with_items AS baskets, returned_item_count AS returned, total_items_purchased AS units FROM c360_ia""")
 def _d3(p):
-    return gold.item_aggregate(p.s("order_items_clean"), p.cfg)
+    baskets = (facts.baskets(_kept(p, "order_items_clean")).groupBy("user_id").agg(F.count("order_id").alias("baskets")))
+    return (facts.buying(p.facts["purchases"]).join(baskets, "user_id")
+            .withColumn("average_price", gold.average_price(F.col("cents"), F.col("priced"))).drop("priced"))
 
 
 @register("favorite_category", "SELECT * FROM c360_fav")
 def _d4(p):
-    return gold.favorite_category(p.s("order_items_clean"), p.s("products_clean"), p.cfg)
+    return facts.favourite(p.facts["purchases"], p.s("products_clean"))
 
 
 @register("first_to_second_order_gap", "SELECT * FROM c360_gap")
 def _d5(p):
-    return gold.first_to_second_gap(p.s("orders_clean"), p.cfg)
+    return gold.first_to_second_gap(_kept(p, "orders_clean"))
 
 
-@register("event_aggregate", "SELECT * FROM c360_ev")
+@register("event_aggregate", """
+SELECT user_id, total_sessions AS sessions, total_events AS events, last_session_at AS last_at,
+       session_count_30d AS recent_sessions, purchase_events, cart_events, product_view_events FROM c360_ev""")
 def _d6(p):
-    ev = p.s("events_clean")
-    return gold.event_aggregate(ev, gold.max_ts(ev), p.cfg)
+    seen = facts.browsing(facts.whole_sessions(p.facts["session_months"]),
+                          gold.last_days(gold.max_ts(p.s("events_clean")), p.cfg))
+    return seen.drop("home_events", "department_events", "cancel_events")
 
 
 @register("reference_dates", """
@@ -71,15 +104,18 @@ def _d7(p):
 
 
 @register("sales_aggregate", """
-SELECT product_id, units_sold, revenue_cents, avg_selling_price, unique_buyers, first_sold_at,
-       last_sold_at, units_returned FROM pp_sales""")
+SELECT product_id, units_sold AS units, revenue_cents AS cents, avg_selling_price AS average_price, unique_buyers AS buyers,
+       first_sold_at, last_sold_at, units_returned AS returned FROM pp_sales""")
 def _d10(p):
-    return gold.sales_aggregate(p.s("order_items_clean"), p.cfg)
+    return (gold.selling(p.facts["purchases"])
+            .withColumn("average_price", gold.average_price(F.col("cents"), F.col("priced"))).drop("priced"))
 
 
-@register("inventory_aggregate", "SELECT * FROM pp_inv")
+@register("inventory_aggregate", """
+SELECT product_id, total_units_received AS received, total_units_sold_inv AS sold, units_in_stock AS "left", avg_days_to_sell
+FROM pp_inv""")
 def _d11(p):
-    return gold.inventory_aggregate(p.s("inventory_clean"))
+    return p.facts["stock"].select("product_id", "received", "sold", "left", gold.sell_time().alias("avg_days_to_sell"))
 
 
 @register("category_revenue_rank", """
@@ -108,7 +144,7 @@ def _d17(p):
 
 @register("funnel_counts", "SELECT * FROM fa_counts")
 def _d20(p):
-    return gold.funnel_counts(p.s("events_clean"))
+    return gold.funnel_counts(p.facts["session_months"])
 
 
 # ====================================================================== Features
@@ -924,7 +960,7 @@ SELECT 'orders' AS source, max(created_at) AS max_ts, coalesce(max(created_at) <
 UNION ALL SELECT 'order_items', max(created_at), coalesce(max(created_at) < (SELECT cutoff FROM fs_cut), true) FROM fs_pi
 UNION ALL SELECT 'events', max(created_at), coalesce(max(created_at) < (SELECT cutoff FROM fs_cut), true) FROM fs_pe""")
 def _c15b(p):
-    return q.temporal_integrity(p.silver, p.features.cutoff)
+    return q.temporal_integrity(p.features.stamped)
 
 
 @register("dataset_validation", """

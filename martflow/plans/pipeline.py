@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import martflow
 from martflow.config import DEFAULT, FIXTURE_SIGNAL_AS_OF, Config
-from martflow.operators import gold, silver
+from martflow.operators import facts, gold, silver
 from martflow.session import file_status, materialize
 from martflow.sources import bronze, fixtures
 
@@ -115,11 +115,16 @@ class Pipeline:
         return Tables(silver.SILVER_BUILDERS,
                       lambda n: self._table(silver.build(n, self.raw), f"silver_{n}"))
 
+    @cached_property
+    def facts(self) -> "Tables":
+        """Facts that several Gold tables roll up from."""
+        return Tables(facts.FACTS, lambda n: self._table(facts.FACTS[n](self.silver, self.cfg), f"fact_{n}"))
+
     @cached_property
     def gold(self) -> "Tables":
         """The five Gold tables; analytics read them like snapshots."""
         return Tables(gold.GOLD_BUILDERS,
-                      lambda n: self._table(gold.GOLD_BUILDERS[n](self.silver, self.cfg), f"gold_{n}"))
+                      lambda n: self._table(gold.GOLD_BUILDERS[n](self.silver, self.facts, self.cfg), f"gold_{n}"))
 
     def write_layer(self, tables: "Tables") -> None:
         """Write every table of a layer, independent ones as concurrent jobs."""

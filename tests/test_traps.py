@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from helpers import small_silver, ts
 from martflow.config import DEFAULT
-from martflow.operators import features, gold, signals
+from martflow.operators import facts, features, gold, signals
 
 
 def _item(i, user, order, product, price, status="Complete", created="2001-01-10"):
@@ -16,7 +16,7 @@ def test_t5_favourite_category_tie_breaks_on_name(spark):
     s = small_silver(spark,
                      items=[_item(1, 1, 10, 100, 50.0), _item(2, 1, 10, 200, 50.0)],
                      products=[dict(product_id=100, category="Shirts"), dict(product_id=200, category="Jeans")])
-    fav = gold.favorite_category(s["order_items_clean"], s["products_clean"]).collect()
+    fav = facts.favourite(facts.facts(s)["purchases"], s["products_clean"]).collect()
     assert [(r.user_id, r.favorite_category) for r in fav] == [(1, "Jeans")]
 
 
@@ -25,7 +25,7 @@ def test_t6_first_to_second_gap_with_equal_dates_is_zero(spark):
          for i, d in [(1, "2001-01-01"), (2, "2001-01-01"), (3, "2001-02-01")]]
     o.append(dict(order_id=4, user_id=2, status="Complete", created_at=ts("2001-01-05")))
     s = small_silver(spark, orders=o)
-    got = {r.user_id: r.first_to_second_order_days for r in gold.first_to_second_gap(s["orders_clean"]).collect()}
+    got = {r.user_id: r.first_to_second_order_days for r in gold.first_to_second_gap(facts.kept(s["orders_clean"])).collect()}
     assert got == {1: 0, 2: None}
 
 
@@ -34,8 +34,7 @@ def test_t7_fulfillment_keeps_cancelled_items(spark):
                      items=[_item(1, 1, 10, 100, 5.0, status="Cancelled"), _item(2, 1, 11, 100, 7.0)],
                      products=[dict(product_id=100, category="A", distribution_center_id=1, cost=1.0)],
                      dcs=[dict(distribution_center_id=1, name="DC1")])
-    fm = gold.fulfillment_metrics(s["order_items_clean"], s["products_clean"],
-                                  s["distribution_centers_clean"]).collect()
+    fm = gold.fulfillment_metrics(s).collect()
     assert fm[0].items_fulfilled == 2 and fm[0].total_revenue == 12.0
 
 
@@ -48,8 +47,7 @@ def test_t9_t10_turnover_null_when_no_stock_and_negative_days_since_sale(spark):
                      products=[dict(product_id=100, category="A", distribution_center_id=1),
                                dict(product_id=200, category="A", distribution_center_id=1)],
                      dcs=[dict(distribution_center_id=1, name="DC1")])
-    ih = {r.product_id: r for r in gold.inventory_health(s["inventory_clean"], s["products_clean"],
-                                                         s["distribution_centers_clean"]).collect()}
+    ih = {r.product_id: r for r in gold.inventory_health(s, facts.facts(s)).collect()}
     sold_out = ih[100]
     assert sold_out.turnover_rate is None            # no stock -> null (T9)
     assert sold_out.days_of_supply == 0 and sold_out.reorder_signal is True
@@ -60,8 +58,7 @@ def test_t9_t10_turnover_null_when_no_stock_and_negative_days_since_sale(spark):
 def test_t11_inventory_health_drops_products_without_inventory(spark):
     s = small_silver(spark, products=[dict(product_id=1, category="A", distribution_center_id=1)],
                      dcs=[dict(distribution_center_id=1, name="DC1")])
-    assert gold.inventory_health(s["inventory_clean"], s["products_clean"],
-                                 s["distribution_centers_clean"]).count() == 0
+    assert gold.inventory_health(s, facts.facts(s)).count() == 0
 
 
 def _events(user, month_days):
@@ -76,7 +73,7 @@ def _events(user, month_days):
 def test_t12_t13_mom_bridges_gaps_and_conversion_is_capped(spark):
     ev = _events(1, ["2001-01-05", "2001-01-05", "2001-03-02", "2001-03-03"])
     s = small_silver(spark, events=ev)
-    fa = sorted(gold.funnel_analytics(s["events_clean"]).collect(), key=lambda r: r.event_month)
+    fa = sorted(gold.funnel_analytics(facts.facts(s)).collect(), key=lambda r: r.event_month)
     assert [r.sessions for r in fa] == [1, 2]
     assert fa[1].sessions_mom_change == 1               # Jan -> Mar, February gap bridged
     assert fa[0].session_to_purchase_rate == 1.0         # 2 purchases in 1 session, capped
@@ -84,7 +81,7 @@ def test_t12_t13_mom_bridges_gaps_and_conversion_is_capped(spark):
 
 def test_t15_units_returned_not_coalesced(spark):
     s = small_silver(spark, products=[dict(product_id=1, category="A", cost=1.0)])
-    pp = gold.product_performance(s["products_clean"], s["order_items_clean"], s["inventory_clean"]).first()
+    pp = gold.product_performance(s, facts.facts(s)).first()
     assert pp.units_sold == 0 and pp.units_returned is None
 
 
