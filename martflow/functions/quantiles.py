@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from martflow.session import scratch_path
 
-CUTS = 64
+CUTS = 128
 #: Of the sketch that proposes cuts; it decides how fast ranges shrink, never the result.
-ACCURACY = 1000
+ACCURACY = 2000
 
 
 def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]],

@@ -27,10 +27,10 @@ def is_drift(method: Column, value: Column, threshold: Column | float) -> Column
     return F.when(distance, value > thr).otherwise(value < thr)
 
 
-def drift_table(ref: DataFrame, cur: DataFrame, discrete: list[str], cfg: Config = DEFAULT) -> DataFrame:
+def drift_table(counts: DataFrame, discrete: list[str], cfg: Config = DEFAULT) -> DataFrame:
     """(feature, method, stat_value, threshold, drifted) for every feature of the
-    reference profile."""
-    out = profiles.drift(ref, cur, discrete, cfg)
+    reference profile, from paired profiles."""
+    out = profiles.drift(counts, discrete, cfg)
     return out.withColumn("drifted", is_drift(F.col("method"), F.col("stat_value"), cfg.drift_threshold))
 
 
@@ -40,9 +40,8 @@ def drift_overview(table: DataFrame) -> DataFrame:
                      F.count(F.lit(1)).alias("features_tested"))
 
 
-def prediction_drift(ref: DataFrame, cur: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Normed Wasserstein between the profiles of two score columns."""
-    counts = profiles.paired(ref, cur)
+def prediction_drift(counts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Normed Wasserstein between the paired profiles of two score columns."""
     w = profiles.wasserstein(counts, profiles.totals(counts))
     return w.select(F.lit(WASSERSTEIN_METHOD).alias("method"),
                     F.round("stat_value", 4).alias("score"),

@@ -2,7 +2,7 @@
 
 A fact has one row per pair that would otherwise need a distinct count: a
 customer's purchases of a product, a customer's baskets (orders with items), a visitor's
-sessions (per month), an order's lines of a product in a month. Rolling up then counts rows,
+sessions (per month), an order's lines per centre and month. Rolling up then counts rows,
 so no plan multiplies its input for several distinct counts (Expand), and
 the same fact serves the customer, product, month and cutoff side. ``keys`` names
 what a fact is kept per besides its own pair, e.g. (cutoff, user_id).
@@ -80,13 +80,13 @@ def stock(inventory: DataFrame) -> DataFrame:
         F.min(F.when(~out, F.col("created_at"))).alias("oldest_left_at"))
 
 
-def shipments(items: DataFrame, sla_days: int) -> DataFrame:
-    """One row per product, month, order and delivery days (cancelled items are kept, T7)."""
-    waited = F.datediff("delivered_at", "created_at")
-    shipped = F.datediff("shipped_at", "created_at")
-    return items.groupBy("product_id", month_start("created_at").alias("order_month"), "order_id", waited.alias("wait")).agg(
+def shipments(lines: DataFrame, by: list[str], sla_days: int) -> DataFrame:
+    """One row per group and order (cancelled items are kept, T7)."""
+    waited, shipped = F.datediff("delivered_at", "created_at"), F.datediff("shipped_at", "created_at")
+    return lines.groupBy(*by, "order_id").agg(
         F.count("order_item_id").alias("units"), F.count("delivered_at").alias("delivered"),
-        count_if(waited <= sla_days).alias("on_time"), F.sum(shipped).alias("ship_days"), F.count(shipped).alias("ship_n"),
+        count_if(waited <= sla_days).alias("on_time"), F.sum(waited).alias("wait_days"),
+        F.sum(shipped).alias("ship_days"), F.count(shipped).alias("ship_n"),
         count_if(F.col("is_returned")).alias("returned"), F.sum(cents("sale_price")).alias("cents"))
 
 
@@ -116,10 +116,11 @@ def favourite(bought: DataFrame, products: DataFrame, by=CUSTOMER, out: str = "f
     return per_category.groupBy(*by).agg(F.min_by("category", best).alias(out))
 
 
-def median_wait(sent: DataFrame, by: list[str]) -> DataFrame:
+def median_wait(lines: DataFrame, by: list[str]) -> DataFrame:
     """Median of delivery days per group: least number of days that half of the delivered
     units do not exceed. Exact; a group's window holds a row per different number of days."""
-    per_days = sent.where(F.col("wait").isNotNull()).groupBy(*by, "wait").agg(F.sum("delivered").alias("n"))
+    wait = F.datediff("delivered_at", "created_at").alias("wait")
+    per_days = lines.where(F.col("delivered_at").isNotNull()).groupBy(*by, wait).agg(F.count(F.lit(1)).alias("n"))
     group = Window.partitionBy(*by)
     upto = F.sum("n").over(group.orderBy("wait"))
     return (per_days.withColumn("reached", 2 * upto >= F.sum("n").over(group)).where("reached")

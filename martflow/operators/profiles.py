@@ -79,13 +79,13 @@ def jensen_shannon(counts: DataFrame, per_feature: DataFrame) -> DataFrame:
             .select("feature", F.sqrt(F.greatest(F.col("js"), F.lit(0.0))).alias("stat_value")))
 
 
-def stability_index(ref: DataFrame, cur: DataFrame, bins: int = 10) -> DataFrame:
+def stability_index(counts: DataFrame, bins: int = 10) -> DataFrame:
     """Population stability index over bins cut at exact quantiles of the reference."""
     ranks = {str(k): discrete_rank(k / bins) for k in range(1, bins)}
-    edges = order_statistics(ref, ["feature"], "value", ranks, weight="n").groupBy("feature").agg(
+    edges = order_statistics(counts, ["feature"], "value", ranks, weight="n_ref").groupBy("feature").agg(
         F.collect_set("value").alias("edges"))                              # bins - 1 values at most
     place = F.size(F.filter("edges", lambda e: e < F.col("value")))
-    binned = (paired(ref, cur).join(edges, "feature").groupBy("feature", place.alias("bin"))
+    binned = (counts.join(edges, "feature").groupBy("feature", place.alias("bin"))
               .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur")))
     sums = binned.groupBy("feature").agg(F.sum("n_ref").alias("all_ref"), F.sum("n_cur").alias("all_cur"))
     r = F.greatest(F.col("n_ref") / F.col("all_ref"), F.lit(PSI_FLOOR))
@@ -93,10 +93,9 @@ def stability_index(ref: DataFrame, cur: DataFrame, bins: int = 10) -> DataFrame
     return binned.join(sums, "feature").groupBy("feature").agg(F.sum((c - r) * F.log(c / r)).alias("stat_value"))
 
 
-def drift(ref: DataFrame, cur: DataFrame, discrete: list[str], cfg: Config = DEFAULT) -> DataFrame:
-    """(feature, method, stat_value, threshold) for every feature of the reference
-    profile: frequencies for discrete features, distances for the rest."""
-    counts = paired(ref, cur)
+def drift(counts: DataFrame, discrete: list[str], cfg: Config = DEFAULT) -> DataFrame:
+    """(feature, method, stat_value, threshold) for every feature that the reference
+    has in ``paired`` counts: frequencies for discrete features, distances for the rest."""
     per_feature = totals(counts).where(F.col("ref_values") > 0)
     by_frequency = F.col("feature").isin(*discrete) | (F.col("ref_values") <= DISCRETE_VALUES)
     few, many = per_feature.where(by_frequency), per_feature.where(~by_frequency)

@@ -379,7 +379,7 @@ SELECT feature, round(sum((cp - rp) * ln(cp / rp)), 6) AS stat_value FROM (
         GROUP BY feature, bin) c) x
 GROUP BY feature""")
 def _g5(p):
-    return profiles.stability_index(*p.profile_pair(scores=False)).select(
+    return profiles.stability_index(p.counts(scores=False)).select(
         "feature", F.round("stat_value", 6).alias("stat_value"))
 
 

@@ -148,7 +148,7 @@ class Pipeline:
         """This pipeline with another scorer: same layers and dataset, own batch and monitoring."""
         other = copy.copy(self)
         other._scorer = scorer
-        for name in ("scorer", "snapshot", "predictions", "monitoring_frame", "baseline", "batch_profile", "monitoring", "signals"):
+        for name in ("scorer", "snapshot", "predictions", "monitoring_frame", "baseline", "batch_profile", "paired", "monitoring", "signals"):
             other.__dict__.pop(name, None)
         return other
 
@@ -217,11 +217,16 @@ class Pipeline:
         return self._table(profiles.profile(self._population(serving.BATCH), [*md.MODEL_FEATURES, "score"]),
                            f"batch_profile_{self.scorer.key}")
 
-    def profile_pair(self, scores: bool) -> tuple[DataFrame, DataFrame]:
-        """Stored reference profile and batch profile: of the scores or of the features."""
+    @cached_property
+    def paired(self) -> DataFrame:
+        """Stored reference profile and batch profile side by side, written once for all statistics."""
+        from martflow.operators import profiles
+        return self._table(profiles.paired(self.baseline, self.batch_profile), f"paired_profile_{self.scorer.key}")
+
+    def counts(self, scores: bool) -> DataFrame:
+        """Paired counts of the scores or of the features."""
         from pyspark.sql import functions as F
-        wanted = F.col("feature") == "score" if scores else F.col("feature") != "score"
-        return self.baseline.filter(wanted), self.batch_profile.filter(wanted)
+        return self.paired.filter(F.col("feature") == "score" if scores else F.col("feature") != "score")
 
     @cached_property
     def monitoring(self) -> dict[str, DataFrame]:
@@ -229,15 +234,17 @@ class Pipeline:
         test, model quality on test and batch, one-row summary."""
         from martflow.operators import drift, modeldata as md, serving
         key = self.scorer.key
-        table = drift.drift_table(*self.profile_pair(scores=False), md.MODEL_CATEGORICAL, self.cfg)
-        pdrift = drift.prediction_drift(*self.profile_pair(scores=True), self.cfg)
         metrics = serving.quality_metrics(self.monitoring_frame, self.cfg)
-        # The monitoring outputs are small report tables: written once (like
-        # the reference's JSON summary) so consumers do not recompute drift.
-        with ThreadPoolExecutor(max_workers=3) as pool:     # independent report jobs
+        # Independent jobs run side by side; the reports are small tables, written once (like
+        # a summary file) so consumers do not recompute drift.
+        with ThreadPoolExecutor(max_workers=3) as pool:
+            fm = pool.submit(self._table, metrics, f"model_metrics_{key}")
+            for side in [pool.submit(getattr, self, name) for name in ("baseline", "batch_profile")]:
+                side.result()
+            table = drift.drift_table(self.counts(scores=False), md.MODEL_CATEGORICAL, self.cfg)
+            pdrift = drift.prediction_drift(self.counts(scores=True), self.cfg)
             ft = pool.submit(self._table, table, f"drift_table_{key}")
             fp = pool.submit(self._table, pdrift, f"prediction_drift_{key}")
-            fm = pool.submit(self._table, metrics, f"model_metrics_{key}")
             table, pdrift, metrics = ft.result(), fp.result(), fm.result()
         quality = drift.model_quality(metrics, serving.TEST, serving.BATCH, self.cfg)
         summary = self._table(drift.monitoring_summary(table, pdrift, quality), f"monitoring_summary_{key}")

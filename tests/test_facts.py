@@ -1,5 +1,7 @@
 """Facts roll up to the same numbers as direct aggregates, without Expand."""
 
+from datetime import datetime, timedelta
+
 import pytest
 from helpers import rows, silver_df, small_silver, ts
 from pyspark.sql import functions as F
@@ -42,9 +44,10 @@ def test_a_session_over_a_months_end_counts_once_and_null_ids_not_at_all(spark):
 
 @pytest.mark.parametrize("days", [[3], [1, 9], [5, 1, 3], [2] * 7 + [40] * 6, [0, 0, 1, 1, 1, 8]])
 def test_median_wait_is_exact(spark, days):
-    sent = spark.createDataFrame([("m", d, 1) for d in days] + [("m", None, 0), ("none", None, 0)],
-                                 "g string, wait int, delivered long")
-    got = {r["g"]: r["median_days"] for r in facts.median_wait(sent, ["g"]).collect()}
+    start = datetime(2001, 1, 1)
+    lines = [("m", start, start + timedelta(days=d)) for d in days] + [("m", start, None), ("none", start, None)]
+    lines = spark.createDataFrame(lines, "g string, created_at timestamp_ntz, delivered_at timestamp_ntz")
+    got = {r["g"]: r["median_days"] for r in facts.median_wait(lines, ["g"]).collect()}
     assert got == {"m": sorted(days)[(len(days) + 1) // 2 - 1]}
 
 

@@ -38,14 +38,14 @@ def test_rank_sum_auc_matches_mllib_evaluator(spark):
 def test_drift_of_a_table_with_itself_is_zero(spark):
     df = spark.createDataFrame([(float(i % 17), i % 3) for i in range(500)], "x double, k int")
     side = profiles.profile(df, ["x", "k"])
-    t = drift.drift_table(side, side, []).collect()
+    t = drift.drift_table(profiles.paired(side, side), []).collect()
     assert all(r.stat_value == 0.0 and not r.drifted for r in t)
 
 
 def test_wasserstein_of_a_shift_is_the_shift_over_std(spark):
     ref = spark.createDataFrame([(float(i),) for i in range(100)], "x double")
     cur = spark.createDataFrame([(float(i) + 2.0,) for i in range(100)], "x double")
-    r = drift.drift_table(profiles.profile(ref, ["x"]), profiles.profile(cur, ["x"]), []).first()
+    r = drift.drift_table(profiles.paired(profiles.profile(ref, ["x"]), profiles.profile(cur, ["x"])), []).first()
     std = (sum((i - 49.5) ** 2 for i in range(100)) / 100) ** 0.5
     assert abs(r.stat_value - round(2.0 / std, 6)) < 1e-6 and r.method == "wasserstein_distance_norm"
 

@@ -70,7 +70,7 @@ def test_merged_profiles_are_the_profile_of_the_union(spark):
 def test_drift_of_profiles_by_hand(spark):
     x, y = _frame(spark, 1, 700), _frame(spark, 3, 400)
     names = ["a", "b", "c", "d"]
-    got = {r["feature"]: r for r in profiles.drift(profiles.profile(x, names), profiles.profile(y, names), ["b"]).collect()}
+    got = {r["feature"]: r for r in profiles.drift(profiles.paired(profiles.profile(x, names), profiles.profile(y, names)), ["b"]).collect()}
     assert {k: r["method"] for k, r in got.items()} == {
         "a": profiles.WASSERSTEIN_METHOD, "b": profiles.JS_METHOD, "c": profiles.JS_METHOD, "d": profiles.JS_METHOD}
     ref, cur = ([r["a"] for r in t.collect()] for t in (x, y))
@@ -92,7 +92,7 @@ def test_drift_plan_joins_no_melted_rows(spark):
     """The plan reads both sides as counts: rows are melted below an aggregate only."""
     x, y = _frame(spark, 1, 50), _frame(spark, 2, 50)
     ref = profiles.profile(x, ["a", "b"])
-    plan = profiles.drift(ref, profiles.profile(y, ["a", "b"]), ["b"])._jdf.queryExecution().optimizedPlan().toString()
+    plan = profiles.drift(profiles.paired(ref, profiles.profile(y, ["a", "b"])), ["b"])._jdf.queryExecution().optimizedPlan().toString()
     lines = plan.splitlines()
     for k, line in enumerate(lines):
         if "Generate explode" in line:
