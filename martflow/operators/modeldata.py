@@ -6,6 +6,7 @@ model path are fitted model parameters (see ``ml``).
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from martflow.config import DEFAULT, Config
 from martflow.functions.windows import running_totals
+from martflow.session import scratch_path
 from martflow.operators.features import ALL_FEATURES, CATEGORICAL, METADATA
 
 GAP_FEATURE = "first_to_second_order_days"
@@ -49,12 +51,26 @@ def null_policy(df: DataFrame, numeric: list[str] = MODEL_NUMERIC,
 # ----------------------------------------------------------------- F3
 def fit_encoders(df: DataFrame, categorical: list[str] = MODEL_CATEGORICAL) -> DataFrame:
     """Encoder table (column, value, index): index = position of the value in
-    sorted order, like a label encoder. Built in one job over all columns."""
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-        for c in categorical])).alias("kv")).select("kv.column", "kv.value").distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return stacked.withColumn("index", (F.row_number().over(w) - 1).cast("int"))
+    sorted order, like a label encoder, one pass over all columns.
+
+    The distinct values are range-partitioned and written in order (``place`` is
+    the partition and the row in it); a range then numbers its values from the count of
+    those in earlier ranges, so no column is sorted or numbered in one task. The
+    window runs over a row per range and column."""
+    spark = df.sparkSession
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                for c in categorical]))
+    values = (df.select(cells.alias("kv")).select("kv.column", "kv.value").distinct()
+              .repartitionByRange("column", "value").sortWithinPartitions("column", F.asc_nulls_first("value"))
+              .withColumn("place", F.monotonically_increasing_id()))
+    path = scratch_path(spark, f"dictionary/{uuid.uuid4().hex}")
+    values.write.parquet(path)
+    values = spark.read.schema(values.schema).parquet(path).withColumn("part", F.shiftright("place", 33))
+    earlier = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (values.groupBy("column", "part").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+              .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
+    return (values.join(starts, ["column", "part"])
+            .select("column", "value", (F.col("before") + F.col("place") - F.col("first")).cast("int").alias("index")))
 
 
 def apply_encoders(df: DataFrame, encoders: DataFrame,

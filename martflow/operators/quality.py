@@ -205,23 +205,30 @@ def sentinel_counts(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
 
 
 # ----------------------------------------------------------------- C3, C4, C5
-def fk_orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str,
-               relation: str, ignore_null_keys: bool) -> DataFrame:
-    """Orphan rows of one relation: (relation, child_rows, orphans, orphan_pct, passed).
-
-    Bronze form (C3) counts NULL keys as orphans; Silver form (C4) ignores
-    them. Parent side is key-only and de-duplicated (a semi-join build)."""
-    keys = parent.select(F.col(parent_key).alias("_pk")).distinct()
-    c = child.select(F.col(child_key).alias("_ck"))
-    if ignore_null_keys:
-        c = c.filter(F.col("_ck").isNotNull())
-    orphans = c.join(keys, c["_ck"] == keys["_pk"], "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
-    total = child.agg(F.count(F.lit(1)).alias("child_rows"))
-    return (side_by_side(total, orphans)
-            .select(F.lit(relation).alias("relation"), "child_rows", "orphans",
-                    F.round(F.col("orphans") * 100 / F.greatest(F.col("child_rows"), F.lit(1)), 2)
-                    .alias("orphan_pct"),
-                    (F.col("orphans") == 0).alias("passed")))
+def fk_orphans(children: list[tuple[DataFrame, str, str]], parent: DataFrame, parent_key: str,
+               ignore_null_keys: bool) -> DataFrame:
+    """Orphan rows of all relations to one parent, ``children`` being (table, key,
+    relation): (relation, child_rows, orphans, orphan_pct, passed).
+
+    Bronze form (C3) counts NULL keys as orphans; Silver form (C4) ignores them. Keys of the
+    parent and of all children meet in one aggregate per key (one exchange, combined before it, so a hot
+    key is a row per task); NULL keys are counted beside it and never shuffled."""
+    kind = parent.schema[parent_key].dataType
+    met = parent.select(F.col(parent_key).alias("key"), F.lit(-1).alias("child"))
+    for i, (df, key, _) in enumerate(children):
+        met = met.unionByName(df.select(F.col(key).cast(kind).alias("key"), F.lit(i).alias("child")))
+    per_key = met.where(F.col("key").isNotNull()).groupBy("key").agg(
+        F.max(F.col("child") == -1).alias("known"), *[F.count_if(F.col("child") == i).alias(f"n{i}") for i in range(len(children))])
+    lost = per_key.where(~F.col("known")).agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"lost{i}")
+                                                for i in range(len(children))])
+    sizes = [df.agg(F.count(F.lit(1)).alias(f"rows{i}"), F.count_if(F.col(key).isNull()).alias(f"null{i}"))
+             for i, (df, key, _) in enumerate(children)]
+    rows = F.array(*[F.struct(F.lit(name).alias("relation"), F.col(f"rows{i}").alias("child_rows"),
+                              (F.col(f"lost{i}") + (F.lit(0) if ignore_null_keys else F.col(f"null{i}"))).alias("orphans"))
+                     for i, (_, _, name) in enumerate(children)])
+    share = F.round(F.col("orphans") * 100 / F.greatest(F.col("child_rows"), F.lit(1)), 2)
+    return (side_by_side(lost, *sizes).select(F.explode(rows).alias("r")).select("r.*")
+            .select("relation", "child_rows", "orphans", share.alias("orphan_pct"), (F.col("orphans") == 0).alias("passed")))
 
 
 # The relations checked by the reference.
@@ -238,14 +245,15 @@ SILVER_FKS = [("orders_clean", "user_id", "customers_clean", "user_id"),
 
 
 def fk_report(tables: dict[str, DataFrame], fks: list[tuple], ignore_null_keys: bool) -> DataFrame:
-    parts = [fk_orphans(tables[c], ck, tables[p], pk, f"{c}.{ck} -> {p}.{pk}", ignore_null_keys)
-             for c, ck, p, pk in fks]
+    parents = dict.fromkeys((p, pk) for _, _, p, pk in fks)
+    parts = [fk_orphans([(tables[c], ck, f"{c}.{ck} -> {p}.{pk}") for c, ck, p2, pk2 in fks if (p2, pk2) == (p, pk)],
+                        tables[p], pk, ignore_null_keys) for p, pk in parents]
     return reduce(DataFrame.unionByName, parts)
 
 
 def event_user_orphans(events: DataFrame, users: DataFrame, user_key: str = "id") -> DataFrame:
     """Events with a non-null user that is not a known user."""
-    return fk_orphans(events, "user_id", users, user_key, "events.user_id (non-null) -> users", True)
+    return fk_orphans([(events, "user_id", "events.user_id (non-null) -> users")], users, user_key, True)
 
 
 # ----------------------------------------------------------------- C6

@@ -70,6 +70,10 @@ def standardize(col: str | Column, mapping: dict[str, str] = COUNTRY_FIXES) -> C
     return out
 
 
+#: Columns that a builder hands through where its input has them (see ``quarantine``).
+CARRIED = ("_uncast", "_source_row")
+
+
 def conform(df: DataFrame, schema: StructType, exprs: dict[str, Column] | None = None) -> DataFrame:
     """Select exactly ``schema``'s columns, each try_cast to its declared type;
     ``exprs`` supplies derived/renamed columns by target name."""
@@ -78,7 +82,7 @@ def conform(df: DataFrame, schema: StructType, exprs: dict[str, Column] | None =
     for f in schema.fields:
         e = exprs.get(f.name, F.col(f.name))
         cols.append(e.try_cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    return df.select(*cols, *[c for c in CARRIED if c in df.columns])
 
 
 def clean_customers(users: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ sources (A*). Names describe the result, not an id.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from martflow.operators import facts, gold
@@ -1180,3 +1182,82 @@ def _t25(p):
     """Malformed source values turned NULL by try_cast (users -> customers)."""
     from martflow.operators.silver import SILVER_SCHEMAS
     return q.cast_failures(p.raw["users"], "customers_clean", SILVER_SCHEMAS["customers_clean"], {"user_id": "id"})
+
+
+# ---- quarantine: the raw tables as text, a value of every 101st key made unreadable
+_BAD = 101
+_TYPED = {t: [c for c, is_str in cols if not is_str] for t, cols in RAW_COLUMNS.items()}
+
+
+def _as_text(p, source):
+    """Raw table with all values as text; row key % 101 = k spoils its k-th typed column."""
+    raw, typed = p.raw[source], _TYPED[source]
+    spoilt = {c: F.when(F.col(PK[source]) % _BAD == typed.index(c), F.concat(F.lit("?"), F.col(c).cast("string")))
+              .otherwise(F.col(c).cast("string")) for c in typed}
+    return raw.select(*[(spoilt[c] if c in spoilt else F.col(c)).alias(c) for c in raw.columns])
+
+
+def _quarantined(p, name):
+    from martflow.operators import quarantine
+    from martflow.session import scratch_path
+    source = _SOURCES[name]
+    judged = quarantine.judge(_as_text(p, source), name, p.raw[source].schema)
+    return quarantine.split(judged, name, scratch_path(p.spark, f"quarantine/{p.key}/{uuid.uuid4().hex}/{name}"))
+
+
+_SOURCES = _SILVER_SRC
+_HIT = {t: " OR ".join(f"(r.{PK[t]} % {_BAD} = {k} AND r.{c} IS NOT NULL)" for k, c in enumerate(cols))
+        for t, cols in _TYPED.items()}
+
+
+def _quarantine_sql(name: str) -> str:
+    source = _SOURCES[name]
+    broken = " OR ".join(f"({r.violation})" for r in q.CONSTRAINTS.get(name, [])) or "false"
+    key = {"customers_clean": "user_id", "orders_clean": "order_id", "order_items_clean": "order_item_id",
+           "products_clean": "product_id", "inventory_clean": "inventory_item_id", "events_clean": "event_id",
+           "distribution_centers_clean": "distribution_center_id"}[name]
+    hit = f"(SELECT r.{PK[source]} AS k FROM b_{source} r WHERE {_HIT[source]})"
+    return (f"SELECT '{name}' AS \"table\", count(CASE WHEN coalesce({broken}, false) OR {key} IN {hit} THEN NULL ELSE 1 END) "
+            f"AS accepted, count(CASE WHEN coalesce({broken}, false) OR {key} IN {hit} THEN 1 END) AS rejected FROM {name}")
+
+
+@register("quarantine_counts", " UNION ALL ".join(_quarantine_sql(n) for n in _SOURCES))
+def _c10_quarantine(p):
+    """C10 + T25 + A3: all seven tables read as text, accepted and rejected rows."""
+    parts = []
+    for name in _SOURCES:
+        accepted, rejected = _quarantined(p, name)
+        parts.append(side_by_side(accepted.agg(F.count(F.lit(1)).alias("accepted")),
+                                  rejected.agg(F.count(F.lit(1)).alias("rejected")))
+                     .select(F.lit(name).alias("table"), "accepted", "rejected"))
+    return md.union_all(parts)
+
+
+@register("quarantine_type_reasons", " UNION ALL ".join(
+    f"SELECT '{n}' AS \"table\", 'type:{c}' AS reason, count(*) AS rows FROM b_{t} r "
+    f"WHERE r.{PK[t]} % {_BAD} = {k} AND r.{c} IS NOT NULL HAVING count(*) > 0"
+    for n, t in _SOURCES.items() for k, c in enumerate(_TYPED[t])))
+def _t25_all(p):
+    """T25 for all seven tables: rejected rows per column that did not cast."""
+    from martflow.operators import quarantine
+    rejected = md.union_all([_quarantined(p, name)[1] for name in _SOURCES])
+    return quarantine.reasons(rejected).where(F.col("reason").startswith("type:"))
+
+
+@register("quarantine_replay", " UNION ALL ".join(
+    f"SELECT '{n}' AS \"table\", count(CASE WHEN {_HIT[t]} THEN 1 END) AS replayed, "
+    f"CAST(0 AS BIGINT) AS still_malformed FROM b_{t} r" for n, t in _SOURCES.items()))
+def _c10_replay(p):
+    """Rejected rows with an unreadable value, mended (the mark taken off) and judged again."""
+    from martflow.operators import quarantine
+
+    def mend(rows):
+        return rows.select(*[F.regexp_replace(c, "^[?]", "").alias(c) for c in rows.columns])
+
+    parts = []
+    for name in _SOURCES:
+        malformed = _quarantined(p, name)[1].where(F.exists("broken", lambda b: b.startswith("type:")))
+        again = quarantine.replay(malformed, name, p.raw[_SOURCES[name]].schema, mend)
+        parts.append(again.agg(F.count(F.lit(1)).alias("replayed"), F.count_if(F.exists(
+            "broken", lambda b: b.startswith("type:"))).alias("still_malformed")).withColumn("table", F.lit(name)))
+    return md.union_all(parts)
