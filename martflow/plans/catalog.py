@@ -1261,3 +1261,79 @@ def _c10_replay(p):
         parts.append(again.agg(F.count(F.lit(1)).alias("replayed"), F.count_if(F.exists(
             "broken", lambda b: b.startswith("type:"))).alias("still_malformed")).withColumn("table", F.lit(name)))
     return md.union_all(parts)
+
+
+# ---- many cutoffs: backtest
+_BACKTEST_LABELS = """
+SELECT c.cutoff, o.user_id,
+       CAST(CASE WHEN max(CASE WHEN o.created_at >= c.cutoff THEN 1 ELSE 0 END) = 1 THEN 0 ELSE 1 END AS INTEGER) AS churned
+FROM orders_clean o, (VALUES """ + ", ".join(f"(DATE '{c}')" for c in SNAPSHOT_CUTOFFS) + """) c(cutoff)
+WHERE o.status <> 'Cancelled' AND CAST(o.created_at AS DATE) <= c.cutoff + 90
+GROUP BY c.cutoff, o.user_id HAVING max(CASE WHEN o.created_at < c.cutoff THEN 1 ELSE 0 END) = 1"""
+_BACKTEST_ROWS = f"""
+SELECT l.cutoff, l.churned, round(least(f.days_since_last_order, 400) / 400.0, 4) AS score
+FROM ({_BACKTEST_LABELS}) l JOIN feature_snapshots f ON f.user_id = l.user_id AND f.event_timestamp = CAST(l.cutoff AS TIMESTAMP)"""
+
+
+def _backtest(p):
+    from martflow.operators import backtest
+    return p._table(backtest.dataset(p.silver, SNAPSHOT_CUTOFFS, p.cfg), "backtest_dataset")
+
+
+@register("backtest_labels", f"SELECT CAST(cutoff AS TIMESTAMP) AS cutoff, user_id, churned FROM ({_BACKTEST_LABELS}) t")
+def _e7_many(p):
+    """E7 at many cutoffs in one pass over the orders."""
+    from martflow.operators import backtest
+    return backtest.labels(p.silver, SNAPSHOT_CUTOFFS, p.cfg).withColumn("cutoff", F.col("cutoff").cast("timestamp_ntz"))
+
+
+@register("backtest_dataset", f"""
+SELECT CAST(l.cutoff AS TIMESTAMP) AS cutoff, l.user_id, l.churned, {', '.join('f.' + c for c in FEATURE_COLS)}
+FROM ({_BACKTEST_LABELS}) l JOIN feature_snapshots f ON f.user_id = l.user_id AND f.event_timestamp = CAST(l.cutoff AS TIMESTAMP)""")
+def _e9_many(p):
+    """E9 at many cutoffs: labels and features with the cutoff as a column."""
+    return _backtest(p).withColumn("cutoff", F.col("cutoff").cast("timestamp_ntz"))
+
+
+@register("backtest_metrics", f"""
+SELECT CAST(c.cutoff AS TIMESTAMP) AS cutoff, c.n, c.positives, CAST(a.auc2 AS DOUBLE) / (2.0 * c.positives * (c.n - c.positives)) AS auc,
+       CASE WHEN c.tp + c.fp > 0 THEN c.tp / (c.tp + c.fp) ELSE 0.0 END AS precision,
+       CASE WHEN c.positives > 0 THEN c.tp / c.positives ELSE 0.0 END AS recall
+FROM (SELECT cutoff, count(*) AS n, CAST(sum(churned) AS BIGINT) AS positives,
+             CAST(sum(churned * CAST(score >= 0.5 AS INTEGER)) AS BIGINT) AS tp,
+             CAST(sum((1 - churned) * CAST(score >= 0.5 AS INTEGER)) AS BIGINT) AS fp FROM ({_BACKTEST_ROWS}) r GROUP BY cutoff) c
+JOIN (SELECT cutoff, sum(CAST(pos AS HUGEINT) * (2 * (upto - neg) + neg)) AS auc2 FROM (
+        SELECT cutoff, score, pos, neg, sum(neg) OVER (PARTITION BY cutoff ORDER BY score) AS upto
+        FROM (SELECT cutoff, score, CAST(sum(churned) AS BIGINT) AS pos, CAST(sum(1 - churned) AS BIGINT) AS neg
+              FROM ({_BACKTEST_ROWS}) r GROUP BY cutoff, score) g) s GROUP BY cutoff) a ON a.cutoff = c.cutoff""")
+def _f4_by_time(p):
+    """F4 by time + F8: metrics of the surrogate score per cutoff."""
+    from martflow.operators import backtest
+    found = backtest.metrics(_backtest(p), lambda df: df.withColumn("score", md.surrogate_score()), p.cfg)
+    return found.select(F.col("cutoff").cast("timestamp_ntz").alias("cutoff"), "n", "positives", "auc", "precision", "recall")
+
+
+@register("backtest_walk_forward")
+def _f4_walk(p):
+    """F4 by time + F6: logistic regression on closed cutoffs, tested on the next."""
+    from martflow.operators import backtest, ml
+    return backtest.walk_forward(_backtest(p), ml.logistic_regression(100), p.cfg)
+
+
+# ---- key-bucketed feature store
+def _store(p, until: list[str]):
+    from martflow.operators.featurestore import FeatureStore
+    from martflow.session import scratch_path
+    store = FeatureStore(p.spark, scratch_path(p.spark, f"features/{p.key}/{uuid.uuid4().hex}"))
+    store.append(_snapshots(p))
+    for t in until:
+        store.materialize(t)
+    return store
+
+
+@register("feature_store_latest", "SELECT user_id, " + ", ".join(FEATURE_COLS)
+          + """, event_timestamp FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_timestamp DESC) AS rn FROM feature_snapshots) t WHERE rn = 1""")
+def _e12_store(p):
+    """Latest features after three incremental steps, a bucket rewritten only for new rows."""
+    return _store(p, [f"{c} 00:00:00" for c in SNAPSHOT_CUTOFFS]).latest().drop("bucket")
