@@ -18,6 +18,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -85,6 +86,21 @@ def staged_map(spark: SparkSession, df: DataFrame, fn: Callable, schema: str, ro
         spark.conf.set(key, before)
 
 
+#: Columns of documents that pipeline stages read; all others only pass through.
+STAGE_COLUMNS = ("doc_id", "text", "source")
+
+
+def keeps_columns(step: Callable) -> Callable:
+    """A pipeline stage whose other columns may have any names: inside the stage they
+    have names of their own, behind it those that they came with."""
+    @wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inside = {c: f"user_{k}" for k, c in enumerate(docs.columns) if c not in STAGE_COLUMNS}
+        out = step(spark, docs.withColumnsRenamed(inside), sf_dir)
+        return out.withColumnsRenamed({k: c for c, k in inside.items()})
+    return run
+
+
 # ---------------------------------------------------------------- text chunks
 def text_chunks(col: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Whole texts of an Arrow column, some at a time: (first row, end row,

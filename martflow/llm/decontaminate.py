@@ -33,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martflow.llm.common import (ALNUM, LOWER, ByteHash, map_arrow, ngram_hash, ranges, read_table, scratch,
-                                 text_chunks, word_spans)
+from martflow.llm.common import (ALNUM, LOWER, keeps_columns, map_arrow, ngram_hash,
+                                 ranges, read_table, scratch, text_chunks, word_spans, ByteHash)
 from martflow.llm.tokens import _fs as filesystem
 
 WINDOW = 10
@@ -308,6 +308,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({f"dc_{n}": n for n in COLUMNS})
 
 
+@keeps_columns
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark window go."""
     found = contamination(spark, docs, read_table(spark, sf_dir, "benchmark"), docs.columns)

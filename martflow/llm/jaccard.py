@@ -43,8 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martflow.llm.common import (LOWER, NONSPACE, ByteHash, map_arrow, mix64, ngram_hash, ranges, read_table, stage,
-                                 text_chunks, word_spans)
+from martflow.llm.common import (LOWER, NONSPACE, keeps_columns, map_arrow, mix64, ngram_hash,
+                                 ranges, read_table, stage, text_chunks, word_spans, ByteHash)
 from martflow.llm.components import components
 
 SHINGLE = 5
@@ -575,6 +575,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+@keeps_columns
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, that with the
     smallest doc_id (ties by a hash of the text); documents without words all stay."""

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from martflow.llm.common import read_table, stage
+from martflow.llm.common import keeps_columns, read_table, stage
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3.0
@@ -170,6 +170,7 @@ def op8_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("mx_copies").alias("copies"))
 
 
+@keeps_columns
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it."""
     columns = docs.columns

@@ -158,10 +158,18 @@ def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def best_of(q: np.ndarray, v: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per query the ids and exact scores of its ``most`` best vectors."""
+    """Per query the ids and exact scores of its ``most`` best vectors by (exact score, smaller id)."""
     most = min(most, len(ids))
     score = q @ v.T
     pick = np.argpartition(-score, most - 1, axis=1)[:, :most] if most < len(ids) else np.tile(np.arange(most), (len(q), 1))
+    if most < len(ids):
+        # Where more vectors reach the cut than are taken, as far as the product's rounding
+        # can tell, the exact scores and the ids decide.
+        cut = np.take_along_axis(score, pick, axis=1).min(axis=1)
+        near = score >= (cut - 1e-9 * (1 + np.abs(cut)))[:, None]
+        for k in np.flatnonzero(near.sum(axis=1) > most):
+            at = np.flatnonzero(near[k])
+            pick[k] = at[np.lexsort((ids[at], -exact_scores(q[k], v[at])))[:most]]
     exact = exact_scores(np.repeat(q, most, axis=0), v[pick.ravel()]).reshape(pick.shape)
     return ids[pick], exact
 

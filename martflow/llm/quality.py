@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from martflow.llm.common import ALNUM, NONSPACE, ByteHash, map_arrow, ngram_hash, read_table, text_chunks
+from martflow.llm.common import (ALNUM, NONSPACE, keeps_columns, map_arrow,
+                                 ngram_hash, read_table, text_chunks, ByteHash)
 
 BITS = 18
 MAX_TRAIN = 8000
@@ -147,6 +148,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("qc_score") >= 0.5).cast("int").alias("predicted"))
 
 
+@keeps_columns
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
     w = train(spark, docs, read_table(spark, sf_dir, "labels"))

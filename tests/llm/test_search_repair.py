@@ -7,7 +7,11 @@ import pytest
 from brute_repair import repair_all
 from llm_small import SMALL, odd_conversations, run, table, words
 
-from martflow.llm import convrepair, impactsearch, lexical
+from martflow.llm import convrepair, impactsearch, lexical, neighbours
+from martflow.llm.decontaminate import decontaminate
+from martflow.llm.jaccard import near_duplicate_stage
+from martflow.llm.mixing import mix_stage
+from martflow.llm.quality import quality_stage
 
 
 # ------------------------------------------------------------------ op11
@@ -162,3 +166,32 @@ def test_shard_keeps_the_best():
             theta = float(exact[order[-1]])
             assert shard.best(q, 6, theta)[0].tolist() == order.tolist()
             assert len(shard.best(q, 6, exact.max() + 1.0)[0]) == 0
+
+
+# ------------------------------------------------------------------ op10, stages
+def test_neighbours_with_equal_scores_go_by_id(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(0, 2, 12)] + [1.0]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.search(spark, df, reach=10**6).collect():         # every block is in reach
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    v = np.array([r[1] for r in rows])
+    for q, found in got.items():
+        s = v @ v[q]
+        order = [i for i in np.lexsort((np.arange(len(v)), -s)) if i != q][:neighbours.TOP]
+        assert sorted(found) == [(k, int(i), float(s[i])) for k, i in enumerate(order, 1)]
+    assert len(got) == 75
+
+
+@pytest.mark.parametrize("stage", [quality_stage, near_duplicate_stage, decontaminate, mix_stage])
+def test_stages_return_clashing_columns_unchanged(spark, odd, stage):
+    names = ["qc_score", "dc_contaminated", "mx_size", "mx_source", "jk", "jk_id", "li_lang", "user_0", "a.b"]
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    marked = docs.select("doc_id", "text", "source", *[(docs["doc_id"] * 10 + k).alias(n) for k, n in enumerate(names)])
+    out = stage(spark, marked, odd)
+    assert out.columns == marked.columns
+    kept = out.collect()
+    assert kept
+    for r in kept:
+        assert [r[n] for n in names] == [None if r["doc_id"] is None else r["doc_id"] * 10 + k for k in range(len(names))]
