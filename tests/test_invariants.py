@@ -19,7 +19,7 @@ def test_layer_counts_and_sums(pipe):
 
 def test_no_feature_row_reads_past_the_cutoff(pipe):
     from martflow.operators import quality as q
-    assert all(r.passed for r in q.temporal_integrity(pipe.silver, pipe.features.cutoff).collect())
+    assert all(r.passed for r in q.temporal_integrity(pipe.features.stamped).collect())
 
 
 def test_signal_periods_are_two_distinct_months(pipe):
