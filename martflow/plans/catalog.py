@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from martflow.operators import facts, gold
 from martflow.oracle.sqlfn import ddiff, gratio as gratio_sql
 from martflow.plans.registry import register
+from martflow.session import scratch_path
 
 # ====================================================================== Silver
 for _name in ("customers_clean", "orders_clean", "order_items_clean", "products_clean",
@@ -149,6 +150,37 @@ def _d20(p):
     return gold.funnel_counts(p.facts["session_months"])
 
 
+def _two_loads(p):
+    """Monthly Gold after a first load and a second one that brings the newest months, late rows of an
+    earlier month and corrections of rows sent before."""
+    from martflow.plans.incremental import STORED, MonthlyGold
+    store = MonthlyGold(p.spark, scratch_path(p.spark, f"monthly-{uuid.uuid4().hex}"), p.cfg)
+    newest, earlier = F.col("created_at") >= ntz("2001-04-15"), F.col("created_at") >= ntz("2001-03-01")
+    for load in (0, 1):
+        for name, (silver_name, key) in STORED.items():
+            rows = p.s(silver_name)
+            again = earlier & ~newest & (F.col(key) % 5 == 0)
+            if load:
+                rows = rows.where(newest | again)
+            else:
+                rows = rows.where(~newest & ~(again & (F.col(key) % 10 == 0)))
+                wrong = {"delivered_at": F.lit(None).cast("timestamp_ntz")} if name == "lines" else {"event_type": F.lit("home")}
+                rows = rows.withColumns({c: F.when(again, v).otherwise(F.col(c)) for c, v in wrong.items()})
+            store.append(name, rows, load)
+        store.refresh(p.s("products_clean"), p.s("distribution_centers_clean"))
+    return store
+
+
+@register("fulfillment_refreshed", "SELECT * FROM fulfillment_metrics")
+def _d16_refreshed(p):
+    return _two_loads(p).table("fulfillment_metrics")
+
+
+@register("funnel_refreshed", "SELECT * FROM funnel_analytics")
+def _d19_refreshed(p):
+    return _two_loads(p).table("funnel_analytics")
+
+
 # ====================================================================== Features
 from martflow.oracle.features_sql import FEATURE_COLS  # noqa: E402
 from martflow.operators import asof, features  # noqa: E402
