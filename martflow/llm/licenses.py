@@ -4,8 +4,9 @@ Texts are normalised to lower-cased words with one space between. A notice of
 length n may be changed by k = n // EDIT_EVERY edits. Split into k + 1
 pieces, at least one piece of any such variant is unchanged (pigeonhole), so
 exact occurrences of the pieces locate every candidate. The regex library
-matches the notice with at most k edits inside each candidate and gives the
-span and its edits. Exact places of a notice are counted at its first piece.
+matches the notice with at most k edits inside each candidate's own window, in which two notices
+cannot stand side by side, and gives the span and its edits. Of overlapping spans of one notice the
+one with the fewest edits counts, then the first. Exact places of a notice are counted at its first piece.
 
 Everything happens in one pass over the texts on the executors, without a
 shuffle. Whole texts are searched.
@@ -17,6 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import cache
 
 import numpy as np
@@ -33,6 +35,7 @@ MORE = (("gnu general public license", "gpl"), ("gnu lesser general public licen
         ("mozilla public license", "mpl"), ("bsd 3 clause license", "bsd"),
         ("creative commons attribution", "cc-by"))
 EDIT_EVERY = 10
+LINE = regex.compile(rb"[^\n]+")
 
 
 class Notice:
@@ -86,28 +89,33 @@ class Scan:
 
     def _search(self, k: int, n: Notice):
         raw, size = self.raw, len(n.text)
-        windows = []
-        for i, (x, piece) in enumerate(n.pieces):
-            for at in _places(raw, piece):
-                a = at - x
-                if i == 0 and raw[a - 1:a + size + 1] == b" " + n.text + b" ":
-                    yield self._row(k, a, a + size, 0)
-                windows.append((a - n.edits, a + size + n.edits))
+        exact = {at for at in _places(raw, n.text) if raw[at - 1:at] == b" " == raw[at + size:at + size + 1]}
+        yield from (self._row(k, at, at + size, 0) for at in exact)
         if not n.edits:
             return
-        windows.sort()
-        merged: list[list[int]] = []
-        for a, b in windows:
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            a, b = max(a - 1, 0), min(b + 1, len(raw))
-            for line in regex.finditer(rb"[^\n]+", raw, pos=a, endpos=b):
+        aligned = {at - x for x, piece in n.pieces for at in _places(raw, piece)} - exact
+        spans = {(0, at, at + size) for at in exact}
+        for at in aligned:
+            a, b = max(at - n.edits - 1, 0), min(at + size + n.edits + 1, len(raw))
+            for line in LINE.finditer(raw, a, b):
                 for m in n.pattern.finditer(raw, line.start(), line.end()):
-                    if sum(m.fuzzy_counts):
-                        yield self._row(k, m.start(), m.end(), sum(m.fuzzy_counts))
+                    spans.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        for edits, x, y in apart(spans):
+            if edits:
+                yield self._row(k, x, y, edits)
+
+
+def apart(spans: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (edits, start, end) that overlap no better one."""
+    starts, ends, kept = [], [], []
+    for span in sorted(spans):
+        i = bisect_left(starts, span[2])                 # spans that begin before this one's end
+        if i and ends[i - 1] > span[1]:
+            continue
+        starts.insert(i, span[1])
+        ends.insert(i, span[2])
+        kept.append(span)
+    return kept
 
 
 def _labels(ks) -> str:
