@@ -19,6 +19,10 @@ anywhere else. Three Spark jobs:
    alignment of its windows to the anchor, which equal windows share. A
    fragment has fewer than 2 * LENGTH bytes, which bounds the rounds whatever the
    texts' lengths. Windows whose common prefix with a neighbour is LENGTH bytes are duplicates.
+   An anchor with more than PART_BYTES of different fragments is split first: windows whose distance
+   to the anchor lies in one half of the range share the bytes around the anchor that all of these
+   windows hold, so equal windows stay together when they are dealt by a digest of those bytes; halves are halved again
+   until a part fits, is alone, or holds windows of one distance, which are then equal as a whole.
 3. The duplicate windows of each text are joined to it and cut out.
 
 Texts are known by a 64-bit hash of doc_id and text, fragments by 64-bit
@@ -32,6 +36,7 @@ allowed; empty tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +50,7 @@ ANCHOR = 50
 WINDOWS = LENGTH - ANCHOR + 1       # anchors to choose from, and most windows in a fragment
 SYMBOL = 8                          # bytes; divides LENGTH
 COLLECTION_BYTES = 60_000           # whole anchors up to this; few enough for 16-bit symbols
+PART_BYTES = 4 << 20                # most bytes gathered in one collection
 CHUNK = 1 << 20
 SPOOL_BYTES = 64 << 20
 
@@ -301,17 +307,17 @@ def repeated_windows(raw: np.ndarray, offs: np.ndarray, anchor: np.ndarray) -> t
 
 
 def _collections(batches):
-    """Fragments sorted by anchor -> duplicate windows (key, start, w)."""
+    """Fragments sorted by part -> duplicate windows (key, start, w)."""
 
     def solve(t: pa.Table):
         raw = t.column("bytes").combine_chunks().cast(pa.large_binary())
         offs = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
         data = np.frombuffer(raw.buffers()[2], np.uint8)[offs[0]:offs[-1]]
         offs = offs - offs[0]
-        a, key, begin = (t.column(x).to_numpy() for x in ("a", "key", "start"))
-        heads = np.append(np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))), len(a))
+        g, a, key, begin = (t.column(x).to_numpy() for x in ("g", "a", "key", "start"))
+        heads = np.append(np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))), len(g))
         lo = 0
-        while lo < len(heads) - 1:                 # whole anchors, as many as fit
+        while lo < len(heads) - 1:                 # whole parts, as many as fit
             hi = max(lo + 1, int(np.searchsorted(offs[heads], offs[heads[lo]] + COLLECTION_BYTES, "right")) - 1)
             x, y = heads[lo], heads[hi]
             frag, start = repeated_windows(data[offs[x]:offs[y]], offs[x:y + 1] - offs[x], a[x:y])
@@ -325,8 +331,8 @@ def _collections(batches):
     for b in batches:
         t = pa.Table.from_batches([b])
         t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-        a = t.column("a").to_numpy()
-        cut = int(np.searchsorted(a, a[-1])) if len(a) else 0                  # the last anchor may go on
+        g = t.column("g").to_numpy()
+        cut = int(np.searchsorted(g, g[-1])) if len(g) else 0                  # the last part may go on
         if cut:
             yield from solve(t.slice(0, cut))
         held = t.slice(cut)
@@ -341,16 +347,69 @@ def _cut(batches):
             asked = b.column("asked").slice(lo, hi - lo)
             n = pa.compute.list_value_length(asked).to_numpy()
             flat = asked.flatten()
-            a, s, w = (flat.field(x).to_numpy() for x in ("a", "start", "w"))
+            g, a, s, w = (flat.field(x).to_numpy() for x in ("g", "a", "start", "w"))
             owner = np.repeat(np.arange(hi - lo), n)
             begin, size = offs[owner] + s, w + LENGTH - 1
             raw = buf[ranges(begin, size)]
             cuts = np.concatenate(([0], np.cumsum(size)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a), b.column("key").slice(lo, hi - lo).take(pa.array(owner)), pa.array(s),
+                [pa.array(g), pa.array(a), b.column("key").slice(lo, hi - lo).take(pa.array(owner)), pa.array(s),
                  pa.Array.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(cuts.astype(np.int64).tobytes()),
                                                                   pa.py_buffer(raw.tobytes())]).cast(pa.binary())],
-                names=["a", "key", "start", "bytes"])
+                names=["g", "a", "key", "start", "bytes"])
+
+
+_PART = "g long, a long, lo long, hi long, key long, start long, w long"
+
+
+def _halve(batches):
+    """Fragments of parts (distances lo .. hi - 1 to the anchor) -> fragments of the parts' halves."""
+    for b in batches:
+        for lo, hi, buf, offs in text_chunks(b.column("text"), CHUNK):
+            asked = b.column("asked").slice(lo, hi - lo)
+            n = pa.compute.list_value_length(asked).to_numpy()
+            flat = asked.flatten()
+            g, a, near, far, start, w = (flat.field(x).to_numpy() for x in ("g", "a", "lo", "hi", "start", "w"))
+            owner = np.repeat(np.arange(hi - lo), n)
+            key = b.column("key").slice(lo, hi - lo).to_numpy()[owner]
+            h = ByteHash(buf)
+            # The anchor's place: its first occurrence from the fragment's first window on.
+            tried = np.minimum(w + WINDOWS - 1, offs[owner + 1] - offs[owner] - start - ANCHOR + 1)
+            at = np.repeat(offs[owner] + start, tried) + ranges(np.zeros(len(tried), np.int64), tried)
+            hit = np.flatnonzero(h.spans(at, at + ANCHOR).view(np.int64) == np.repeat(a, tried))
+            place = at[hit[np.searchsorted(hit, np.cumsum(tried) - tried)]] - offs[owner]
+            middle = (near + far) // 2
+            for x, y in ((near, middle), (middle, far)):
+                first = np.maximum(start, place - y + 1)              # windows begin at place - distance
+                end = np.minimum(start + w, place - x + 1)
+                some = np.flatnonzero(end > first)
+                o = offs[owner[some]]
+                core = h.spans(o + (place - x)[some], o + (place - y)[some] + 1 + LENGTH)
+                part = mix64(mix64(core ^ g[some].view(np.uint64)) + x[some].astype(np.uint64))
+                yield pa.RecordBatch.from_pydict({
+                    "g": part.view(np.int64), "a": a[some], "lo": x[some], "hi": y[some], "key": key[some],
+                    "start": first[some], "w": (end - first)[some]})
+
+
+def _parted(spark: SparkSession, docs: DataFrame, parts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Parts that fit PART_BYTES, and (key, start, w) of windows of one distance that are equal as a whole.
+    A round halves the distances of the parts that do not fit; there are 8 at most."""
+    def sizes(parts):
+        return parts.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("w") + LENGTH - 1).alias("bytes"),
+                                      F.max(F.col("hi") - F.col("lo")).alias("span"))
+
+    columns, large = ["g", "a", "key", "start", "w"], F.col("bytes") > PART_BYTES
+    big = stage(spark, sizes(parts).where(large), "substring-parts")             # a row per PART_BYTES of input at most
+    fit, equal = [parts.join(big, "g", "left_anti").select(columns)], []
+    parts = parts.join(big, "g")
+    while not (wide := parts.where(large & (F.col("span") > 1))).isEmpty():
+        asked = (wide.groupBy("key")
+                 .agg(F.collect_list(F.struct("g", "a", "lo", "hi", "start", "w")).alias("asked")))   # bounded by the text's length
+        halves = stage(spark, map_arrow(spark, docs.select("key", "text").join(asked, "key"), _halve, _PART), "substring-halves")
+        parts = halves.join(stage(spark, sizes(halves).where("n > 1"), "substring-parts"), "g")
+        fit.append(parts.where(~large).select(columns))
+        equal.append(parts.where(large & (F.col("span") == 1)).select("key", "start", "w"))
+    return reduce(DataFrame.union, fit), equal
 
 
 def duplicate_windows(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -369,11 +428,16 @@ def duplicate_windows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     dealt = places.where("kind = 2").drop("kind").repartition("a").sortWithinPartitions("a", "f", "w")
     met = stage(spark, map_arrow(spark, dealt, _classify, f"kind long, {_ROW}", 20_000), "substring-fragments")
     met = met.union(places.where("kind = 0"))
-    asked = (met.where("kind = 1").groupBy("key")
-             .agg(F.collect_list(F.struct("a", "start", "w")).alias("asked")))     # bounded by the text's length
-    cut = map_arrow(spark, docs.select("key", "text").join(asked, "key"), _cut, "a long, key long, start long, bytes binary")
-    some = map_arrow(spark, cut.repartition("a").sortWithinPartitions("a"), _collections, "key long, start long, w long")
-    return met.where("kind = 0").select("key", "start", "w").union(stage(spark, some, "substring-windows"))
+    several = met.where("kind = 1").select(F.col("a").alias("g"), "a", F.lit(0).cast("long").alias("lo"),
+                                           F.lit(WINDOWS).cast("long").alias("hi"), "key", "start", "w")
+    fit, equal = _parted(spark, docs, several)
+    asked = (fit.groupBy("key")
+             .agg(F.collect_list(F.struct("g", "a", "start", "w")).alias("asked")))     # bounded by the text's length
+    cut = map_arrow(spark, docs.select("key", "text").join(asked, "key"), _cut,
+                    "g long, a long, key long, start long, bytes binary")
+    some = map_arrow(spark, cut.repartition("g").sortWithinPartitions("g"), _collections, "key long, start long, w long")
+    return reduce(DataFrame.union, equal, met.where("kind = 0").select("key", "start", "w")
+                  .union(stage(spark, some, "substring-windows")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

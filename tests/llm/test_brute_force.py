@@ -1,6 +1,8 @@
 """Operators against brute-force versions on the smallest and on odd tables."""
 
 import hashlib
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -79,8 +81,8 @@ def test_jaccard_components(spark, folder):
     assert Counter(map(tuple, run(spark, "op4_jaccard_join", folder))) == want
 
 
-def test_suffix_dedup(spark, folder):
-    docs = [(i, (t or "").encode()) for i, t in docs_of(spark, folder)]
+def _deduped(docs):
+    """op7's rows of (doc_id, bytes)."""
     seen = Counter(b[k:k + 200] for _, b in docs for k in range(len(b) - 199))
     want = Counter()
     for i, b in docs:
@@ -91,9 +93,39 @@ def test_suffix_dedup(spark, folder):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         spans = int((gone[:-1] & ~np.concatenate(([False], gone[:-2]))).sum()) if b else 0
         want[(i, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest())] += 1
+    return want
+
+
+def test_suffix_dedup(spark, folder):
+    want = _deduped([(i, (t or "").encode()) for i, t in docs_of(spark, folder)])
     assert Counter(map(tuple, run(spark, "op7_suffix_dedup", folder))) == want
 
 
+@pytest.mark.parametrize("limit", [1500, 20_000])
+def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch, limit):
+    """A passage of 150 or 190 bytes in many texts, whose surroundings are shared by some: parts of few bytes."""
+    from martflow.llm import substrings
+    rnd = random.Random(4)
+
+    def noise(n):
+        return "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    before, after, texts = [noise(60) for _ in range(6)], [noise(60) for _ in range(6)], []
+    for size, n in ((150, 250), (190, 100)):
+        passage = noise(size)
+        for _ in range(n):
+            cut = rnd.randrange(61)
+            left = noise(rnd.randrange(200)) + rnd.choice([noise(60), before[rnd.randrange(6)][cut:]])
+            texts.append(left + passage + rnd.choice([noise(60), after[rnd.randrange(6)][:60 - cut]]) + noise(rnd.randrange(200)))
+    texts += ["ab" * 300, "cab" + "ab" * 200, None, "", texts[0], texts[0]]
+    rounds, halve = [], substrings._parted
+    monkeypatch.setattr(substrings, "PART_BYTES", limit)
+    monkeypatch.setattr(substrings, "_parted", lambda *a: rounds.append(halve(*a)) or rounds[-1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substrings.removed(spark, df).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)").collect()
+    assert Counter(map(tuple, got)) == _deduped([(i, (t or "").encode()) for i, t in enumerate(texts)])
+    assert len(rounds[0][1]) >= (5 if limit == 1500 else 1)           # rounds of halving
+
+
 def test_token_files(spark, folder):
     from tokenizers import Tokenizer
 
@@ -160,6 +192,46 @@ def test_license_changes_are_found(spark):
     assert text[r.first_byte:r.end_byte] == "undr the mit licence"
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_license_spans_beside_each_other(spark):
+    """Planted notices with up to two edits, close together: every one is found with its span and edits."""
+    from martflow.llm.licenses import find_notices
+    rnd, notice = random.Random(9), "under the mit license"
+
+    def changed():
+        text = list(notice)
+        for _ in range(rnd.randrange(3)):
+            at = rnd.randrange(1, len(text) - 1)
+            kind = rnd.randrange(3)
+            if kind == 0:
+                del text[at]
+            elif kind == 1:
+                text.insert(at, rnd.choice("qxz"))
+            elif text[at] != " ":
+                text[at] = rnd.choice("qxz")
+        return re.sub(" +", " ", "".join(text))
+    docs, want = [], set()
+    fixed = ["undr the mit license", "under the mit license"], ["undee the mitt license", "undr the mit license"]
+    for i in range(300):
+        text = "x"
+        for v in fixed[i] if i < 2 else [changed() for _ in range(rnd.randrange(1, 6))]:
+            text += " " + rnd.choice(["", "say ", "now or "]) if i >= 2 else " "
+            want.add((i, len(text), len(text) + len(v), _distance(v, notice)))
+            text += v
+        docs.append((i, text + " y"))
+    found = find_notices(spark, spark.createDataFrame(docs, "doc_id long, text string")).where("label = 'mit'").collect()
+    assert len(found) == len(want)
+    assert {(r.doc_id, r.first_byte, r.end_byte, r.edits) for r in found} == want
+
+
 def test_mixing(spark, folder):
     docs = [(r.doc_id, r.text, r.source) for r in table(spark, folder, "documents")]
     size = Counter()
