@@ -63,6 +63,73 @@ def test_lm_prefers_the_order_it_has_learnt(spark):
     assert abs(one_by_one - got[0].log_prob) < 1e-2
 
 
+def _plain_log_probs(model, ids):
+    """Log-probability of each word of one text given both sides, word by word."""
+    out = []
+    for k, word in enumerate(ids):
+        x = model["b1"].astype(float).copy()
+        for place, step in enumerate((-2, -1, 1, 2)):
+            near = ids[k + step] if 0 <= k + step < len(ids) else 0
+            x += model["win"][place][near]
+        h = np.tanh(x)
+        h[-1] = 1.0
+        scores, inside = h @ model["wc"], h @ model["ww"][word // 64]
+        out.append(scores[word // 64] - np.log(np.exp(scores).sum()) + inside[word % 64] - np.log(np.exp(inside).sum()))
+    return out
+
+
+def test_lm_scores_equal_plain_ones_and_shares_of_buckets(spark, monkeypatch):
+    from martflow.llm import lmscore as m
+    monkeypatch.setattr(m, "SHARD_WORDS", 64)
+    rng = np.random.default_rng(8)
+    names = [f"w{k}" for k in range(200)]
+    texts = [" ".join(rng.choice(names, int(n), p=np.arange(200, 0, -1) / 20100)) for n in rng.integers(1, 60, 40)]
+    rows = list(enumerate([*texts, texts[0], "", None]))
+    made = []
+    for parts in (2, 8):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+        words = m.count_words(spark, docs, known=3)
+        model = m.train(spark, docs, words)
+        made.append(({r.doc_id: r for r in m.score(spark, docs, words, model).collect()}, words, model))
+    (got, words, model), (again, _, other) = made
+    assert all(np.allclose(model[k], other[k], atol=1e-5) for k in m.SHAPES)
+    count = {w: sum(t.split().count(w) for t in [*texts, texts[0]]) for w in names}
+    hashes = dict(zip(names, (int(m.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]) for w in names)))
+    known = {h: k + 1 for k, h in enumerate(words.sorted.tolist())}
+    assert sorted(count[w] for w in names if hashes[w] in known) == sorted(count.values())[-3:]
+    word_id = {w: known.get(h, 3072 + h % 1024) for w, h in hashes.items()}
+    total = {}
+    for w in names:
+        if word_id[w] >= 3072:
+            total[word_id[w]] = total.get(word_id[w], 0) + count[w]
+    assert len(total) < sum(1 for w in names if word_id[w] >= 3072)                   # some share a bucket
+    for k, text in rows:
+        split = (text or "").split()
+        want = sum(_plain_log_probs(model, [word_id[w] for w in split]))
+        want += sum(np.log(count[w] / (total[word_id[w]] + 1)) for w in split if word_id[w] >= 3072)
+        assert got[k].n_words == len(split) and abs(got[k].log_prob - want) < 1e-3
+        assert abs(again[k].log_prob - want) < 1e-2
+        assert (got[k].per_word is None) == (not split)
+
+
+def test_lm_every_word_is_a_target_once(spark, monkeypatch):
+    """Targets of all rounds and shards, as weights of the models that are averaged."""
+    from martflow.llm import lmscore as m
+    monkeypatch.setattr(m, "SHARD_WORDS", 50)
+    docs = spark.createDataFrame([(k, "a b c d e f g"[:2 * (k % 7) + 1]) for k in range(100)], "doc_id long, text string")
+    words, seen, plain = m.count_words(spark, docs), [], m.map_arrow
+
+    def spy(spark_, df, fn, schema, *rest):
+        out = plain(spark_, df, fn, schema, *rest)
+        if schema.startswith("shard"):
+            seen.append(out.where("part = 0").agg({"weight": "sum"}).first()[0])
+        return out
+
+    monkeypatch.setattr(m, "map_arrow", spy)
+    m.train(spark, docs, words)
+    assert sum(seen) == sum(k % 7 + 1 for k in range(100))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from llm_small import SMALL, SOLID, words
