@@ -42,8 +42,10 @@ BUCKETS = 1024                    # ids of words outside the vocabulary; id 0 st
 FIRST_BUCKET = WORDS - BUCKETS
 HIDDEN, SIDE = 32, 2              # the last hidden unit is always 1, so its weights are the biases
 ROUNDS, BATCH, RATE = 2, 8192, 0.1
+BLOCK = 1024                      # rows of a batch that numpy works on at a time
 SHARD_WORDS = 1 << 22
 CHUNK_WORDS = 1 << 17             # words that a training task shuffles at a time
+SCORED = 1 << 15                  # words scored at a time
 SEED = 5
 SHARE_UNIT = 1 << 20              # log shares are summed in this part of one
 PART = 1 << 14                    # numbers in a row of the averaged model
@@ -147,22 +149,18 @@ def _by_class(target: np.ndarray):
     return order, [(c, cut[c], cut[c + 1]) for c in np.flatnonzero(np.diff(cut))]
 
 
-def _inside(model, h: np.ndarray, spans) -> np.ndarray:
-    """Scores of the words of its class for each row, rows in class order."""
-    out = np.empty((len(h), CLASSES), h.dtype)
-    for c, lo, hi in spans:
-        np.matmul(h[lo:hi], model["ww"][c], out=out[lo:hi])
-    return out
-
-
 def log_probs(model, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target given the words on both sides."""
     order, spans = _by_class(target)
     context, goal = context[order], target[order]
     h = _hidden(model, context)
-    out = np.empty(len(target), h.dtype)
-    out[order] = (_log_softmax_at(h @ model["wc"], goal // CLASSES)
-                  + _log_softmax_at(_inside(model, h, spans), goal % CLASSES))
+    got = np.empty(len(target), h.dtype)
+    for k in range(0, len(target), BLOCK):                       # blocks stay in the processor's cache
+        got[k:k + BLOCK] = _log_softmax_at(h[k:k + BLOCK] @ model["wc"], goal[k:k + BLOCK] // CLASSES)
+    for c, lo, hi in spans:
+        got[lo:hi] += _log_softmax_at(h[lo:hi] @ model["ww"][c], goal[lo:hi] % CLASSES)
+    out = np.empty_like(got)
+    out[order] = got
     return out
 
 
@@ -175,28 +173,32 @@ def _slopes(model, context: np.ndarray, target: np.ndarray):
     context, goal = context[order], target[order]
     h = _hidden(model, context)
 
-    g = _softmax(h @ model["wc"])
-    g[every, goal // CLASSES] -= 1
-    back = g @ model["wc"].T
-    out = {"wc": h.T @ g / n, "ww": np.zeros_like(model["ww"])}
-    p = _softmax(_inside(model, h, spans))
-    p[every, goal % CLASSES] -= 1
-    p /= n
+    back, wc = np.empty_like(h), np.zeros_like(model["wc"])
+    for k in range(0, n, BLOCK):                                 # blocks stay in the processor's cache
+        some = slice(k, k + BLOCK)
+        g = _softmax(h[some] @ model["wc"])
+        g[every[:len(g)], goal[some] // CLASSES] -= 1
+        wc += h[some].T @ g
+        np.matmul(g, model["wc"].T, out=back[some])
+    out = {"wc": wc / n, "ww": np.zeros_like(model["ww"])}
     for c, lo, hi in spans:
-        np.matmul(h[lo:hi].T, p[lo:hi], out=out["ww"][c])
+        p = _softmax(h[lo:hi] @ model["ww"][c])
+        p[every[:hi - lo], goal[lo:hi] % CLASSES] -= 1
+        np.matmul(h[lo:hi].T, p, out=out["ww"][c])
+        back[lo:hi] += p @ model["ww"][c].T
+    out["ww"] /= n
     back /= n
-    for c, lo, hi in spans:
-        back[lo:hi] += p[lo:hi] @ model["ww"][c].T
     back *= 1 - h * h                                            # 0 for the unit that is always 1
     out["b1"] = back.sum(axis=0)
-    rows, flat = [], back.astype(np.float64).ravel()
+    rows, column = [], np.ascontiguousarray(back.T)
     for j in range(2 * SIDE):
         met = np.zeros(WORDS, bool)
         met[context[:, j]] = True
         word, number = np.flatnonzero(met), np.cumsum(met) - 1
-        cell = (number[context[:, j]] * HIDDEN)[:, None] + np.arange(HIDDEN)
-        rows.append((word, np.bincount(cell.ravel(), flat, len(word) * HIDDEN)
-                     .reshape(-1, HIDDEN).astype(back.dtype)))
+        number, g = number[context[:, j]], np.empty((len(word), HIDDEN), back.dtype)
+        for k in range(HIDDEN):
+            g[:, k] = np.bincount(number, column[k], len(word))
+        rows.append((word, g))
     return out, rows
 
 
@@ -390,8 +392,8 @@ def score(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, model: d
                 hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), CHUNK_WORDS, "right")))
                 at = np.concatenate(([0], np.cumsum(size[lo:hi])))
                 ids, place = padded(np.frombuffer(b"".join(raw[lo:hi]), "<u2"), at)
-                got = [log_probs(net, ids[place[k:k + BATCH, None] + OFFSETS], ids[place[k:k + BATCH]])
-                       for k in range(0, len(place), BATCH)]
+                got = [log_probs(net, ids[place[k:k + SCORED, None] + OFFSETS], ids[place[k:k + SCORED]])
+                       for k in range(0, len(place), SCORED)]
                 upto = np.concatenate(([0.0], np.cumsum(np.concatenate([*got, np.zeros(0)]), dtype=np.float64)))
                 total[lo:hi] = upto[at[1:]] - upto[at[:-1]]
                 lo = hi
