@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from martflow.operators import facts, gold
+from martflow.oracle.insight_sql import AS_OF, PRIOR
 from martflow.oracle.sqlfn import ddiff, gratio as gratio_sql
 from martflow.plans.registry import register
 from martflow.session import scratch_path
@@ -459,7 +460,7 @@ def _h1_newest(p):
     return sg.periods_table(p.g("fulfillment_metrics"), p.cfg.with_(signal_as_of=None))
 
 
-@register("signal_contexts", """
+_CONTEXTS = """
 SELECT metric, CASE
   WHEN metric = 'Dead Stock Rate' THEN 'Dead stock rate: ' || format('{:.1f}', current_value * 100) || '% across '
        || format('{:,}', (SELECT count(*) FROM inventory_health)) || ' products'
@@ -469,7 +470,10 @@ SELECT metric, CASE
   ELSE metric || ': ' || format('{:,.2f}', current_value) || ' (was ' || format('{:,.2f}', prior_value) || '), '
        || CASE WHEN delta_pct >= 0 THEN '+' ELSE '' END || format('{:.1f}', delta_pct * 100) || '% ' || direction
   END AS context
-FROM kpi_signals""")
+FROM kpi_signals"""
+
+
+@register("signal_contexts", _CONTEXTS)
 def _h2_text(p):
     """H2 context strings."""
     return p.signals.select("metric", "context")
@@ -493,10 +497,69 @@ def _h15(p):
 
 @register("finding_texts")
 def _h15_text(p):
-    """Finding titles, descriptions, evidence and actions (text: rows-only)."""
+    """Finding titles, descriptions, evidence and actions as a finding reports them; the two
+    queries below hold the same texts without a list, with twins."""
     return _findings(p).select("finding_order", "title", "description", "evidence", "recommended_action")
 
 
+_MONITORING = "ML Model Monitoring Status"
+
+
+@register("finding_descriptions", f"""
+SELECT f.finding_order,
+       CASE WHEN f.metric = '{_MONITORING}' THEN f.metric
+            ELSE f.metric || ' — ' || upper(s.direction) || ' ' || format('{{:.1f}}', abs(s.delta_pct) * 100) || '%' END AS title,
+       CASE WHEN f.metric = '{_MONITORING}' THEN
+                 'Data drift: ' || m.features_drifted || '/' || m.features_tested || ' features. Prediction drift: '
+                 || CASE WHEN m.prediction_drift_detected THEN 'YES' ELSE 'No' END || '. Model degradation: '
+                 || CASE WHEN m.model_degraded THEN 'YES' ELSE 'No' END || '. Recommendation: ' || m.recommendation || '.'
+            WHEN f.severity = 'warning' THEN c.context
+            ELSE f.metric || ' moved ' || CASE WHEN s.delta_pct >= 0 THEN '+' ELSE '' END
+                 || format('{{:.1f}}', s.delta_pct * 100) || '% from ' || strftime({PRIOR}, '%Y-%m-%d %H:%M:%S')
+                 || ' to ' || strftime({AS_OF}, '%Y-%m-%d %H:%M:%S') || '.' END AS description,
+       CASE WHEN f.metric = '{_MONITORING}' THEN 'Investigate prediction drift source before retraining.'
+            WHEN f.severity = 'warning' THEN 'Monitor ' || lower(f.metric) || ' trend over the next period.'
+            ELSE 'Investigate ' || lower(f.metric) || ' drivers in the ' || s.domain || ' domain.' END AS recommended_action
+FROM findings f LEFT JOIN kpi_signals s ON f.metric = s.metric
+     LEFT JOIN ({_CONTEXTS}) c ON f.metric = c.metric CROSS JOIN monitoring_summary m""")
+def _h15_descriptions(p):
+    """H15 titles, descriptions and actions."""
+    return _findings(p).select("finding_order", "title", "description", "recommended_action")
+
+
+@register("finding_evidence", f"""
+SELECT f.finding_order, 1 AS line_no, c.context AS line
+FROM findings f JOIN ({_CONTEXTS}) c ON f.metric = c.metric
+UNION ALL
+SELECT f.finding_order, CAST(1 + d.rank AS INTEGER),
+       CASE d.domain
+         WHEN 'revenue' THEN '  DC ''' || d.label || ''': $' || format('{{:,.0f}}', d.value_1) || ' revenue, '
+                             || format('{{:,.0f}}', d.value_2) || ' orders'
+         WHEN 'customers' THEN '  Source ''' || d.label || ''': ' || format('{{:,.0f}}', d.value_1) || ' users, avg '
+                               || format('{{:,.1f}}', d.value_2) || ' orders'
+         WHEN 'conversion' THEN '  ' || d.label || ': conv=' || format('{{:,.4f}}', d.value_1) || ', users='
+                                || format('{{:,.0f}}', d.value_2)
+         ELSE '  DC ''' || d.label || ''': ' || format('{{:,.1f}}', d.value_1) || ' days avg, '
+              || format('{{:,.1f}}', d.value_2 * 100) || '% on-time' END
+FROM findings f JOIN kpi_signals s ON f.metric = s.metric JOIN drills d ON s.domain = d.domain
+WHERE f.severity IN ('critical', 'notable')
+UNION ALL
+SELECT f.finding_order, x.line_no, x.line
+FROM findings f, (
+    SELECT 1 AS line_no, 'Feature drift: ' || features_drifted || '/' || features_tested || ' features drifted' AS line
+    FROM monitoring_summary
+    UNION ALL SELECT 2, 'Prediction drift: ' || prediction_drift_method || ' = ' || CAST(prediction_drift_score AS VARCHAR)
+                        || ' (threshold: ' || CAST(prediction_drift_threshold AS VARCHAR) || ')' FROM monitoring_summary
+    UNION ALL SELECT 3, 'AUC: ' || CAST(auc_ref AS VARCHAR) || ' → ' || CAST(auc_cur AS VARCHAR) || ' (drop: '
+                        || CAST(auc_drop_pct AS VARCHAR) || '%)' FROM monitoring_summary
+    UNION ALL SELECT 4, 'Recommendation: ' || recommendation FROM monitoring_summary) x
+WHERE f.metric = '{_MONITORING}'""")
+def _h15_evidence(p):
+    """H15 evidence, a row per line."""
+    lines = _findings(p).select("finding_order", F.posexplode("evidence").alias("pos", "line"))
+    return lines.select("finding_order", (F.col("pos") + 1).alias("line_no"), "line")
+
+
 @register("scoreboard_status", """
 SELECT metric AS item,
        CASE WHEN severity = 'critical' THEN 'Declining'
