@@ -53,7 +53,7 @@ def walk_forward(rows: DataFrame, model: Pipeline, cfg: Config = DEFAULT) -> Dat
         encoders = md.fit_encoders(md.null_policy(known))
         train = md.with_weights(md.apply_encoders(md.null_policy(known), encoders), "churned")
         test = md.apply_encoders(md.null_policy(rows.where(F.col("cutoff") == F.lit(cutoff))), encoders)
-        parts.append(ml.score(model.fit(train), test).select("cutoff", "churned", "score"))
+        parts.append(ml.score(ml.fit(model, train), test).select("cutoff", "churned", "score"))
     if not parts:
         raise ValueError("no cutoff lies behind the label window of an earlier one")
     return md.binary_metrics(md.union_all(parts), label="churned", score="score", group=["cutoff"],

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from martflow.config import DEFAULT
@@ -40,6 +41,15 @@ def test_every_candidate_is_measured_and_finds_the_signal(planted, trained):
     assert ml.best_run(trained.metrics, "gbt_").first()["run"] == "gbt_small"
 
 
+def test_fresh_model_scores_in_a_session_that_observed(spark, planted):
+    seen = Observation()
+    spark.range(5).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 5}
+    ready, _ = ml.prepare(planted.where("user_id < 100"))
+    scored = ml.score(ml.fit(ml.logistic_regression(3), ready), ready)
+    assert scored.agg(F.count("score").alias("n")).first()["n"] == 100
+
+
 def test_model_folder(spark, planted, trained, tmp_path):
     folder = ModelFolder(spark, str(tmp_path), "m")
     with pytest.raises(FileNotFoundError):
