@@ -1,6 +1,7 @@
 """Model folder, recorded batches and the populations of monitoring."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import Observation
@@ -50,6 +51,20 @@ def test_fresh_model_scores_in_a_session_that_observed(spark, planted):
     assert scored.agg(F.count("score").alias("n")).first()["n"] == 100
 
 
+def test_candidates_are_fitted_side_by_side(planted, monkeypatch):
+    """Each fit waits until the other has begun."""
+    both, whole = threading.Barrier(2, timeout=60), ml.fit
+
+    def fit(pipe, rows):
+        both.wait()
+        assert rows.rdd.getNumPartitions() == 1                           # few rows: one small task a job
+        return whole(pipe, rows)
+    monkeypatch.setattr(ml, "fit", fit)
+    runs = {"a": ml.logistic_regression(2), "b": ml.boosted_trees(0.1, 1, 2)}
+    result = ml.train_and_compare(planted, runs=runs)
+    assert list(result.models) == ["a", "b"] and result.metrics.count() == 2
+
+
 def test_model_folder(spark, planted, trained, tmp_path):
     folder = ModelFolder(spark, str(tmp_path), "m")
     with pytest.raises(FileNotFoundError):
