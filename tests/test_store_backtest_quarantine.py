@@ -49,6 +49,30 @@ def test_labels_at_many_cutoffs_equal_single_builders(pipe):
         builder.dataset(), "user_id", "churned", "order_count", "lifetime_spend")
 
 
+def test_items_are_not_repeated_per_cutoff(spark):
+    at = {1: "2000-12-01 00:00:00", 2: "2001-02-15 00:00:00", 3: "2001-05-30 00:00:00"}
+    items = [dict(order_item_id=k, order_id=k, user_id=u, product_id=p, status="Complete", created_at=ts(at[k % 3 + 1]),
+                  sale_price=float(10 + k), is_returned=k == 4) for k, (u, p) in
+             enumerate([(1, 1), (1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (None, 3), (2, 9)])]
+    products = [dict(product_id=p, category=c, retail_price=100.0) for p, c in [(1, "a"), (2, "b"), (3, None)]]
+    orders = [dict(order_id=k, user_id=u, status="Complete", created_at=ts(at[1])) for k, u in enumerate([1, 2, 3])]
+    s = small_silver(spark, customers=[dict(user_id=u, created_at=ts(at[1])) for u in (1, 2, 3)], orders=orders, items=items,
+                     products=products)
+    dates = ["2001-02-01", "2001-03-01", "2001-07-01"]
+    each = [F.to_date(F.lit(c)) for c in dates]
+    assert features.Stamped(s, lambda df: df, each).items.count() == len(items)
+    whole = features.multi_cutoff_snapshots(s, dates)
+    apart = features.multi_cutoff_snapshots(s, dates, one_pass=False)
+    assert whole.count() == 9 and rows(whole.select(*sorted(whole.columns)).na.fill(-1).na.fill("none")) == rows(
+        apart.select(*sorted(whole.columns)).na.fill(-1).na.fill("none"))
+    got = {str(r["event_timestamp"])[:10]: r for r in whole.where("user_id = 1").collect()}
+    assert [got[d]["total_items_purchased"] for d in dates] == [2, 3, 4]
+    assert [got[d]["distinct_products_purchased"] for d in dates] == [2, 2, 3]
+    assert [got[d]["distinct_categories_purchased"] for d in dates] == [1, 1, 2]
+    assert [got[d]["lifetime_spend"] for d in dates] == [23.0, 34.0, 46.0]
+    assert [got[d]["favorite_category"] for d in dates] == [None, "a", "a"]
+
+
 def test_label_window_has_an_end(spark):
     orders = [dict(order_id=k, user_id=1, status="Complete", created_at=ts(t)) for k, t in
               enumerate(["2000-12-01 00:00:00", "2001-05-02 12:00:00"])]
@@ -102,6 +126,14 @@ def test_quarantine_splits_names_reasons_and_replays(spark, tmp_path):
     assert {r["product_id"]: r["broken"] for r in again.collect()} == {2: [], 3: [], 5: ["cost_not_negative"]}
 
 
+def test_only_rejected_rows_keep_their_source(spark, tmp_path):
+    judged = quarantine.judge(_products(spark), "products_clean", DECLARED)
+    quarantine.split(judged, "products_clean", str(tmp_path / "q"))
+    held = spark.read.parquet(str(tmp_path / "q")).groupBy("accepted").agg(F.count("source_row").alias("n"), F.count("*").alias("all"))
+    got = {str(r["accepted"]).lower(): (r["n"], r["all"]) for r in held.collect()}
+    assert got["true"][0] == 0 and got["false"][0] == got["false"][1] > 0
+
+
 def test_quarantine_in_a_stream(spark, tmp_path):
     from martflow.streaming.ingest import bronze_stream
     _products(spark).write.parquet(str(tmp_path / "in"))
