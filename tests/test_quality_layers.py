@@ -96,3 +96,21 @@ def test_filters_and_projections_reach_the_scan(spark, pipe):
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(status), Not(EqualTo(status,Cancelled))]" in text
     assert "ReadSchema: struct<user_id:bigint,status:string>" in text
+
+
+def test_silver_writes_no_bronze_copy_for_itself(spark):
+    import os
+    import uuid
+
+    from helpers import SF_SMALL, rows
+
+    from martflow.plans.pipeline import Pipeline
+    from martflow.session import checkpoint_dir
+    p = Pipeline(spark, SF_SMALL, run_id=uuid.uuid4().hex)
+    first = rows(p.s("products_clean"))
+    folder = os.path.join(checkpoint_dir(spark), "tables", p.key)
+    assert os.listdir(folder) == ["silver_products_clean"]
+    p.bronze["users"]                                                   # written: Silver reads it
+    p.s("customers_clean")
+    assert sorted(os.listdir(folder)) == ["bronze_users", "silver_customers_clean", "silver_products_clean"]
+    assert "bronze_users" in p.once["users"].inputFiles()[0] and len(first) == p.raw["products"].count()
