@@ -66,6 +66,10 @@ def order_statistics(df: DataFrame, by: list[str], value: str, ranks: dict[str,
         shares = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
         cuts = inside.groupBy("cg", "lo", "hi").agg(
             F.array_distinct(F.percentile_approx("v", shares, ACCURACY)).alias("cuts"))
+        # Written, so that their measured size decides the join: a size guessed from the rows would send all
+        # rows of a group to one task.
+        cuts.write.parquet(f"{folder}/cuts_{round_}")
+        cuts = spark.read.schema(cuts.schema).parquet(f"{folder}/cuts_{round_}")
         # Even numbers are open ranges, odd ones the cuts between them.
         below = F.size(F.filter("cuts", lambda c: c < F.col("v")))
         cell = (rows.join(cuts, (F.col("g") == F.col("cg")) & F.col("v").between(F.col("lo"), F.col("hi")))

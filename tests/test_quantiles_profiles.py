@@ -106,3 +106,13 @@ def test_drift_plan_joins_no_melted_rows(spark):
                     limit = own
             nearest = next(ln for ln in path if "Join" in ln or "Aggregate" in ln)
             assert "Aggregate" in nearest
+
+
+def test_cuts_are_written_before_rows_meet_them(spark):
+    import glob
+
+    from martflow.session import checkpoint_dir
+    before = set(glob.glob(f"{checkpoint_dir(spark)}/quantiles/*/cuts_*"))
+    df = spark.range(5000).select(F.lit("g").alias("k"), F.col("id").cast("double").alias("v"))
+    assert qt.exact_quantiles(df, ["k"], "v", {"med": 0.5}).first()["med"] == 2499.0
+    assert len(set(glob.glob(f"{checkpoint_dir(spark)}/quantiles/*/cuts_*")) - before) >= 1
