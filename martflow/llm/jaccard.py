@@ -53,8 +53,9 @@ TILE = 512
 STARS = 2                 # rounds of stars
 LARGE = 32                # least classes of a component in a run that are tiled as a component
 SHORT_RUN = 64            # most classes of a run whose pairs are counted, not tiled
-SKETCH_BITS = 20          # buckets of the corpus-wide shingle counts
+SKETCH_BITS = 22          # buckets of the corpus-wide shingle counts
 SKETCH_PART = 4096        # counts in one row
+TASK_MOST = 255           # most that a task counts in a bucket; beyond it the order is as good
 BLOOM_BITS = 24
 LEAST_WIDTH, MOST_WIDTH = 64, 32768
 HASH_BITS = 54
@@ -148,17 +149,17 @@ def _summary(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, np.ndarra
     each hash bucket over all shingles of the corpus."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         names = ["doc_id", "th", "n", "cid", "bits", "part"]
         for b in batches:
             for lo, hi, buf, offs in text_chunks(b.column("text")):
                 s = Sets(buf, offs)
-                counts += np.bincount((s.value & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, (s.value & np.uint64(len(counts) - 1)).astype(np.int64), np.uint32(1))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(lo, hi - lo), b.column("th").slice(lo, hi - lo), pa.array(s.n),
                      pa.array(s.cid), pa.array(s.bitmaps(), pa.binary()), pa.nulls(hi - lo, pa.int64())],
                     names=names)
-        parts = counts.astype("<u4").reshape(-1, SKETCH_PART)
+        parts = np.minimum(counts, TASK_MOST).astype(np.uint8).reshape(-1, SKETCH_PART)
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [*[pa.nulls(len(some), pa.int64())] * 4, pa.array([parts[k].tobytes() for k in some], pa.binary()),
@@ -171,19 +172,25 @@ def _summary(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, np.ndarra
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column("part").to_pylist(), b.column("bits").to_pylist()):
-                held[k] = held.get(k, 0) + np.frombuffer(c, "<u4").astype(np.int64)
+                held[k] = held.get(k, np.uint32(0)) + np.frombuffer(c, np.uint8)
         if held:
-            yield pa.RecordBatch.from_pydict({"part": list(held), "bits": [v.tobytes() for v in held.values()]})
+            yield pa.RecordBatch.from_pydict({"part": list(held), "bits": [v.astype("<u4").tobytes() for v in held.values()]})
 
     summed = map_arrow(spark, rows.where("part is not null").select("part", "bits").repartition("part"), add,
                        "part long, bits binary")
     # A fixed number of counts, whatever the corpus: 2**SKETCH_BITS.
-    total = np.zeros((1 << SKETCH_BITS) // SKETCH_PART * SKETCH_PART, np.int64).reshape(-1, SKETCH_PART)
+    total = np.zeros(1 << SKETCH_BITS, np.uint32).reshape(-1, SKETCH_PART)
     for k, c in summed.collect():
-        total[k] = np.frombuffer(c, np.int64)
-    total = total.ravel()
-    level = np.floor(np.log2(np.maximum(total / max(total.mean(), 1e-9), 1)))
-    return rows.where("part is null").drop("part"), np.minimum(level, 15).astype(np.uint8)
+        total[k] = np.frombuffer(c, "<u4")
+    return rows.where("part is null").drop("part"), levels(total.ravel())
+
+
+def levels(total: np.ndarray) -> np.ndarray:
+    """Popularity 0 to 15 of each bucket: the logarithm of its count above the mean, which is what rare
+    shingles leave in a bucket. A passage of a few dozen documents then stands out also where
+    a bucket holds more rare shingles than that."""
+    above = np.maximum(total.astype(np.int64) - int(total.mean()), 1)
+    return np.minimum(np.floor(np.log2(above)), 15).astype(np.uint8)
 
 
 def _first_of_each(cid: np.ndarray, ok: np.ndarray) -> np.ndarray:

@@ -342,6 +342,28 @@ def test_jaccard_of_groups_with_small_tiles(spark, monkeypatch):
     assert 10 < len(want) < 70
 
 
+def test_jaccard_order_tells_a_shared_passage_from_full_buckets(spark, monkeypatch):
+    """Rare shingles fill every bucket with more than the passage's dozen documents; it still stands last."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from martflow.llm import jaccard
+    from martflow.llm.common import text_chunks
+    monkeypatch.setattr(jaccard, "SKETCH_BITS", 12)
+    own = lambda d: " ".join(f"d{d}w{k}" for k in range(300))
+    passage = " ".join(f"shared{k}" for k in range(20))
+    texts = [f"{own(d)} {passage}" if d < 12 else own(d) for d in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+    level = jaccard._summary(spark, docs)[1]
+    (_, _, buf, offs), = text_chunks(pa.array([passage, own(150)]))
+    sets = jaccard.Sets(buf, offs)
+    at = level[(sets.value & np.uint64(len(level) - 1)).astype(int)].astype(float)
+    assert at[sets.owner == 0].mean() > at[sets.owner == 1].mean() + 1
+    # Short of 16 levels, and in an empty corpus all alike.
+    assert jaccard.levels(np.array([0, 0, 2**20], np.uint32)).max() <= 15
+    assert not jaccard.levels(np.zeros(8, np.uint32)).any()
+
+
 def test_jaccard_links_of_one_common_partner(spark):
     """Several classes whose only partner is the same class, in one partition."""
     from pyspark.sql import functions as F
