@@ -189,8 +189,11 @@ def levels(total: np.ndarray) -> np.ndarray:
     """Popularity 0 to 15 of each bucket: the logarithm of its count above the mean, which is what rare
     shingles leave in a bucket. A passage of a few dozen documents then stands out also where
     a bucket holds more rare shingles than that."""
-    above = np.maximum(total.astype(np.int64) - int(total.mean()), 1)
-    return np.minimum(np.floor(np.log2(above)), 15).astype(np.uint8)
+    mean, out = int(total.mean()), np.empty(len(total), np.uint8)
+    for lo in range(0, len(total), 1 << 16):      # in parts: the driver holds little beside the counts
+        above = np.maximum(total[lo:lo + (1 << 16)].astype(np.int64) - mean, 1)
+        out[lo:lo + (1 << 16)] = np.minimum(np.floor(np.log2(above)), 15)
+    return out
 
 
 def _first_of_each(cid: np.ndarray, ok: np.ndarray) -> np.ndarray:
@@ -246,11 +249,11 @@ def _sets_of(spark: SparkSession, docs: DataFrame, rows: DataFrame, cids: DataFr
     bloom = np.zeros(((1 << BLOOM_BITS) // 8 // SKETCH_PART, SKETCH_PART), np.uint8)       # of fixed size
     for k, c in map_arrow(spark, marks, join, "part long, bits binary", 20_000).collect():
         bloom[k] = np.frombuffer(c, np.uint8)
-    shared = spark.sparkContext.broadcast(np.unpackbits(bloom.ravel()).astype(bool))
+    shared = spark.sparkContext.broadcast(bloom.ravel())
 
     def run(batches):
         for b in batches:
-            ok = np.logical_and.reduce([shared.value[k] for k in _bloom(b.column("th").to_numpy())])
+            ok = np.logical_and.reduce([_marked(shared.value, k) for k in _bloom(b.column("th").to_numpy())])
             text = b.column("text").filter(pa.array(ok))
             for _, _, buf, offs in text_chunks(text):
                 s = Sets(buf, offs)
@@ -269,6 +272,11 @@ def _bloom(th: np.ndarray) -> list[np.ndarray]:
     return [(h & low).astype(np.int64), ((h >> np.uint64(32)) & low).astype(np.int64)]
 
 
+def _marked(packed: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Whether bits ``k`` of a packed bitmap are set; it stays packed, in the driver and in the tasks."""
+    return (packed[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 # ------------------------------------------------------------------ pairs
 def _runs(spark: SparkSession, met: DataFrame) -> DataFrame:
     """(h, n, cid): prefix shingles met in two classes or more."""

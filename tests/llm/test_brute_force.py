@@ -364,6 +364,26 @@ def test_jaccard_order_tells_a_shared_passage_from_full_buckets(spark, monkeypat
     assert not jaccard.levels(np.zeros(8, np.uint32)).any()
 
 
+def test_jaccard_driver_holds_little_beside_its_counts():
+    """Levels are made in parts and the bitmap of texts stays packed, so the driver's memory keeps near the tables' own size."""
+    import tracemalloc
+
+    from martflow.llm import jaccard
+
+    counts = np.random.default_rng(5).integers(0, 300, 1 << jaccard.SKETCH_BITS).astype(np.uint32)
+    counts[::1000] = 10**6
+    tracemalloc.start()
+    got = jaccard.levels(counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * len(got)
+    above = np.maximum(counts.astype(np.int64) - int(counts.mean()), 1)
+    assert (got == np.minimum(np.floor(np.log2(above)), 15)).all()
+    bits = np.random.default_rng(6).random(1 << 12) < 0.3
+    asked = np.arange(len(bits))[::-1]
+    assert (jaccard._marked(np.packbits(bits), asked) == bits[asked]).all()
+
+
 def test_jaccard_links_of_one_common_partner(spark):
     """Several classes whose only partner is the same class, in one partition."""
     from pyspark.sql import functions as F
