@@ -249,11 +249,11 @@ def _sets_of(spark: SparkSession, docs: DataFrame, rows: DataFrame, cids: DataFr
     bloom = np.zeros(((1 << BLOOM_BITS) // 8 // SKETCH_PART, SKETCH_PART), np.uint8)       # of fixed size
     for k, c in map_arrow(spark, marks, join, "part long, bits binary", 20_000).collect():
         bloom[k] = np.frombuffer(c, np.uint8)
-    shared = spark.sparkContext.broadcast(bloom.ravel())
+    shared = spark.sparkContext.broadcast(np.unpackbits(bloom.ravel()).view(bool))       # no copy in the driver
 
     def run(batches):
         for b in batches:
-            ok = np.logical_and.reduce([_marked(shared.value, k) for k in _bloom(b.column("th").to_numpy())])
+            ok = np.logical_and.reduce([shared.value[k] for k in _bloom(b.column("th").to_numpy())])
             text = b.column("text").filter(pa.array(ok))
             for _, _, buf, offs in text_chunks(text):
                 s = Sets(buf, offs)
@@ -272,11 +272,6 @@ def _bloom(th: np.ndarray) -> list[np.ndarray]:
     return [(h & low).astype(np.int64), ((h >> np.uint64(32)) & low).astype(np.int64)]
 
 
-def _marked(packed: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Whether bits ``k`` of a packed bitmap are set; it stays packed, in the driver and in the tasks."""
-    return (packed[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)
-
-
 # ------------------------------------------------------------------ pairs
 def _runs(spark: SparkSession, met: DataFrame) -> DataFrame:
     """(h, n, cid): prefix shingles met in two classes or more."""
