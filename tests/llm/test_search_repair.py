@@ -184,6 +184,57 @@ def test_neighbours_with_equal_scores_go_by_id(spark):
     assert len(got) == 75
 
 
+def test_neighbours_by_small_tiles_and_few_curves(spark, monkeypatch):
+    for name, value in (("BLOCK", 64), ("SPAN", 2), ("TILE", 16), ("CURVES", 3)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1200, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    seen = []
+    real = neighbours.measure_reach
+    monkeypatch.setattr(neighbours, "measure_reach", lambda *a: seen.append((a[-1], real(*a))) or seen[-1][1])
+    got = {}
+    for r in neighbours.search(spark, df, every=5).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    # Without structure a window covers the curve, and the curves hold the same vectors: one is searched.
+    [(blocks, (curves, reach))] = seen
+    assert curves == 1 and 2 * reach + 1 >= blocks > 10
+    v = x.astype(np.float64)
+    for q, found in got.items():
+        s = (v * v[q]).sum(axis=1)
+        order = [int(i) for i in np.lexsort((np.arange(len(v)), -s)) if i != q][:neighbours.TOP]
+        assert [found[k] for k in sorted(found)] == order
+    assert len(got) == 240
+
+
+def test_best_of_exact_order_at_any_scale(monkeypatch):
+    monkeypatch.setattr(neighbours, "EXACT_ROWS", 50)
+    rng = np.random.default_rng(4)
+    for scale in (1e-30, 1.0, 1e30):
+        v = rng.integers(0, 3, (700, 6)) * scale
+        q, ids = v[:90] + 0.0, rng.permutation(700)
+        got_ids, got = neighbours.best_of(q, v, ids, 9)
+        for k in range(len(q)):
+            s = neighbours.exact_scores(np.repeat(q[k:k + 1], 700, axis=0), v)
+            order = np.lexsort((ids, -s))[:9]
+            assert got_ids[k].tolist() == ids[order].tolist() and got[k].tolist() == s[order].tolist()
+
+
+def test_found_rows_merge_across_batches(spark):
+    rng = np.random.default_rng(6)
+    rows = [(c, [int(i) for i in ids], [float(7 * i % 11) for i in ids])
+            for c in range(5) for ids in (rng.choice(60, 8, replace=False) for _ in range(40))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = spark.createDataFrame(rows, "cid long, ids array<long>, scores array<double>")
+        got = {r["cid"]: [(p["s"], p["id"]) for p in r["best"]] for r in neighbours.merged(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for c in range(5):
+        assert got[c] == sorted({(-s, i) for k, ids, ss in rows if k == c for i, s in zip(ids, ss)})[:neighbours.TOP + 1]
+
+
 @pytest.mark.parametrize("stage", [quality_stage, near_duplicate_stage, decontaminate, mix_stage])
 def test_stages_return_clashing_columns_unchanged(spark, odd, stage):
     names = ["qc_score", "dc_contaminated", "mx_size", "mx_source", "jk", "jk_id", "li_lang", "user_0", "a.b"]
