@@ -65,6 +65,31 @@ def test_candidates_are_fitted_side_by_side(planted, monkeypatch):
     assert list(result.models) == ["a", "b"] and result.metrics.count() == 2
 
 
+def test_candidates_are_fitted_on_few_partitions_of_assembled_rows(planted, monkeypatch):
+    seen, whole = [], ml.fit
+
+    def fit(pipe, rows):
+        seen.append((rows.columns, rows.rdd.getNumPartitions(), rows.count()))
+        return whole(pipe, rows)
+    monkeypatch.setattr(ml, "fit", fit)
+    monkeypatch.setattr(ml, "FIT_ROWS", 10)
+    runs = {"a": ml.logistic_regression(2), "b": ml.boosted_trees(0.1, 1, 2)}
+    assert ml.train_and_compare(planted, runs=runs).metrics.count() == 2
+    assert seen == [(["features", "churned", "weight"], 2, 480)] * 2                # of four cores
+    assert [ml.fit_partitions(n, 8) for n in (5, 25, 10**5, 10**8)] == [1, 2, 4, 50]
+    assert ml.fit_partitions(10**5, 1) == 1
+
+
+def test_model_of_assembled_rows_is_the_model_of_the_rows(planted):
+    ready, _ = ml.prepare(planted)
+    ready = ready.coalesce(1).cache()
+    for pipe in (ml.logistic_regression(5), ml.boosted_trees(0.1, 3, 3)):
+        plain = ml.fit(pipe, ready)
+        assembled = ml.fit(pipe, ml._assembler().transform(ready).select("features", ml.LABEL, "weight").coalesce(1))
+        a, b = ([r["score"] for r in ml.score(m, ready).orderBy("user_id").select("score").collect()] for m in (plain, assembled))
+        assert a == b and [type(s) for s in plain.stages] == [type(s) for s in assembled.stages]
+
+
 def test_scores_are_written_before_the_metrics_read_them(spark, planted, tmp_path):
     def store(df, name):
         df.write.parquet(str(tmp_path / name))
